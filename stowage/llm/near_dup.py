@@ -40,6 +40,8 @@ from .words import NOT_SPACE, chain, mix, shingles, words_of
 #: Bins of a sketch: BANDS keys of ROWS bins each. A pair of similarity 0.85
 #: shares no key with probability (1 - 0.85**6)**36 < 4e-8, of 0.8 with 1.7e-5.
 ROWS, BANDS = 6, 36
+#: Pairs of texts that are verified at once.
+PAIRS = 64
 
 
 def sketch(values: np.ndarray, rows: np.ndarray, count: int, bins: int = ROWS * BANDS) -> np.ndarray:
@@ -122,16 +124,16 @@ def _verify(words: int, percent: int):
     """Pairs of texts with 100 * intersection >= percent * union of full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = {}
-            for c in ("text_a", "text_b"):
-                texts[c] = [shingles(found, i, words) for _, found in words_of(batch.column(c), NOT_SPACE) for i in range(len(found))]
-            keep = []
-            for x, y in zip(texts["text_a"], texts["text_b"], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(low, PAIRS)
+                x, y = ([shingles(found, i, words) for _, found in words_of(batch.column(c), NOT_SPACE) for i in range(len(found))] for c in ("text_a", "text_b"))
+                keep = []
+                for u, v in zip(x, y, strict=True):
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(u) + len(v) - both))
+                mask = pa.array(keep, type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return run
 
