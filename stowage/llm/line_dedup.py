@@ -121,39 +121,27 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(docs.mapInArrow(_keys(min_tokens), f"id {kind}, place long, tokens long, leaf long, line long"), "lines")
     needed = F.when(F.col("tokens") >= long_tokens, 2).otherwise(min_docs)
 
-    def counted(rows: DataFrame, key: str) -> DataFrame:
-        """Documents, and the first line, of each key; a document's lines come together first."""
-        each = rows.groupBy(key, "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"))
-        return each.groupBy(key).agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"))
-
-    alike = materialize(counted(lines, "line"), "alike")
+    # documents and the first line of each distinct line; a document's lines come together first
+    each = lines.groupBy("line", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"))
+    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"))
+    alike = materialize(alike, "alike")
     exact = alike.where(F.col("docs") >= needed).select("line", "first")
-    # leaves that several documents share: their other lines may have variable fields
-    leaves = lines.select("leaf", "id", "tokens").distinct().groupBy("leaf").agg(F.count("*").alias("docs"), F.max("tokens").alias("tokens"))
-    leaves = leaves.where(F.col("docs") >= needed).select("leaf")
-    # one line stands for all that are alike
-    heads = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"))
-    heads = heads.join(alike.select("line", "docs"), "line")
-    heads = materialize(heads, "heads")
-    open_leaves = heads.where((F.col("docs") < needed) & (F.col("tokens") * fixed_share >= DEPTH)).groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.max("tokens").alias("tokens"))
-    open_leaves = open_leaves.where((F.col("lines") > 1) & (F.col("docs") >= needed)).select("leaf")
-    heads = materialize(heads.join(open_leaves, "leaf", "left_semi"), "open")
+    # leaves with several lines, some of which no other documents have: these may have variable fields
+    leaves = alike.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("docs").alias("least"), F.max("tokens").alias("tokens"))
+    leaves = leaves.where((F.col("lines") > 1) & (F.col("docs") >= needed) & (F.col("least") < needed)).select("leaf")
+    heads = materialize(alike.join(leaves, "leaf", "left_semi"), "open")
     wanted = heads.groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.place").alias("places"))
-    words = docs.join(wanted, "id").mapInArrow(_tokens, f"id {kind}, place long, words array<long>").dropDuplicates(["id", "place"])
+    words = docs.join(wanted.hint("merge"), "id").mapInArrow(_tokens, f"id {kind}, place long, words array<long>").dropDuplicates(["id", "place"])
     told = heads.select(F.col("first.id").alias("id"), F.col("first.place").alias("place"), "leaf", "line", "docs", "tokens").join(words, ["id", "place"])
     told = materialize(told, "told")
-    fields = told.select("leaf", "line", "docs", "tokens", F.posexplode("words").alias("at", "word"))
-    common = fields.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("seen"), F.max("tokens").alias("tokens")).where(F.col("seen") >= needed).select("leaf", "at", "word")
-    # the sum of the fixed fields' hashes, with their places, is the template
-    fixed = fields.join(common, ["leaf", "at", "word"]).where(F.col("word") != F.lit(int(_VARIABLE.astype(np.int64)))).groupBy("leaf", "line").agg(
-        F.count("*").alias("fixed"),
-        F.bit_xor(F.xxhash64("at", "word")).alias("x"),
-        F.sum(F.xxhash64("word", "at") % (1 << 40)).alias("y"),
-        F.max("docs").alias("docs"),
-        F.max("tokens").alias("tokens"),
-    )
-    fixed = fixed.where(F.col("fixed") >= F.col("tokens") * fixed_share)
-    holders = lines.select("leaf", "line", "id", "tokens").join(fixed.select("leaf", "line", "x", "y"), ["leaf", "line"]).select("leaf", "x", "y", "id", "tokens").distinct()
+    fields = told.select("leaf", "line", "docs", "tokens", F.posexplode("words").alias("at", "word")).where(F.col("word") != F.lit(int(_VARIABLE.astype(np.int64))))
+    fields = fields.select("line", "docs", "tokens", F.xxhash64("leaf", "at", "word").alias("field"))
+    common = fields.groupBy("field").agg(F.sum("docs").alias("docs"), F.max("tokens").alias("tokens")).where(F.col("docs") >= needed).select("field")
+    # a line's fixed fields together are its template
+    fixed = fields.select("field", "line").join(common, "field").groupBy("line").agg(F.count("*").alias("fixed"), F.bit_xor("field").alias("x"), F.sum(F.col("field") % (1 << 40)).alias("y"))
+    fixed = fixed.join(told.select("line", "leaf", "tokens"), "line").where(F.col("fixed") >= F.col("tokens") * fixed_share)
+    fixed = materialize(fixed.select("line", "leaf", "x", "y"), "fixed")
+    holders = lines.select("line", "id", "tokens").join(fixed, "line").select("leaf", "x", "y", "id", "tokens").distinct()
     templates = holders.groupBy("leaf", "x", "y").agg(F.count("*").alias("docs"), F.max("tokens").alias("tokens")).where(F.col("docs") >= needed).select("leaf", "x", "y")
     generalised = fixed.join(templates, ["leaf", "x", "y"]).select("line", "leaf", "x", "y")
     # lines alike in fixed fields share the first line of their template
@@ -168,7 +156,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with ``text_col`` without recurring lines and ``lines_dropped`` (long, null for a null text)."""
     gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias("_id"), F.col("places").alias("_places"))
     names = [c for c in docs.columns if c != "lines_dropped"]
-    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(gone, F.col(f"`{id_col}`") == F.col("_id"), "left")
+    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("_id"), "left")
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\n'), (x, i) -> NOT array_contains(_places, CAST(i AS BIGINT))), '\n')")
     text = F.when(F.col("_places").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     n = F.when(F.col(f"`{text_col}`").isNotNull(), F.coalesce(F.size("_places"), F.lit(0)).cast("long"))
