@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import materialize, new_path
 
-GAP_BYTES, GROUP_BYTES, REVISIT_BYTES = 64 << 10, 8 << 20, 1000
+GAP_BYTES, GROUP_BYTES, TASK_BYTES, REVISIT_BYTES = 64 << 10, 2 << 20, 64 << 20, 1000
 _LEVEL = 3
 _DATE = "2024-01-01T00:00:00Z"
 INDEX = "id long, url string, file string, offset long, length long, digest string, payload_bytes long, record_type string, refers_to long"
@@ -176,7 +176,10 @@ def read_records(selected: DataFrame) -> DataFrame:
     payload it refers to.
     """
     group = F.floor(F.col("offset") / GROUP_BYTES)
-    ranges = selected.select("file", "offset", "length", group.alias("group")).repartition("file", "group").sortWithinPartitions("file", "offset")
+    # the index is narrow, so the number of tasks follows the bytes to read
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = selected.select("file", "offset", "length", group.alias("group")).repartition(tasks, "file", "group").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_read, RECORDS)
 
 
