@@ -9,13 +9,20 @@ of independent draws. Runs of bins make band keys; documents with a key in
 common are candidates; every link is confirmed on the full shingle sets.
 
 Scale: documents with equal sets collapse into a class first, then only
-classes are compared. A bucket never emits all its pairs: each member is
-compared with the bucket's smallest class, links are contracted to
-components, and only members outside a bucket's largest component are compared
-with the rest of it, so that no link between components is lost. Candidate
-pairs of those rounds pass a filter on the sketches before texts are read. All
-steps are joins and partial aggregates; nothing of the corpus reaches the
-driver.
+classes are compared, and a bucket never emits all its pairs. A class's private
+shingles (held by no other class that has a bucket in common with any) bound
+its similarity with every other class exactly. Each class is first compared
+with the hub of its buckets that has the smallest share of private shingles:
+where copies differ from one original by edits of their own, whatever links
+them to each other links them to that hub. Links are contracted to components;
+then members outside a bucket's largest component are compared with the rest
+of it, as far as exact bounds leave a link possible: two members have no more
+in common than their shingles that are not private, and, if they have the same
+hub, no more than the smaller of their intersections with it and the smaller
+of their other shingles that are not private. So no link between components is
+lost. Pairs pass a filter on
+the sketches before texts are read. All steps are joins and partial
+aggregates; nothing of the corpus reaches the driver.
 
 Defined results: a null, empty or blank text has an empty set (0 shingles), is
 linked with nothing and is its own component. A text of fewer than ``words``
@@ -31,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .shared import among, materialize
@@ -106,6 +113,19 @@ def _sketches(words: int):
     return run
 
 
+def _exploded(words: int):
+    """A row for each shingle of each text: id, h."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, found in words_of(batch.column(1), NOT_SPACE):
+                sets = [shingles(found, i, words) for i in range(len(found))]
+                rows = np.repeat(np.arange(low, low + len(sets)), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _long(np.concatenate([*sets, np.zeros(0, np.uint64)]))], names=["id", "h"])
+
+    return run
+
+
 def _agree(least: int):
     """Pairs whose sketches agree in at least ``least`` bins (by one byte of each)."""
 
@@ -120,20 +140,17 @@ def _agree(least: int):
     return run
 
 
-def _verify(words: int, percent: int):
-    """Pairs of texts with 100 * intersection >= percent * union of full sets."""
+def _verify(words: int):
+    """Pairs of texts with the sizes of their full sets and of the intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, PAIRS):
                 batch = whole.slice(low, PAIRS)
                 x, y = ([shingles(found, i, words) for _, found in words_of(batch.column(c), NOT_SPACE) for i in range(len(found))] for c in ("text_a", "text_b"))
-                keep = []
-                for u, v in zip(x, y, strict=True):
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(u) + len(v) - both))
-                mask = pa.array(keep, type=pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+                both = [len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y, strict=True)]
+                sizes = [[len(u) for u in x], [len(v) for v in y], both]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(k, type=pa.int64()) for k in sizes)], names=["a", "b", "n_a", "n_b", "both"])
 
     return run
 
@@ -153,54 +170,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = materialize(filled.join(classes, ["n", "d1", "d2"]).select("id", "n", "rep"), "classes")
     reps = classed.where("id = rep").select("id", "n")
     first = sketched.join(reps, ["id", "n"])
-    signed = first.select("id", "n", "sig")
     keyed = first.select("id", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1").select("key", "pivot")
-    members = materialize(keyed.join(buckets, "key"), "buckets")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = materialize(keyed.join(shared, "key"), "buckets")
+    # texts, sketches and private shingles of the classes that share a bucket
+    texts = materialize(among(docs, buckets, "id"), "texts")
+    holders = texts.mapInArrow(_exploded(words), "id long, h long").groupBy("h").agg(F.count("*").alias("holders"), F.min("id").alias("id"))
+    private = holders.where("holders = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = buckets.groupBy("id").agg(F.max("n").alias("n")).join(private, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    sizes = materialize(sizes, "sizes")
+    signed = sketched.join(sizes, ["id", "n"]).select("id", "sig")
 
     bins = ROWS * BANDS
     share = percent / 100
-    least = max(0, int(bins * share - 8 * (bins * share * (1 - share)) ** 0.5))
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    least = max(0, int(bins * share - 5.5 * (bins * share * (1 - share)) ** 0.5))
+
+    def possible(both: Column) -> Column:
+        """Whether sets of n_a and n_b elements are a link if they have ``both`` in common."""
+        return both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent
+
+    # private shingles are in no intersection
+    shared_most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) with n_a, n_b and both, of full sets."""
+        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(words), "a long, b long, n_a long, n_b long, both long"), "compared")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links."""
-        a, b = (signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        likely = pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(least), "a long, b long")
-        likely = materialize(likely, "likely")
-        texts = materialize(among(docs, likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))), "id"), "texts")
-        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        found = likely.join(a, "a").join(b, "b").mapInArrow(_verify(words, percent), "a long, b long")
-        return materialize(found, "links")
-
-    # 1: each member with the smallest of its buckets' pivots
-    star = members.where("id <> pivot").groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b"))
-    links = linked(star)
-    joined = components(links)
-    # 2: with the other pivots that are not in its component yet
-    def comp_of(df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(joined.select(F.col("node").alias(col), F.col("component").alias("_c")), col, "left").withColumn(out, F.coalesce("_c", col)).drop("_c")
-
-    pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = linked(comp_of(comp_of(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
-    links = links.union(more)
-    joined = components(links)
-    # 3: members outside a bucket's largest component with all of another component in it
-    labelled = materialize(comp_of(members.select("key", "id", "n"), "id", "comp"), "labelled")
+        a, b = (signed.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(least), "a long, b long")
+        return compared(materialize(likely, "likely")).where(possible(F.col("both"))).select("a", "b")
+
+    # a class with more private shingles than any link leaves takes no part
+    members = buckets.join(sizes.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), ["id", "n"])
+    members = materialize(members, "members")
+    hubs = members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), F.col("id").alias("id"))).alias("hub"))
+    star = members.join(hubs, "key").where("id <> hub.id").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.id").alias("b"))
+    starred = compared(star)
+    joined = components(starred.where(possible(F.col("both"))).select("a", "b"))
+    named = joined.select(F.col("node").alias("id"), "component")
+    # members outside a bucket's largest component with all of another component in it
+    # what a member has in common with its hub, and outside the hub with any other member at most
+    outside = F.greatest(F.lit(0), F.col("n") - F.col("both") - F.col("own"))
+    hubs = starred.select(F.col("a").alias("id"), F.col("b").alias("hub"), "both")
+    labelled = members.join(named, "id", "left").join(hubs, "id", "left").select("key", "id", "n", "own", "hub", F.col("both").alias("in"), outside.alias("out"), F.coalesce("component", "id").alias("comp"))
+    labelled = materialize(labelled, "labelled")
     parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("top")).where("parts > 1").select("key", F.col("top.comp").alias("top"))
     rest = labelled.join(mixed, "key")
-    a = rest.where("comp <> top").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("ca"))
-    b = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("cb"), "top")
-    # two members outside the largest meet once; one of them with the largest once
-    cross = a.join(b, "key").where((F.col("ca") != F.col("cb")) & near & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    tested = star.union(pairs).select("a", "b")
-    links = links.union(linked(cross.join(tested, ["a", "b"], "left_anti")))
-    joined = components(links)
-
-    reached = joined.select(F.col("node").alias("rep"), "component")
-    whole = classed.join(reached, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    a, b = (rest.select("key", "top", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "own", "hub", "in", "out", "comp", "keys"))) for x in "ab")
+    by_hub = F.when(F.col("hub_a") == F.col("hub_b"), F.least("in_a", "in_b") + F.least("out_a", "out_b"))
+    near = possible(F.least(shared_most, by_hub))
+    # two members outside the largest meet once in a bucket, one of them with the largest once; pairs come from their smallest bucket
+    once = ((F.col("comp_b") == F.col("top")) | (F.col("id_a") < F.col("id_b")))
+    smallest = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
+    cross = a.where("comp_a <> top").join(b.drop("top"), "key").where((F.col("comp_a") != F.col("comp_b")) & once & near & smallest)
+    cross = cross.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+    tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = linked(cross.join(tested, ["a", "b"], "left_anti"))
+    for x in "ab":
+        more = more.join(named.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).drop(f"c{x}")
+    again = components(more).select(F.col("node").alias("comp"), F.col("component").alias("last"))
+    reached = named.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    whole = classed.join(reached, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(again, "comp", "left")
+    whole = whole.select("id", F.coalesce("last", "comp").alias("component_id"))
     out = ids.select("id", F.col("n").alias("n_shingles")).join(whole, "id", "left")
     out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
