@@ -25,17 +25,22 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+
+from .words import slices
 
 MODEL_BYTES = 16 << 20
 SPACE = "▁"
 #: Characters of chunks that are indexed together.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 300_000
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
 #: Chunks up to this length are relaxed together, column by column; longer ones with a heap.
 LONG_CHUNK = 48
-#: Characters of chunks whose ids a worker remembers between batches.
-KNOWN_CHARS = 8_000_000
+#: Characters of chunks that a worker meets before it forgets those it has not met since as many.
+KNOWN_CHARS = 3_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -107,6 +112,7 @@ class Model:
         self.codes = np.zeros((len(several), self.longest), dtype=np.int32)
         for row, i in enumerate(several):
             self.codes[row, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
+        self.top = int(self.codes.max(initial=0))
         self.plain = [p.replace(SPACE, " ") if kinds[i] == 1 else "" for i, p in enumerate(self.pieces)]
 
     def fallback(self, char: str) -> list[int]:
@@ -114,65 +120,94 @@ class Model:
         return [got] if got is not None else [self.bytes_at[b] for b in char.encode()]
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of ``codes`` sorted by their next ``depth`` values (doubled up to a power of two)."""
-    n, width = len(codes), 1
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        key = rank * (n + 2)
-        if width < n:
-            key[:-width] += rank[width:]
-        order = np.argsort(key)
-        width *= 2
-        if width >= depth:
-            return order
-        sorted_key = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
-
-
-def occurrences(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Half-open ranges of ``order`` whose suffixes start with each pattern (rows, zero-padded), by binary search."""
-    padded = np.concatenate([codes, np.zeros(patterns.shape[1], codes.dtype)])
-    columns = np.arange(patterns.shape[1])
-    inside = columns[None, :] < lengths[:, None]
-
-    def bound(upper: bool) -> np.ndarray:
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(order), np.int64)
-        while (open_rows := np.flatnonzero(low < high)).size:
-            middle = (low[open_rows] + high[open_rows]) >> 1
-            text = padded[order[middle][:, None] + columns[None, :]]
-            differ = (text != patterns[open_rows]) & inside[open_rows]
-            at = differ.argmax(axis=1)
-            rows = np.arange(len(open_rows))
+class Index:
+    """A text's suffix array: positions sorted by their next ``depth`` values at least.
+
+    Values are renumbered without gaps; the first sort key packs as many of
+    them as fit into 62 bits, then ranks double.
+    """
+
+    def __init__(self, codes: np.ndarray, depth: int, top: int):
+        n = len(codes)
+        present = np.zeros(max(int(codes.max(initial=0)), top) + 1, dtype=np.int64)
+        present[codes] = 1
+        self.number = np.cumsum(present) * present  # from 1, in the order of the codes; 0 is absent
+        dense = self.number[codes]
+        self.bits = int(dense.max(initial=1)).bit_length()
+        self.width = width = min(62 // self.bits, depth)
+        self.codes = codes
+        first = key = np.zeros(n, dtype=np.int64)
+        for i in range(width):
+            key <<= self.bits
+            key[: n - i] |= dense[i:]
+        while True:
+            order = np.argsort(key)
+            if width >= depth:
+                break
+            sorted_key = key[order]
+            rank = np.empty(n, dtype=np.int64)
+            rank[order] = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
+            key = rank * (n + 2)
+            if width < n:
+                key[:-width] += rank[width:]
+            width *= 2
+        self.order, self.keys = order, first[order]
+
+    def occurrences(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Half-open ranges of ``order`` whose suffixes start with each pattern (rows, zero-padded).
+
+        A binary search of the keys finds what fits into one; a second one,
+        over the characters, goes on within the ranges of longer patterns.
+        """
+        inside = np.arange(patterns.shape[1])[None, :] < lengths[:, None]
+        dense = self.number[patterns]
+        known = (dense > 0) | ~inside
+        packed = np.zeros(len(patterns), dtype=np.int64)
+        for i in range(self.width):
+            packed = (packed << self.bits) | (np.where(inside[:, i], dense[:, i], 0) if i < patterns.shape[1] else 0)
+        free = self.bits * np.maximum(self.width - lengths, 0)
+        low, high = np.searchsorted(self.keys, packed), np.searchsorted(self.keys, packed + (np.int64(1) << free))
+        high = np.where(known.all(axis=1), high, low)
+        long = np.flatnonzero((lengths > self.width) & (low < high))
+        if len(long):
+            low[long], high[long] = (self._bound(patterns[long], inside[long], low[long], high[long], upper) for upper in (False, True))
+        return low, high
+
+    def _bound(self, patterns: np.ndarray, inside: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
+        columns = np.arange(patterns.shape[1])
+        padded = np.concatenate([self.codes, np.zeros(patterns.shape[1], self.codes.dtype)])
+        low, high = low.copy(), high.copy()
+        while (left := np.flatnonzero(low < high)).size:
+            middle = (low[left] + high[left]) >> 1
+            text = padded[self.order[middle][:, None] + columns[None, :]]
+            differ = (text != patterns[left]) & inside[left]
+            at, rows = differ.argmax(axis=1), np.arange(len(left))
             equal = ~differ[rows, at]
-            right = (text[rows, at] < patterns[open_rows, at]) & ~equal
+            right = (text[rows, at] < patterns[left, at]) & ~equal
             if upper:
                 right |= equal
-            low[open_rows] = np.where(right, middle + 1, low[open_rows])
-            high[open_rows] = np.where(right, high[open_rows], middle)
+            low[left] = np.where(right, middle + 1, low[left])
+            high[left] = np.where(right, high[left], middle)
         return low
 
-    return bound(False), bound(True)
-
 
 class Encoder:
     def __init__(self, model: Model):
         self.model = model
-        #: Chunks met before; emptied when it holds more than ``KNOWN_CHARS``.
+        #: Ids of chunks met lately, and of those met before; ``KNOWN_CHARS`` of new ones make the former the latter.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.known_chars = 0
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """``[position, length]`` -> rank of the piece there, sorted by position; no piece is the largest int."""
         m = self.model
-        order = suffix_array(codes, m.longest)
-        low, high = occurrences(codes, order, m.codes, m.lengths)
+        index = Index(codes, m.longest, m.top)
+        low, high = index.occurrences(m.codes, m.lengths)
         counts = high - low
-        total = int(counts.sum())
-        starts = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
+        starts = np.repeat(low, counts) + _ranges(counts)
         out = np.full((len(codes), m.longest + 1), _NONE, dtype=np.int32)
-        out[order[starts], np.repeat(m.lengths, counts)] = np.repeat(m.ranks, counts)
+        out[index.order[starts], np.repeat(m.lengths, counts)] = np.repeat(m.ranks, counts)
         return out
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
@@ -277,24 +312,27 @@ class Encoder:
             b = e
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of each text."""
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of each text, as the bytes of 32-bit integers."""
         if self.known_chars > KNOWN_CHARS:
-            self.known, self.known_chars = {}, 0
-        known = self.known
+            self.before, self.known, self.known_chars = self.known, {}, 0
+        known, before = self.known, self.before
         split = [None if text is None else chunks_of(text, self.model.dummy_prefix) for text in texts]
         new = {c for chunks in split for c in chunks or ()}.difference(known)
         waiting: list[str] = []
         size = 0
         for c in [*new, None]:
             if c is not None:
+                self.known_chars += len(c)
+                if (old := before.get(c)) is not None:
+                    known[c] = old
+                    continue
                 waiting.append(c)
                 size += len(c)
             if waiting and (c is None or size > BATCH_CHARS):
                 known.update(zip(waiting, self.encode_chunks(waiting), strict=True))
-                self.known_chars += size
                 waiting, size = [], 0
-        return [None if chunks is None else np.frombuffer(b"".join([known[c] for c in chunks]), dtype=np.int32) for chunks in split]
+        return [None if chunks is None else b"".join([known[c] for c in chunks]) for chunks in split]
 
     def decode(self, ids: list[int]) -> str:
         m, out, raw = self.model, [], bytearray()
@@ -345,58 +383,41 @@ def load_model(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def _slices(texts: pd.Series, chars: int = 4 << 20) -> Iterator[list]:
-    """Lists of texts with so many characters at most, or one text."""
-    now, size = [], 0
-    for t in texts:
-        t = None if t is None or t is pd.NA or t != t else t
-        n = len(t) if t else 0
-        if now and size + n > chars:
-            yield now
-            now, size = [], 0
-        now.append(t)
-        size += n
-    if now:
-        yield now
-
-
-def encoded(spark: SparkSession, model: bytes, text: Column) -> Column:
-    """array<int> ids of a string column."""
-    shared = spark.sparkContext.broadcast(model)
-    box: list[Encoder] = []
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not box:
-            box.append(Encoder(Model(shared.value)))
-        for batch in batches:
-            out = []
-            for texts in _slices(batch):
-                out += box[0].encode(texts)
-            yield pd.Series(out, index=batch.index, dtype=object)
-
-    return encode(text)
-
-
-def decoded(spark: SparkSession, model: bytes, ids: Column) -> Column:
-    """The text of an array<int> column."""
-    shared = spark.sparkContext.broadcast(model)
-    box: list[Encoder] = []
-
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not box:
-            box.append(Encoder(Model(shared.value)))
-        for batch in batches:
-            yield pd.Series([None if x is None else box[0].decode(x.tolist()) for x in batch], index=batch.index, dtype=object)
-
-    return decode(ids)
-
-
 def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text_col`` in ``ids_col`` (a column of that name is replaced)."""
-    return docs.withColumn(ids_col, encoded(docs.sparkSession, model, F.col(text_col)))
+    """``docs`` with the ids (array<int>) of ``text_col`` in ``ids_col`` (a column of that name is replaced)."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != ids_col))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for whole in batches:
+            encoder = encoder or Encoder(Model(shared.value))
+            sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy()
+            for low, high in slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), SLICE):
+                part = whole.slice(low, high - low)
+                ids = encoder.encode(part.column(at).to_pylist())
+                ends = np.cumsum([0] + [len(x or b"") // 4 for x in ids])
+                none = pa.array([x is None for x in ids])
+                values = pa.array(np.frombuffer(b"".join([x or b"" for x in ids]), dtype=np.int32))
+                column = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values, mask=none)
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids_col])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
 
 
 def decode_documents(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    return docs.withColumn(text_col, decoded(docs.sparkSession, model, F.col(ids_col)))
+    """``docs`` with the text of an array of ids in ``text_col``.
+
+    Every piece has its bytes in hexadecimal; joined, they are the text's
+    UTF-8, whose faulty parts become U+FFFD.
+    """
+    m = Model(model)
+    low = m.bytes_at[0]
+    spelt = [f"{i - low:02x}" if kind == 6 else p.encode().hex() for i, (p, kind) in enumerate(zip(m.plain, m.kinds.tolist(), strict=True))]
+    table = F.split(F.lit(",".join(spelt)), ",")  # folded to one constant
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.get(table, i)), "")).cast("string"))
+    if m.dummy_prefix:
+        text = F.when(F.startswith(text, F.lit(" ")), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+    return docs.withColumn(text_col, text)
