@@ -144,11 +144,14 @@ LABELLED = [
     (60, 0.0, 70, 0.0, 80, 0.0, -1, 0), (90, 0.05, 100, 0.0, 60, 0.0, -1, 0), (35, 0.0, 50, 0.0, 40, 0.0, -1, 0), (20, 0.0, 30, 0.0, 45, 0.0, -1, 0),
     (8, 0.0, 0, 0.0, 90, 0.0, -1, 0), (70, 0.0, 0, 0.0, 0, 0.0, -1, 0), (100, 0.0, 0, 0.0, 50, 0.0, -1, 0), (45, 0.0, 90, 0.0, 0, 0.0, -1, 0),
     (70, 0.0, 60, 0.0, 0, 0.0, 0, 1), (40, 0.0, 90, 0.0, 3, 0.5, 0, 1), (55, 0.0, 80, 0.0, 6, 0.0, 0, 1), (25, 0.0, 60, 0.0, 0, 0.0, 0, 1), (16, 0.0, 55, 0.0, 4, 1.0, 0, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 1, 1), (4, 0.0, 3, 0.0, 0, 0.0, 1, 1), (3, 0.0, 40, 0.0, 2, 1.0, 1, 1), (7, 0.0, 5, 0.2, 3, 0.0, 1, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 1),
+    (5, 0.0, 1, 1.0, 0, 0.0, 1, 1), (6, 0.4, 3, 0.8, 4, 0.6, 1, 1), (2, 1.0, 2, 1.0, 3, 1.0, 1, 1), (8, 0.9, 3, 1.0, 6, 1.0, 1, 1), (20, 0.8, 14, 0.9, 11, 1.0, 1, 1),
+    (1, 1.0, 0, 0.0, 60, 0.0, 0, 0), (3, 1.0, 0, 0.0, 80, 0.0, 0, 0), (4, 1.0, 5, 1.0, 50, 0.0, 0, 0), (2, 1.0, 40, 0.0, 70, 0.0, 0, 0),
     (2, 0.0, 3, 0.0, 2, 0.0, 0, 0), (4, 0.0, 3, 0.0, 0, 0.0, 0, 0), (3, 0.0, 40, 0.0, 2, 1.0, 0, 0), (7, 0.0, 5, 0.2, 3, 0.0, 0, 0),
 ]
 
 
-def grow(rows: list[tuple], depth: int = 6):
+def grow(rows: list[tuple], depth: int = 8):
     """A decision tree: the label, or (feature, threshold, tree up to it, tree above it)."""
     labels = [r[-1] for r in rows]
     ones = sum(labels)

@@ -159,8 +159,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per id: ``id, n_shingles, component_id, kept``.
 
     ``words`` words make a shingle; documents are linked if 100 * intersection
-    >= percent * union. ``component_id`` is the smallest id reachable.
+    >= percent * union. ``component_id`` is the smallest id reachable. The
+    bands are made for 80 percent and more; less raises ValueError.
     """
+    if percent < 80:
+        raise ValueError("the bands are made for a similarity of 80 percent and more")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
     sketched = materialize(docs.mapInArrow(_sketches(words), "id long, n long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
     # one class for each set; its smallest id stands for it

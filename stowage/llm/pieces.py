@@ -139,7 +139,7 @@ class Index:
         first = key = np.zeros(n, dtype=np.int64)
         for i in range(width):
             key <<= self.bits
-            key[: n - i] |= dense[i:]
+            key[: max(0, n - i)] |= dense[i:]
         while True:
             order = np.argsort(key)
             if width >= depth:

@@ -39,7 +39,7 @@ _PATTERN = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What a text must contain before the pattern is tried.
 _HINT = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -152,8 +152,12 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alp
 
 def redact(text: Column, *kinds: tuple[str, Column]) -> Column:
     """The text with each (kind, spans) replaced by ``[KIND]``; of overlapping spans the first (then the longest) counts."""
-    marked = [F.transform(spans, lambda s, k=k: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), F.lit(f"[{k.upper()}]").alias("mark"))) for k, spans in kinds]
-    spans = F.sort_array(F.flatten(F.array(*marked)))
+
+    def marked(kind: str, spans: Column) -> Column:
+        mark = F.lit(f"[{kind.upper()}]").alias("mark")
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), mark))
+
+    spans = F.sort_array(F.flatten(F.array(*(marked(k, s) for k, s in kinds))))
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
