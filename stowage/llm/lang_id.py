@@ -19,6 +19,7 @@ language that sorts first. A repeated row gets the same answer each time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 BITS, ORDERS, MAX_LANGUAGES = 15, 3, 256
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _OTHERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -45,16 +46,17 @@ def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
 
 def _prepared(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of texts: first row, row after the last, code points, each text's end. Texts without a letter are empty."""
-    plain = [" " + _OTHERS.sub(" ", t).strip().lower() + " " if t and _LETTER.search(t) else "" for t in texts]
     low = 0
-    while low < len(plain):
-        high, size = low, 0
-        while high < len(plain) and (high == low or size + len(plain[high]) <= SLICE_CHARS):
-            size += len(plain[high])
-            high += 1
-        codes = np.frombuffer("".join(plain[low:high]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        yield low, high, codes, np.cumsum([len(t) for t in plain[low:high]])
-        low = high
+    while low < len(texts):
+        plain, size = [], 0
+        for t in islice(texts, low, None):
+            if plain and size + len(t or "") > SLICE_CHARS:
+                break
+            plain.append(" " + _OTHERS.sub(" ", t).strip().lower() + " " if t and _LETTER.search(t) else "")
+            size += len(plain[-1])
+        codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        yield low, low + len(plain), codes, np.cumsum([len(t) for t in plain])
+        low += len(plain)
 
 
 def _grams(codes: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:

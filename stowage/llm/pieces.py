@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Characters of chunks that are indexed together.
 BATCH_CHARS = 300_000
 #: Bytes of text that are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Chunks up to this length are relaxed together, column by column; longer ones with a heap.
 LONG_CHUNK = 48
 #: Characters of chunks that a worker meets before it forgets those it has not met since as many.
