@@ -134,13 +134,13 @@ def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
 
 
 def _spans(docs: DataFrame, index: Index) -> DataFrame:
-    """``id, n_words, hits, items``: hits are [first word, word after the last] of merged occurrences."""
+    """``id, digest, n_words, hits, items``: hits are [first word, word after the last] of merged occurrences."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for low, words in words_of(batch.column(1), ALNUM):
+            for low, words in words_of(batch.column(2), ALNUM):
                 n = len(words)
                 hits: list[list[list[int]]] = [[] for _ in range(n)]
                 items: list[set[int]] = [set() for _ in range(n)]
@@ -160,15 +160,17 @@ def _spans(docs: DataFrame, index: Index) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, n),
+                        batch.column(1).slice(low, n),
                         pa.array(np.diff(words.rows)),
                         pa.array(hits, type=pa.list_(pa.list_(pa.int64()))),
                         pa.array([sorted(known.items[i] for i in x) for x in items], type=pa.list_(pa.string())),
                     ],
-                    names=["id", "n_words", "hits", "items"],
+                    names=["id", "digest", "n_words", "hits", "items"],
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_words long, hits array<array<long>>, items array<string>")
+    docs = docs.select("id", F.xxhash64("text").alias("digest"), "text")
+    return docs.mapInArrow(run, f"id {kind}, digest long, n_words long, hits array<array<long>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -184,10 +186,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         index.post(_frequencies(docs, index))
         parts.append(_spans(docs, index))
     if not parts:
-        return _spans(docs, empty_index(window))
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(docs, benchmark, parts, window)
+        parts.append(_spans(docs, empty_index(window)))
+    return parts[0].drop("digest") if len(parts) == 1 else _merged(parts)
 
 
 def empty_index(window: int = WINDOW) -> Index:
@@ -196,16 +196,21 @@ def empty_index(window: int = WINDOW) -> Index:
     return index
 
 
-def _merged(docs: DataFrame, benchmark: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
-    """The parts' rows of each id, copy by copy: spans merged, items united. A part has as many rows for an id as ``docs``."""
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    # rows that repeat an id are told apart by their text's hits only, so equal ids share theirs
-    both = whole.groupBy("id").agg(
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """One row for each row of the documents: spans of all parts merged, items united.
+
+    Rows of equal id and text have equal spans in each part; they are counted
+    there, joined part by part and then repeated.
+    """
+    whole = None
+    for part in parts:
+        once = part.groupBy("id", "digest").agg(F.max("n_words").alias("n_words"), F.max("hits").alias("hits"), F.max("items").alias("items"), F.count("*").alias("rows"))
+        whole = once if whole is None else whole.unionByName(once)
+    both = whole.groupBy("id", "digest").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("rows").alias("rows"),
     )
 
     def step(acc, s):
@@ -213,7 +218,8 @@ def _merged(docs: DataFrame, benchmark: DataFrame, parts: list[DataFrame], windo
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
         return F.when((F.size(acc) > 0) & (s[0] <= F.try_element_at(acc, F.lit(-1))[1]), joined).otherwise(F.concat(acc, F.array(s)))
 
-    return both.withColumn("hits", F.aggregate("hits", F.array().cast("array<array<bigint>>"), step))
+    both = both.withColumn("hits", F.aggregate("hits", F.array().cast("array<array<bigint>>"), step))
+    return both.select("id", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
 
 
 def digest(items: list[str]) -> str:

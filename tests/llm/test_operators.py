@@ -311,6 +311,22 @@ def test_contamination_in_blocks(spark, sf_dir, monkeypatch):
     assert {r.doc_id: r for r in queries.op9_decontamination(spark, sf_dir).collect()} == want
 
 
+def test_contamination_of_repeated_rows_in_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    passage, other = " ".join(words[:20]), " ".join(words[30:45])
+    items = spark.createDataFrame([(str(i), " ".join(words[i : i + 12])) for i in range(0, 48, 6)], "item_id string, text string")
+    rows = [(1, passage), (1, passage), (1, other), (None, other), (None, passage), (None, "clean text"), (None, None), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def results():
+        return sorted((str(r.id), r.n_words, str(r.hits), str(r["items"])) for r in decontam.contamination(docs, items).collect())
+
+    want = results()
+    assert len(want) == len(rows) and sum(x[2] != "[]" for x in want) == 5
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    assert results() == want
+
+
 def test_html():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header><a href='/'>Home</a> Site</header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>"
