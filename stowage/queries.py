@@ -15,7 +15,7 @@ from .functions import names, paths, text as texts
 from .operators import dups, files as ops, geo, health, history, journal, state, tree
 from .plans import planners, rules
 from .scratch import settle
-from .sources import bindings
+from .sources import bindings, listing
 from .sources.bindings import FILES_SQL, NOW, ROOT, TREE_SQL
 
 HOSTS = ["laptop"]
@@ -797,3 +797,45 @@ def big_size_tree(spark, d):
     b = spark.sql(_BIG, lineitem=bindings.table(spark, d, "lineitem"))
     own = b.groupBy("dir_key").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
     return tree.to_ancestors(own, "/b/").groupBy(F.col("ancestor").alias("dir_key")).agg(F.sum("files").alias("files"), F.sum("size").alias("size"))
+
+
+# -------------------------------------------------------------------- listing
+_MODES = """,
+modes AS (
+  SELECT dir_key, CASE WHEN dir_key = '/c/' THEN 'full' WHEN name = 'n5' OR name = 'src3' THEN 'exclude' WHEN name = 'de' OR dir_key LIKE '%/src5/' THEN 'summary' ELSE 'full' END AS mode
+  FROM (SELECT dir_key, regexp_extract(dir_key, '([^/]+)/$', 1) AS name FROM dirs) n
+)"""
+
+
+def _modes(spark, d):
+    bare = F.regexp_replace("dir_key", "/$", "")
+    mode = listing.dir_mode(bare, paths.name_of(F.col("dir_key")), ROOT, exclude=["N5", "src3"], summary=["de", "*/src5"])
+    return _dirs(spark, d).select("dir_key", mode.alias("mode"))
+
+
+@query(TREE_SQL + _MODES + " SELECT * FROM modes")
+def dir_modes(spark, d):
+    return _modes(spark, d)
+
+
+@query(TREE_SQL + _MODES + """,
+top AS (
+  SELECT d.dir_key, min_by(a.dir_key, length(a.dir_key)) AS top FROM dirs d JOIN modes a ON starts_with(d.dir_key, a.dir_key) WHERE a.mode <> 'full' GROUP BY d.dir_key
+)
+SELECT m.dir_key, cast(coalesce(sum(CASE WHEN f.is_link THEN 0 ELSE f.size END), 0) AS bigint) AS summary_size, count(f.path_key) AS summary_files
+FROM modes m JOIN top t ON t.top = m.dir_key LEFT JOIN files f ON f.dir_key = t.dir_key WHERE m.mode = 'summary' GROUP BY m.dir_key""")
+def summary_scan(spark, d):
+    return listing.summaries(_files(spark, d), _modes(spark, d), ROOT)
+
+
+@query(FILES_SQL + " SELECT path_key, size FROM files WHERE path_key LIKE '/c/src1/%'")
+def files_under(spark, d):
+    return listing.under(_files(spark, d), "/c/src1/").select("path_key", "size")
+
+
+@query(TREE_SQL + """,
+roots AS (SELECT unnest(['/c/src1/', '/c/src1/de/', '/c/leer/', '/d/']) AS root_key)
+SELECT d.dir_key, max_by(r.root_key, length(r.root_key)) AS root_key FROM dirs d LEFT JOIN roots r ON starts_with(d.dir_key, r.root_key) GROUP BY d.dir_key""")
+def select_root(spark, d):
+    roots = spark.createDataFrame([(r,) for r in ("/c/src1/", "/c/src1/de/", "/c/leer/", "/d/")], "root_key string")
+    return listing.select_root(_dirs(spark, d).select("dir_key"), roots).select("dir_key", "root_key")
