@@ -83,10 +83,11 @@ def find_sender(text: Column, senders: list[str]) -> Column:
 
 
 def shorten(text: Column, most: int) -> Column:
-    """Cut at the last space, if that keeps 40 % of ``most``."""
+    """Cut at a word's end, if one keeps 40 % of ``most``; no points or spaces at the end of what was cut."""
     cut = F.substring(text, 1, most)
-    at = F.length(F.regexp_extract(cut, r"^(.*) ", 1))
-    return F.when(F.length(text) <= most, text).when(at >= int(most * 0.4), F.substr(cut, F.lit(1), at)).otherwise(cut)
+    at = F.length(F.regexp_extract(cut, r"(?s)^(.*) ", 1))
+    whole = F.substring(text, most + 1, 1).rlike(r"\s") | (at * 10 < most * 4)
+    return F.when(F.length(text) <= most, text).otherwise(F.regexp_replace(F.when(whole, cut).otherwise(F.substr(cut, F.lit(1), at)), "[. ]+$", ""))
 
 
 def classify(texts: DataFrame, keywords: DataFrame, least: int = 3) -> DataFrame:

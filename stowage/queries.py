@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import names, paths, text as texts
+from .functions import checks, names, paths, text as texts
 from .operators import dups, files as ops, geo, health, history, journal, state, tree
 from .plans import planners, rules
 from .scratch import settle
@@ -757,7 +757,7 @@ x AS (SELECT id, text, regexp_extract(text, '(?:Datum|Date|date): *([0-9]{{4}}-[
 y AS (SELECT *, coalesce(try_strptime(nullif(a, ''), '%Y-%m-%d'), try_strptime(nullif(b, ''), '%d.%m.%Y')) AS p, coalesce(try_strptime(nullif(c, ''), '%Y-%m-%d'), try_strptime(nullif(e, ''), '%d.%m.%Y')) AS q FROM x)
 SELECT id, coalesce(CASE WHEN year(p) BETWEEN 1990 AND 2035 THEN strftime(p, '%Y-%m-%d') END, CASE WHEN year(q) BETWEEN 1990 AND 2035 THEN strftime(q, '%Y-%m-%d') END) AS date,
   regexp_replace(regexp_replace(m, '[.,][0-9]{{2}}$', ''), '[^0-9]', '', 'g') || ',' || regexp_extract(m, '[.,]([0-9]{{2}})$', 1) AS amount, regexp_extract(text, '(?:Rechnungsnummer|Invoice no|Nr)[.:]? *([A-Za-z0-9/-]{{3,}})', 1) AS number,
-  CASE WHEN instr(text, 'Nordwind AG') > 0 AND instr(text, 'Nordwind AG') < instr(text, 'Acme GmbH') THEN 'Nordwind AG' ELSE 'Acme GmbH' END AS sender, CASE WHEN length(text) <= 40 THEN text WHEN length(regexp_extract(substr(text, 1, 40), '^(.*) ', 1)) >= 16 THEN regexp_extract(substr(text, 1, 40), '^(.*) ', 1) ELSE substr(text, 1, 40) END AS short FROM y""")
+  CASE WHEN instr(text, 'Nordwind AG') > 0 AND instr(text, 'Nordwind AG') < instr(text, 'Acme GmbH') THEN 'Nordwind AG' ELSE 'Acme GmbH' END AS sender, CASE WHEN length(text) <= 40 THEN text ELSE regexp_replace(CASE WHEN regexp_matches(substr(text, 41, 1), '\\s') OR length(regexp_extract(substr(text, 1, 40), '^(.*) ', 1)) < 16 THEN substr(text, 1, 40) ELSE regexp_extract(substr(text, 1, 40), '^(.*) ', 1) END, '[. ]+$', '') END AS short FROM y""")
 def fields(spark, d):
     letters = spark.sql(_LETTERS, orders=bindings.table(spark, d, "orders"))
     t = F.col("text")
@@ -839,3 +839,53 @@ SELECT d.dir_key, max_by(r.root_key, length(r.root_key)) AS root_key FROM dirs d
 def select_root(spark, d):
     roots = spark.createDataFrame([(r,) for r in ("/c/src1/", "/c/src1/de/", "/c/leer/", "/d/")], "root_key string")
     return listing.select_root(_dirs(spark, d).select("dir_key"), roots).select("dir_key", "root_key")
+
+
+# --------------------------------------------------------------------- checks
+_TITLES = """SELECT doc_id, 'bericht-' || cast(doc_id AS string) || '.pdf' AS name, CASE doc_id % 9 WHEN 0 THEN 'Microsoft Word - ' || source WHEN 1 THEN 'Untitled 3' WHEN 2 THEN ' 2024 07 '
+  WHEN 3 THEN 'Bericht-' || cast(doc_id AS string) WHEN 4 THEN 'plan.DOCX' WHEN 5 THEN 'Document of ' || source WHEN 6 THEN '' WHEN 7 THEN 'IMG_' || cast(doc_id AS string) ELSE substr(text, 1, 60) END AS title FROM {documents}"""
+_JUNK_START = "|".join(checks.PROGRAMS)
+_JUNK_REST = "|".join(checks.PLACEHOLDERS)
+
+
+@query("WITH t AS (SELECT *, lower(trim(title)) AS l FROM (" + _TITLES.format(documents="documents") + f""") x)
+SELECT doc_id, l = '' OR regexp_matches(l, '^[0-9\\s]*$') OR l || '.pdf' = name OR l = name OR regexp_matches(l, '^({_JUNK_START})') OR regexp_matches(l, '^({_JUNK_REST})[ _:-]*[0-9 ]*$')
+  OR regexp_matches(l, '[.](doc|docx|pdf|xls|xlsx|ppt|pptx|tmp|indd)$') AS junk FROM t WHERE title IS NOT NULL""")
+def junk_titles(spark, d):
+    titles = spark.sql(_TITLES, documents=bindings.table(spark, d, "documents")).where("title is not null")
+    return titles.select("doc_id", checks.is_junk_title(F.col("title"), F.col("name")).alias("junk"))
+
+
+@query(r"""WITH v AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}<>:"/\\|?*]', ' ', 'g'), '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g') AS x FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(x, '^ ', ''), '[. ]+$', '')) AS cleaned FROM v""")
+def clean_values(spark, d):
+    return bindings.table(spark, d, "documents").select("doc_id", F.md5(checks.clean_value(F.col("text"))).alias("cleaned"))
+
+
+_IMAGES = """SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN ' Screenshot ' ELSE 'bild' END || cast(doc_id AS string) AS name, CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpg' END AS ext,
+  CASE WHEN doc_id % 5 = 1 THEN 'Canon EOS' END AS camera, CASE doc_id % 3 WHEN 0 THEN '1080' WHEN 1 THEN '1920' ELSE '640' END AS w, CASE WHEN doc_id % 3 = 0 THEN '1920' WHEN doc_id % 4 = 1 THEN '480' ELSE '1080' END AS h,
+  CASE WHEN doc_id % 4 = 0 THEN 'vertrag' END AS told FROM {documents}"""
+
+
+@query("WITH i AS (" + _IMAGES.format(documents="documents") + r"""), m AS (SELECT *, CASE WHEN name LIKE ' Screenshot%' THEN 'screenshot' WHEN camera IS NOT NULL THEN 'foto' WHEN ext = 'png' AND (w, h) IN (('1080', '1920'), ('1920', '1080')) THEN 'screenshot' END AS media,
+  len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) >= 25 AS enough FROM i)
+SELECT doc_id, media, CASE WHEN told IS NOT NULL AND (enough OR media IS NULL) THEN told ELSE media END AS category FROM m""")
+def media_categories(spark, d):
+    images = spark.sql(_IMAGES, documents=bindings.table(spark, d, "documents"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in (("exif.camera", "camera"), ("img.width", "w"), ("img.height", "h"))))
+    images = images.withColumn("media", checks.media_category(F.col("name"), F.col("ext"), F.map_from_entries(pairs)))
+    return images.select("doc_id", F.col("media.category").alias("media"), checks.by_text_or_media(F.col("told"), F.col("media"), F.col("text")).alias("category"))
+
+
+_ANSWERS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'no json' ELSE '{{"category": "' || CASE o_orderkey % 3 WHEN 0 THEN ' Rechnung ' WHEN 1 THEN 'vertrag' ELSE 'anderes' END || '", "confidence": ' || cast(o_orderkey % 13 AS string) || '.5e-1, "date": "'
+  || CASE o_orderkey % 4 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-02-29' WHEN 2 THEN '1980-01-01' ELSE '2025-09-01' END || '", "amount": "1.' || cast(100 + o_orderkey % 900 AS string) || ',50", "sender": "Acme: ' || cast(o_custkey AS string) || '/GmbH. ", "number": "'
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'RE-7' ELSE 'none' END || '"}}' END AS answer, o_orderkey AS k, o_custkey AS c FROM {orders}"""
+
+
+@query("WITH a AS (SELECT * FROM (" + _ANSWERS.format(orders="orders") + """) x)
+SELECT id, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 3 = 0 THEN 'rechnung' WHEN k % 3 = 1 THEN 'vertrag' END AS category, CASE WHEN k % 11 <> 0 AND k % 3 <> 2 THEN round(least(0.75, (k % 13 + 0.5) / 10), 2)::DOUBLE END AS confidence,
+  CASE WHEN k % 11 <> 0 AND k % 4 = 1 THEN '2024-02-29' END AS date, CASE WHEN k % 11 <> 0 THEN '1' || cast(100 + k % 900 AS varchar) || ',50' END AS amount,
+  CASE WHEN k % 11 <> 0 THEN 'Acme ' || cast(c AS varchar) || ' GmbH' END AS sender, CASE WHEN k % 11 <> 0 AND k % 2 = 0 THEN 'RE-7' END AS number FROM a""")
+def answers_checked(spark, d):
+    answers = spark.sql(_ANSWERS, orders=bindings.table(spark, d, "orders"))
+    return answers.select("id", checks.checked_answer(F.col("answer"), ["rechnung", "vertrag"], "2024-06-01").alias("a")).select("id", "a.category", "a.confidence", "a.date", "a.amount", "a.sender", "a.number")

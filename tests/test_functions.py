@@ -82,3 +82,16 @@ def test_validate_finds_what_is_wrong(spark):
     rows = [("/c/a/x", "move", "/c/b", "r"), ("/d/x", "move", "/c/B", "r"), ("/c/../x", "move", "/c/a/x", "r"), ("/c/a/", "move", "/c/q/", "r")]
     plan = spark.createDataFrame(rows, "path string, action string, target string, reason string")
     assert {r.rule for r in planners.validate(plan, "/c/").collect()} == {"outside", "dots", "same target", "target is a source", "inside a moved folder"}
+
+
+def test_checks(spark):
+    from stowage.functions import checks
+
+    assert values(spark, checks.is_run_id, "20240101-120000-00af", "20240101-120000-00AF", "20240101-120000-00af\n", "x") == [True, False, False, False]
+    assert values(spark, checks.clean_value, " a:b\u00a0 c. .", "...", "\x85x") == ["a b c", "", "x"]
+    assert values(spark, lambda x: checks.rfc3339(x.cast("long")), "17172000000000000", "-1") == ["2024-06-01T00:00:00+00:00", "1969-12-31T23:59:59+00:00"]
+    assert values(spark, lambda x: checks.is_junk_title(x, F.lit("Plan.v2.pdf")), "plan.v2", "PLAN.V2.PDF", "Scan_12", "scanner", "Microsoft Word x", "12 3", "") == [True, True, True, False, True, True, True]
+    assert values(spark, lambda x: checks.layer_usable(x, F.lit(3)), "w " * 50, "w " * 49) == [True, False]
+    assert values(spark, lambda x: checks.layer_usable(x, F.lit(None).cast("int")), "w " * 20, "w " * 19) == [True, False]
+    answer = values(spark, lambda x: checks.checked_answer(x, ["a"], "2024-06-01"), '{"category":"A","confidence":-3,"title":"' + "t" * 121 + '","date":"2025-6-2","sender":"?"}')[0]
+    assert answer.asDict() == {"category": "a", "confidence": 0.0, "date": "2025-06-02", "amount": None, "sender": None, "number": None, "title": None}
