@@ -33,16 +33,37 @@ class Rule:
     min_size: int | None = None
     max_size: int | None = None
     category: tuple[str, ...] = ()
+    category_source: str = "any"
     min_confidence: float = 0.8
     normalize: bool = False
     fields: dict[str, str] = field(default_factory=dict)
+    fields_regex: dict[str, str] = field(default_factory=dict)
+    text_regex: str | None = None
+    min_dwell: int | None = None
+    exif_fallback: str = "mtime"
+
+
+#: Columns that only some rules look at; null where the files have none.
+OPTIONAL = {"classified": "boolean", "source": "string", "text": "string", "ctime": "long", "first_seen": "long", "taken": "timestamp"}
+#: Parts of a date's format and Spark's letters for them.
+DATE_PARTS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
+
+
+def date_format(pattern: str) -> str:
+    """Spark's pattern for a ``strftime`` one; ValueError for a part it lacks."""
+    out = ""
+    for part, text in re.findall(r"(%.?)|([^%]+)", pattern):
+        if part and part not in DATE_PARTS:
+            raise ValueError(f"{part}: unknown part of a date")
+        out += DATE_PARTS[part] if part else "'" + text.replace("'", "''") + "'"
+    return out
 
 
 def parse(text: str) -> list[Rule]:
     """Rules of a TOML file (``[[rule]]``); ValueError names the rule and the key."""
     out: list[Rule] = []
     keys = set(Rule.__dataclass_fields__)
-    for i, raw in enumerate(tomllib.loads(text).get("rule", [])):
+    for i, raw in enumerate((held := tomllib.loads(text)).get("rule", []) + held.get("rules", [])):
         name = raw.get("name") or f"rule {i + 1}"
         if unknown := set(raw) - keys:
             raise ValueError(f"{name}: unknown key {sorted(unknown)[0]}")
@@ -51,14 +72,23 @@ def parse(text: str) -> list[Rule]:
         if any(r.name == name for r in out):
             raise ValueError(f"{name}: the name is used twice")
         made = dict(raw) | {"name": name}
-        for key in ("min_age", "max_age"):
+        for key in ("min_age", "max_age", "min_dwell"):
             if isinstance(made.get(key), str):
                 made[key] = parse_days(made[key])
         for key in ("min_size", "max_size"):
             if isinstance(made.get(key), str):
                 made[key] = parse_size(made[key])
         for key in ("ext", "category"):
-            made[key] = tuple(x.lower() for x in made.get(key, ()))
+            values = made.get(key, ())
+            made[key] = tuple(x.lower() for x in ([values] if isinstance(values, str) else values))
+        for key, known in (("category_source", ("any", "rules")), ("exif_fallback", ("mtime", "skip"))):
+            if made.get(key, known[0]) not in known:
+                raise ValueError(f"{name}: {key} is {' or '.join(known)}")
+        for pattern in (*made.get("fields_regex", {}).values(), *filter(None, [made.get("text_regex")])):
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                raise ValueError(f"{name}: {e}") from None
         groups = re.compile(made["name_regex"]).groups if made.get("name_regex") else 0
         if groups > MAX_CAPTURES:
             raise ValueError(f"{name}: more than {MAX_CAPTURES} groups")
@@ -95,6 +125,8 @@ def tokens(template: str, groups: int = 0) -> list[tuple[str, str, str | None]]:
             if not 1 <= int(name) <= groups:
                 raise ValueError(f"{{{name}}}: no such group")
             out.append(("capture", name, fallback or None))
+        elif name == "exif.date" or name.startswith("exif.date:"):
+            out.append(("taken", date_format(name[10:] or "%Y-%m-%d"), fallback or None))
         elif name in ("name", "stem", "ext", "parent", "year", "month", "day", "category") or name.startswith("doc."):
             out.append(("field", name, fallback or None))
         else:
@@ -118,6 +150,33 @@ def condition(rule: Rule, now: int, root: str) -> Column:
     return out
 
 
+def content_condition(rule: Rule, now: int) -> tuple[Column, Column]:
+    """(holds, reason): whether the conditions on content and stay hold, and what makes it a near miss only.
+
+    A file that was not classified (``classified``; where that is null, one
+    without a category) is a near miss of any rule that looks at its content; a
+    text that was not read fits none.
+    """
+    holds, reason = F.lit(True), F.lit(None).cast("string")
+    about = bool(rule.category or rule.fields or rule.fields_regex)
+    unknown = ~F.coalesce("classified", F.col("category").isNotNull()) if about else F.lit(False)
+    if rule.min_dwell is not None:
+        arrived = F.greatest(F.coalesce("ctime", "mtime"), "first_seen")
+        reason = F.when(names.age_days(arrived, now) < rule.min_dwell, "too-recent-arrival")
+    if rule.category:
+        holds = F.coalesce(F.lower("category").isin(*rule.category), F.lit(False))
+        if rule.category_source == "rules":
+            holds = holds & ~F.coalesce(F.col("source") == "llm", F.lit(False))
+        reason = F.when(F.col("confidence") < rule.min_confidence, "low-confidence").otherwise(reason)
+    for key, value in rule.fields.items():
+        holds = holds & F.coalesce(F.lower(F.try_element_at("fields", F.lit(key))) == value.lower(), F.lit(False))
+    for key, pattern in rule.fields_regex.items():
+        holds = holds & F.coalesce(F.try_element_at("fields", F.lit(key)).rlike(pattern), F.lit(False))
+    if rule.text_regex:
+        holds = holds & F.coalesce(F.col("text").rlike(rule.text_regex), F.lit(False))
+    return unknown | holds, F.when(unknown, "not-classified").otherwise(reason)
+
+
 def expand(rule: Rule) -> Column:
     """The target of a file; null if a field is missing and has no fallback."""
     when = F.timestamp_seconds((F.col("mtime") / 10_000_000).cast("long"))
@@ -137,6 +196,10 @@ def expand(rule: Rule) -> Column:
         if kind == "text":
             parts.append(F.lit(value))
             continue
+        if kind == "taken":
+            taken = F.coalesce("taken", when) if rule.exif_fallback == "mtime" else F.col("taken")
+            parts.append(F.coalesce(F.date_format(taken, value), F.lit(fallback)))
+            continue
         found = F.nullif(F.regexp_extract("name", rule.name_regex, int(value)), F.lit("")) if kind == "capture" else values[value] if value in values else F.try_element_at("fields", F.lit(value[4:]))
         parts.append(F.coalesce(found, F.lit(fallback)) if fallback is not None else found)
     made = F.concat(*parts)
@@ -145,20 +208,18 @@ def expand(rule: Rule) -> Column:
 
 
 def match(files: DataFrame, rules: list[Rule], now: int, root: str) -> DataFrame:
-    """``files`` with ``rule`` and ``status`` (match, near-miss, none) of the first rule that fits.
+    """``files`` with ``rule``, ``status`` (match, near-miss, none) and ``near`` (why it is a near miss) of the first rule that fits.
 
-    ``files`` needs ``category``, ``confidence`` and ``fields`` (null where a file was not classified).
+    ``files`` needs ``category``, ``confidence`` and ``fields`` (null where a
+    file was not classified); columns of ``OPTIONAL`` that it lacks are null.
     """
-    name, status = F.lit(None).cast("string"), F.lit("none")
+    files = files.withColumns({c: F.lit(None).cast(kind) for c, kind in OPTIONAL.items() if c not in files.columns})
+    found = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("near"))
     for rule in reversed(rules):
-        holds = condition(rule, now, root)
-        state = F.lit("match")
-        if rule.category:
-            sure = F.lower("category").isin(*rule.category)
-            state = F.when(F.col("category").isNull(), "near-miss").when(sure & (F.col("confidence") < rule.min_confidence), "near-miss").when(sure, "match")
-            holds = holds & state.isNotNull()
-        name, status = F.when(holds, rule.name).otherwise(name), F.when(holds, state).otherwise(status)
-    return files.withColumn("rule", name).withColumn("status", status)
+        holds, reason = content_condition(rule, now)
+        found = F.when(condition(rule, now, root) & holds, F.struct(F.lit(rule.name).alias("rule"), reason.alias("near"))).otherwise(found)
+    status = F.when(F.col("_m.rule").isNull(), "none").when(F.col("_m.near").isNull(), "match").otherwise("near-miss")
+    return files.withColumn("_m", found).withColumns({"rule": F.col("_m.rule"), "near": F.col("_m.near"), "status": status}).drop("_m")
 
 
 def plan_rules(files: DataFrame, rules: list[Rule], now: int, root: str) -> DataFrame:
@@ -180,7 +241,7 @@ def plan_rules(files: DataFrame, rules: list[Rule], now: int, root: str) -> Data
     found = found.join(here, F.lower("_wanted") == F.col("_k"), "left")
     same = F.coalesce((F.col("_k") != F.col("path_key")) & (F.col("_h") == F.col("full_hash")) & (F.col("_s") == F.col("size")), F.lit(False))
     reason = (
-        F.when(F.col("status") == "near-miss", F.when(F.col("category").isNull(), "not-classified").otherwise("low-confidence"))
+        F.when(F.col("status") == "near-miss", F.col("near"))
         .when(F.col("cloud_only"), "cloud-only")
         .when(F.col("_wanted").isNull(), "missing-field")
         .when(F.col("_k") == F.col("path_key"), "already-there")

@@ -95,3 +95,72 @@ def test_checks(spark):
     assert values(spark, lambda x: checks.layer_usable(x, F.lit(None).cast("int")), "w " * 20, "w " * 19) == [True, False]
     answer = values(spark, lambda x: checks.checked_answer(x, ["a"], "2024-06-01"), '{"category":"A","confidence":-3,"title":"' + "t" * 121 + '","date":"2025-6-2","sender":"?"}')[0]
     assert answer.asDict() == {"category": "a", "confidence": 0.0, "date": "2025-06-02", "amount": None, "sender": None, "number": None, "title": None}
+
+
+def test_conditions_on_content(spark):
+    text_ = """
+[[rules]]
+name = "bills"
+ext = ["pdf"]
+category = "Rechnung"
+category_source = "rules"
+fields = { "doc.sender" = "ACME" }
+fields_regex = { "doc.number" = "^RE-[0-9]+$" }
+min_dwell = "3d"
+target = "Bills/"
+
+[[rules]]
+name = "photos"
+ext = ["jpg"]
+target = "Fotos/{exif.date:%Y}/{exif.date:%Y-%m-%d}_{name}"
+
+[[rules]]
+name = "dated"
+ext = ["png"]
+target = "Fotos/{exif.date:%Y}/"
+exif_fallback = "skip"
+
+[[rules]]
+name = "letters"
+ext = ["txt", "pdf"]
+text_regex = "(?i)dear"
+target = "Letters/"
+"""
+    day = 864_000_000_000
+    now = 20_000 * day
+    schema = "name string, category string, source string, confidence double, number string, first_seen long, text string, taken timestamp"
+    rows = [
+        ("a.pdf", "rechnung", "rules", 0.9, "RE-1", None, None, None),
+        ("b.pdf", "rechnung", "llm", 0.9, "RE-1", None, "Dear X", None),
+        ("c.pdf", "rechnung", "rules", 0.5, "RE-1", now, None, None),
+        ("d.pdf", "rechnung", "rules", 0.9, "RE-1", now, None, None),
+        ("e.pdf", "rechnung", "rules", 0.9, "7", None, None, None),
+        ("f.pdf", None, None, None, None, None, "dear", None),
+        ("g.txt", None, None, None, None, None, "dear", None),
+        ("h.txt", None, None, None, None, None, None, None),
+        ("i.jpg", None, None, None, None, None, None, None),
+        ("j.png", None, None, None, None, None, None, None),
+    ]
+    files = spark.createDataFrame(rows, schema).selectExpr(
+        "*", "'/c/' || name AS path", "'/c/' || name AS path_key", "'/c/' AS dir_key", "substring_index(name, '.', -1) AS ext", "1L AS size", f"{now - 10 * day}L AS mtime", "false AS is_link",
+        "false AS cloud_only", "unhex('00') AS full_hash", "CASE WHEN number IS NOT NULL THEN map('doc.sender', 'Acme', 'doc.number', number) END AS fields",
+    )
+    made = rules.parse(text_)
+    got = {r.name: (r.rule, r.near) for r in rules.match(files, made, now, "/c/").collect()}
+    assert got == {
+        "a.pdf": ("bills", None), "b.pdf": ("letters", None), "c.pdf": ("bills", "low-confidence"), "d.pdf": ("bills", "too-recent-arrival"), "e.pdf": (None, None),
+        "f.pdf": ("bills", "not-classified"), "g.txt": ("letters", None), "h.txt": (None, None), "i.jpg": ("photos", None), "j.png": ("dated", None),
+    }
+    known = files.withColumn("classified", F.lit(True))
+    assert {r.name for r in rules.match(known, made, now, "/c/").where("near = 'not-classified'").collect()} == set()
+    plan = {r.path: (r.action, r.target, r.reason) for r in rules.plan_rules(files, made, now, "/c/").collect()}
+    assert plan["/c/i.jpg"][1] == "/c/Fotos/2024/2024-09-24_i.jpg" and plan["/c/j.png"] == ("skip", None, "missing-field")
+    assert plan["/c/d.pdf"] == ("skip", None, "too-recent-arrival")
+
+
+@pytest.mark.parametrize("bad", ['text_regex="("', 'category_source="x"', 'exif_fallback="x"', 'fields_regex={a="["}'])
+def test_bad_content_rules(bad):
+    with pytest.raises(ValueError):
+        rules.parse(f'[[rules]]\nname="a"\ntarget="x"\n{bad}')
+    with pytest.raises(ValueError):
+        rules.parse('[[rules]]\nname="a"\ntarget="{exif.date:%Q}"')
