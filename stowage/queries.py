@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import checks, names, paths, text as texts
+from .functions import categories, checks, names, paths, text as texts
 from .operators import dups, files as ops, geo, health, history, journal, state, tree
 from .plans import planners, rules
 from .scratch import settle
@@ -889,3 +889,38 @@ SELECT id, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 3 = 0 THEN 'rechnung' WHEN k
 def answers_checked(spark, d):
     answers = spark.sql(_ANSWERS, orders=bindings.table(spark, d, "orders"))
     return answers.select("id", checks.checked_answer(F.col("answer"), ["rechnung", "vertrag"], "2024-06-01").alias("a")).select("id", "a.category", "a.confidence", "a.date", "a.amount", "a.sender", "a.number")
+
+
+# ----------------------------------------------------------------- categories
+_DEFINITIONS = """
+[[categories]]
+name = "lizenz"
+keywords = { "licensed under" = 5, "license" = 3, "the" = 1 }
+exclude_keywords = ["copyright"]
+
+[[categories]]
+name = "kontakt"
+keywords = { "email" = 2, "contact" = 3, "call" = 2 }
+patterns = { '[0-9]{3}-[0-9]{4}' = 4 }
+
+[[categories]]
+name = "artikel"
+keywords = { "les" = 3, "der" = 3, "and" = 2, "que" = 2 }
+"""
+_SLOTS = ", ".join(
+    f"('{c.name}', {w}, '{('(^|[^\\p{L}\\p{N}])' + k + '([^\\p{L}\\p{N}]|$)') if plain else k}', {str(plain).lower()})"
+    for c in categories.load(_DEFINITIONS) for plain, held in ((True, c.keywords), (False, c.patterns), (True, dict.fromkeys(c.exclude_keywords, -1))) for k, w in held.items()
+)
+
+
+@query(f"""WITH slots(category, weight, pattern, folded) AS (VALUES {_SLOTS}),
+h AS (SELECT doc_id AS id, category, weight FROM documents, slots WHERE regexp_matches(CASE WHEN folded THEN lower(text) ELSE text END, pattern)),
+g AS (SELECT id, category, sum(weight) AS score FROM h GROUP BY 1, 2 HAVING min(weight) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS r FROM g)
+SELECT d.doc_id AS id, a.category, a.score::BIGINT AS score, round(least(1.0, a.score / 8) * (1 - pow(coalesce(b.score, 0) / a.score, 2)), 2) AS confidence,
+  CASE WHEN a.category IS NOT NULL THEN b.category END AS category2, CASE WHEN a.category IS NOT NULL THEN round(least(1.0, b.score / 8) * b.score / a.score, 2) END AS confidence2
+FROM documents d LEFT JOIN r a ON a.id = d.doc_id AND a.r = 1 AND a.score >= 3 LEFT JOIN r b ON b.id = d.doc_id AND b.r = 2""")
+def classify_defined(spark, d):
+    docs = bindings.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("").alias("name"), F.lit("txt").alias("ext"))
+    found = categories.categorize(docs, categories.load(_DEFINITIONS))
+    return found.select("id", *(f"found.{c}" for c in ("category", "score", "confidence", "category2", "confidence2")))

@@ -164,3 +164,26 @@ def test_bad_content_rules(bad):
         rules.parse(f'[[rules]]\nname="a"\ntarget="x"\n{bad}')
     with pytest.raises(ValueError):
         rules.parse('[[rules]]\nname="a"\ntarget="{exif.date:%Q}"')
+
+
+def test_categories(spark):
+    from stowage.functions import categories as cats
+
+    base = '[[categories]]\nname="mahnung"\nkeywords={"mahngebühr"=4,"in verzug"=3}\n[[categories]]\nname="angebot"\nkeywords={"angebot"=3}\nexclude_keywords=["absage"]\next=["pdf"]\n'
+    own = 'disable_builtin=["angebot"]\n[[categories]]\nname="mahnung"\nkeywords={"neu"=3}\n'
+    assert [c.name for c in cats.load(base)] == ["angebot", "mahnung"] and [list(c.keywords) for c in cats.load(base, own)] == [["neu"]]
+    rows = [(1, "Die Mahngebuehr, in Verzug!", "x.pdf", "pdf"), (2, "Mahngebühren inverzug", "x.pdf", "pdf"), (3, None, "Ein_Angebot.pdf", "PDF"), (4, "Angebot", "a.txt", "txt"), (5, "Angebot und Absage", "a.pdf", "pdf"), (6, None, None, None)]
+    files = spark.createDataFrame(rows, "id int, text string, name string, ext string")
+    got = {r.id: r.found for r in cats.categorize(files, cats.load(base)).collect()}
+    assert (got[1].category, got[1].score, got[1].confidence, got[1].hits) == ("mahnung", 7, 0.88, ["mahngebühr", "in verzug"])
+    assert got[3].category == "angebot" and got[3].hits == ["angebot (name)"]
+    assert [got[i].category for i in (2, 4, 5, 6)] == [None] * 4
+    assert cats.categorize(files.limit(0), cats.load(base)).collect() == [] and all(r.found.category is None for r in cats.categorize(files, []).collect())
+
+
+@pytest.mark.parametrize("bad", ['keywords={a=11}', 'patterns={"("=1}', "odd=1", 'name="b"'])
+def test_bad_categories(bad):
+    from stowage.functions import categories as cats
+
+    with pytest.raises(ValueError):
+        cats.load('[[categories]]\nname="b"\n[[categories]]\n' + bad)
