@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import fold
 
-#: Most definitions' text (characters): they go to every executor.
+#: Most definitions' text (characters): they go to every executor. A result's points, at least, and keywords, at most.
 MAX_DEFINITIONS = 1 << 20
-LEAST, MAX_HITS = 3, 5
+LEAST, MAX_HITS = 3, 8
 RESULT = "category string, score long, confidence double, category2 string, confidence2 double, hits array<string>"
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import categories, checks, names, paths, text as texts
-from .operators import dups, files as ops, geo, health, history, journal, state, tree
+from .operators import dups, files as ops, geo, health, history, journal, state, template, tree
 from .plans import planners, rules
 from .scratch import settle
 from .sources import bindings, listing
@@ -924,3 +924,37 @@ def classify_defined(spark, d):
     docs = bindings.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("").alias("name"), F.lit("txt").alias("ext"))
     found = categories.categorize(docs, categories.load(_DEFINITIONS))
     return found.select("id", *(f"found.{c}" for c in ("category", "score", "confidence", "category2", "confidence2")))
+
+
+# ------------------------------------------------------------------- template
+_TEMPLATE = """
+max_depth = 3
+[[levels]]
+patterns = ["^src[0-9]+$"]
+allowed = ["Kopie"]
+[[levels]]
+required = ["de", "en"]
+allowed = ["fr"]
+files = true
+"""
+_LEVELS = TREE_SQL + r""",
+l AS (SELECT *, length(dir_key) - length(replace(dir_key, '/', '')) - 2 AS lv, regexp_extract(dir_key, '([^/]+)/$', 1) AS nm, regexp_extract(dir_key, '^/c/[^/]+/') AS bucket FROM dirs WHERE dir_key <> '/c/' AND NOT is_link AND NOT starts_with(dir_key, '/c/leer/n3/')),
+rec AS (
+  SELECT CASE WHEN lv = 4 THEN 'too_deep' WHEN lv = 1 AND NOT (regexp_matches(nm, '^src[0-9]+$') OR nm = 'kopie') THEN 'bad_name' WHEN lv = 2 AND nm NOT IN ('de', 'en', 'fr') THEN 'unexpected_dir' END AS kind, dir_key AS path, lv::BIGINT AS level, bucket FROM l WHERE lv IN (1, 2, 4)
+  UNION ALL SELECT CASE WHEN dir_key = '/c/' THEN 'file_not_allowed' END, path, (length(dir_key) - length(replace(dir_key, '/', '')) - 1)::BIGINT, regexp_extract(dir_key, '^/c/[^/]+/') FROM files WHERE NOT is_link AND regexp_matches(dir_key, '^/c/([^/]+/)?$')
+  UNION ALL SELECT 'missing_required', w, 2, bucket FROM (SELECT bucket, unnest([dir_key || 'de/', dir_key || 'en/']) AS w FROM l WHERE lv = 1 AND mode <> 'summary') WHERE w NOT IN (SELECT dir_key FROM dirs)
+)"""
+
+
+def _template(spark, d):
+    return template.checked(_files(spark, d), _dirs(spark, d), ROOT, template.parse(_TEMPLATE), tool_dir="n3")
+
+
+@query(_LEVELS + " SELECT * FROM rec WHERE kind IS NOT NULL")
+def template_deviations(spark, d):
+    return template.deviations(_template(spark, d))
+
+
+@query(_LEVELS + " SELECT bucket, count(*) AS checked, count(kind) AS deviations FROM rec GROUP BY bucket")
+def template_buckets(spark, d):
+    return template.by_bucket(_template(spark, d))

@@ -187,3 +187,28 @@ def test_bad_categories(bad):
 
     with pytest.raises(ValueError):
         cats.load('[[categories]]\nname="b"\n[[categories]]\n' + bad)
+
+
+def test_templates(spark):
+    from stowage.operators import template
+
+    dirs = spark.createDataFrame(
+        [(k, False, m) for k, m in (("/r/", "full"), ("/r/1 projekte/", "full"), ("/r/2 bereiche/", "full"), ("/r/4 archiv/", "full"), ("/r/neu/", "full"), ("/r/neu/x/", "full"), ("/r/_archiv/", "full"), ("/r/.stowage/", "full"))],
+        "dir_key string, is_link boolean, mode string",
+    )
+    files = spark.createDataFrame([("/r/a", "/r/", False), ("/r/l", "/r/", True), ("/r/neu/b", "/r/neu/", False), ("/r/_archiv/c", "/r/_archiv/", False)], "path string, dir_key string, is_link boolean")
+    found = template.checked(files, dirs, "/r/", template.parse("PARA"))
+    assert {(r.kind, r.path) for r in template.deviations(found).collect()} == {("missing_required", "/r/3 Ressourcen/"), ("unexpected_dir", "/r/neu/"), ("file_not_allowed", "/r/a")}
+    assert {r.bucket: (r.checked, r.deviations) for r in template.by_bucket(found).collect()} == {"": (2, 2), "/r/1 projekte/": (1, 0), "/r/2 bereiche/": (1, 0), "/r/4 archiv/": (1, 0), "/r/neu/": (1, 1)}
+    deep = template.checked(files, dirs, "/r/", template.parse("max_depth = 1"))
+    assert [(r.kind, r.path) for r in deep.collect()] == [("too_deep", "/r/neu/x/")]
+    assert [len(level.patterns) for level in template.parse("johnny-decimal").levels] == [1, 1, 1]
+    assert template.checked(files.limit(0), dirs.limit(0), "/r/", template.parse("johnny-decimal")).collect() == []
+
+
+@pytest.mark.parametrize("bad", ["", "max_depth = 0", "x = 1", '[[levels]]\npatterns = ["("]', '[[levels]]\nallowed = ["a/b"]', "max_depth = 1\n[[levels]]\n[[levels]]"])
+def test_bad_templates(bad):
+    from stowage.operators import template
+
+    with pytest.raises(ValueError):
+        template.parse(bad)
