@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines, ``n_chars`` with them; a document that loses its last word goes."""
-    done = line_dedup.drop_recurring_lines(docs)
+    done = line_dedup.drop_recurring_lines(docs, **line_dedup.WHOLE)
     done = done.where((F.col("lines_dropped") == 0) | F.col("lines_dropped").isNull() | F.col("text").rlike(r"\S"))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return done.select(*((n_chars if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -10,6 +10,12 @@ templates that ``min_docs`` documents share are recurring, if no more than
 first line (smallest id, then place in the text) stays, all others go.
 Lines of at least ``long_tokens`` tokens recur from two documents on.
 
+Lines alike in all but their variable fields recur too, if at least
+``alike_share`` of their tokens have no digit; lines with fewer such tokens
+(rows of tables, lists of numbers) recur only where all tokens are equal. The
+default of 0 takes all of them as alike; :data:`WHOLE` asks for the share of a
+template, and is what op5_line_dedup and the pipeline use.
+
 Scale: the tree is two keys of 64 bits made on the executors, so that only
 (id, place, keys) of each line are counted and joined; the tokens of lines
 are looked at only in leaves that several documents share and that hold lines
@@ -36,6 +42,8 @@ from .shared import materialize
 from .words import NOT_SPACE, Words, chain, mix, slices, string_bytes
 
 DEPTH = 3
+#: Options of op5_line_dedup and the pipeline.
+WHOLE = {"alike_share": 0.8}
 _VARIABLE = np.uint64(0xA24BAED4963EE407)
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
@@ -58,6 +66,8 @@ class Lines:
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         variable = digits[words.ends] > digits[words.starts]
         self.tokens = np.where(variable, _VARIABLE, words.hashes)
+        self.raw = words.hashes
+        self.variable = np.concatenate([[0], np.cumsum(variable)])
         n = len(self.begins)
         if n:
             self.first = np.searchsorted(words.starts, self.begins)
@@ -72,16 +82,20 @@ class Lines:
             columns.append(np.where(self.counts > i, padded[np.minimum(self.first + i, len(padded) - 1)], np.uint64(0)))
         return chain(*columns)
 
-    def lines(self) -> np.ndarray:
-        """Hash of each line's tokens in order."""
-        place = np.arange(len(self.tokens)) - np.repeat(self.first, self.counts)
-        each = mix(self.tokens ^ mix(place.astype(np.uint64) + np.uint64(1)))
+    def fixed(self) -> np.ndarray:
+        """Tokens without a digit of each line."""
+        return self.counts - (self.variable[self.first + self.counts] - self.variable[self.first])
+
+    def lines(self, tokens: np.ndarray) -> np.ndarray:
+        """Hash of each line's ``tokens`` in order."""
+        place = np.arange(len(tokens)) - np.repeat(self.first, self.counts)
+        each = mix(tokens ^ mix(place.astype(np.uint64) + np.uint64(1)))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
         return chain(sums[self.first + self.counts] - sums[self.first], self.counts.astype(np.uint64))
 
 
-def _keys(min_tokens: int):
-    """A row for each line that can be dropped: id, place, tokens, leaf, line."""
+def _keys(min_tokens: int, alike_share: float):
+    """A row for each line that can be dropped: id, place, tokens, leaf, line, and ``same``, the hash of its tokens as they are, if only equal lines are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +105,11 @@ def _keys(min_tokens: int):
                 row = np.repeat(np.arange(low, high), np.diff(found.rows))
                 place = np.arange(len(row)) - np.repeat(found.rows[:-1], np.diff(found.rows))
                 some = np.flatnonzero(found.counts >= min_tokens)
+                alike = found.fixed()[some] >= found.counts[some] * alike_share
+                same = pa.array(found.lines(found.raw)[some].view(np.int64), mask=alike)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[some])), _long(place[some]), _long(found.counts[some]), _long(found.leaves()[some]), _long(found.lines()[some])],
-                    names=["id", "place", "tokens", "leaf", "line"],
+                    [batch.column(0).take(pa.array(row[some])), _long(place[some]), _long(found.counts[some]), _long(found.leaves()[some]), _long(found.lines(found.tokens)[some]), same],
+                    names=["id", "place", "tokens", "leaf", "line", "same"],
                 )
 
     return run
@@ -114,18 +130,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(place, type=pa.int64()), pa.array(tokens, type=pa.list_(pa.int64()))], names=["id", "place", "words"])
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 20, fixed_share: float = 0.8) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 20, fixed_share: float = 0.8, alike_share: float = 0.0) -> DataFrame:
     """``id, places``: the places (from 0) of the lines to drop, for documents that lose some."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     kind = docs.schema["id"].dataType.simpleString()
-    lines = materialize(docs.mapInArrow(_keys(min_tokens), f"id {kind}, place long, tokens long, leaf long, line long"), "lines")
+    lines = materialize(docs.mapInArrow(_keys(min_tokens, alike_share), f"id {kind}, place long, tokens long, leaf long, line long, same long"), "lines")
     needed = F.when(F.col("tokens") >= long_tokens, 2).otherwise(min_docs)
 
     # documents and the first line of each distinct line; a document's lines come together first
-    each = lines.groupBy("line", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"))
-    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"))
+    each = lines.groupBy("line", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and(F.col("same").isNull()).alias("alike"))
+    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and("alike").alias("alike"))
     alike = materialize(alike, "alike")
-    exact = alike.where(F.col("docs") >= needed).select("line", "first")
+    exact = alike.where(F.col("alike") & (F.col("docs") >= needed)).select("line", "first")
+    # of the others, those that are equal
+    equal = lines.where("same is not null").groupBy("same", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"))
+    equal = equal.groupBy("same").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"))
+    equal = equal.where(F.col("docs") >= needed).select(F.col("same").alias("line"), "first")
     # leaves with several lines, some of which no other documents have: these may have variable fields
     leaves = alike.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("docs").alias("least"), F.max("tokens").alias("tokens"))
     leaves = leaves.where((F.col("lines") > 1) & (F.col("docs") >= needed) & (F.col("least") < needed)).select("leaf")
@@ -147,8 +167,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # lines alike in fixed fields share the first line of their template
     first = told.select("line", F.struct("id", "place").alias("first")).join(generalised, "line").groupBy("leaf", "x", "y").agg(F.min("first").alias("first"))
     general = generalised.join(first, ["leaf", "x", "y"]).select("line", "first")
-    recurring = exact.union(general).groupBy("line").agg(F.min("first").alias("first"))
-    gone = lines.select("id", "place", "line").join(recurring, "line").where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
+    recurring = exact.union(equal).union(general).groupBy("line").agg(F.min("first").alias("first"))
+    gone = lines.select("id", "place", F.coalesce("same", "line").alias("line")).join(recurring, "line").where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
     return gone.groupBy("id").agg(F.collect_set("place").alias("places"))
 
 

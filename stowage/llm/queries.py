@@ -63,7 +63,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), **line_dedup.WHOLE)
     return done.select("doc_id", "lines_dropped", F.length("text").cast("long").alias("kept_chars"), _sha256(F.col("text")).alias("kept_sha256"))
 
 

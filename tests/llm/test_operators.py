@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
+import corpus_pipeline
 from stowage.llm import chat, components, decontam, html_text, lang_id, line_dedup, near_dup, pieces, pii, queries, tiff, warc
 
 LONG = "wort " * 20_000 + "x" * 50_000
@@ -172,6 +173,20 @@ def test_lines(spark):
     assert line_dedup.drop_recurring_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_of_numbers_recur_only_if_equal(spark):
+    table = lambda i: "\n".join(["| item | count | price |", f"| {i} | {i * 7} | 3.{i} |", "12 45 99", f"{i}00 8 {i}77", f"2024-01-0{i} 10:0{i} ok", f"the footer of this page was made on day {i}"])
+    rows = [(i, table(i) + "\n12 45 99") for i in range(1, 5)]
+    long = " ".join(str(k) for k in range(30))
+    rows += [(5, long), (6, long), (7, long + " 31"), (8, " ".join(str(k + 1) for k in range(30)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    # the heading, the equal row of numbers and the footer, which differs in one of nine tokens
+    want = {1: {6}, 2: {0, 2, 5, 6}, 3: {0, 2, 5, 6}, 4: {0, 2, 5, 6}, 6: {0}}
+    assert {x.id: set(x.places) for x in line_dedup.dropped_lines(frame, **line_dedup.WHOLE).collect()} == want
+    docs = frame.selectExpr("doc_id", "text", "length(text) n_chars")
+    kept = {x.doc_id: x.text.split("\n") for x in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert kept == {i: [x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())] for i, t in rows if i != 6}
+
+
 def test_lines_of_generated_documents(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert {x.id: set(x.places) for x in line_dedup.dropped_lines(frame).collect()} == brute.template_lines(rows_of(frame))
