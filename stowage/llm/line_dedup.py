@@ -8,13 +8,18 @@ too. A line's template is its tokens with the variable fields generalised;
 templates that ``min_docs`` documents share are recurring, if no more than
 ``1 - fixed_share`` of their fields are variable. Of a recurring template the
 first line (smallest id, then place in the text) stays, all others go.
-Lines of at least ``long_tokens`` tokens recur from two documents on.
+Lines of at least ``long_tokens`` tokens recur from two documents on. In
+scripts without spaces a line is one token or few, so where lines are equal
+two Chinese or Japanese characters, or four Thai, Lao, Burmese or Khmer ones,
+are as long as a token.
 
 Lines alike in all but their variable fields recur too, if at least
 ``alike_share`` of their tokens have no digit; lines with fewer such tokens
 (rows of tables, lists of numbers) recur only where all tokens are equal. The
-default of 0 takes all of them as alike; :data:`WHOLE` asks for the share of a
-template, and is what op5_line_dedup and the pipeline use.
+default of 0 takes all of them as alike, and lines of fewer than three tokens
+stay by default; :data:`WHOLE` asks for the share of a template, counts all
+lines with a token, and is what op5_line_dedup and the pipeline use. Lines of
+up to ``DEPTH`` tokens are alone in their leaf, so they recur as they are.
 
 Scale: the tree is two keys of 64 bits made on the executors, so that only
 (id, place, keys) of each line are counted and joined; the tokens of lines
@@ -43,10 +48,14 @@ from .words import NOT_SPACE, Words, chain, mix, slices, string_bytes
 
 DEPTH = 3
 #: Options of op5_line_dedup and the pipeline.
-WHOLE = {"alike_share": 0.8}
+WHOLE = {"alike_share": 0.8, "min_tokens": 1}
 _VARIABLE = np.uint64(0xA24BAED4963EE407)
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
+#: Quarters of a token by the first byte of a character: U+3000 to U+9FFF; by the first two: Thai, Lao, Burmese, Khmer.
+_WIDE = np.zeros(256, dtype=np.int64)
+_WIDE[0xE3:0xEA] = 2
+_PAIRS = [(0xE0, (0xB8, 0xB9, 0xBA, 0xBB)), (0xE1, (0x80, 0x81, 0x9E, 0x9F))]
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -68,6 +77,7 @@ class Lines:
         self.tokens = np.where(variable, _VARIABLE, words.hashes)
         self.raw = words.hashes
         self.variable = np.concatenate([[0], np.cumsum(variable)])
+        self.data = data
         n = len(self.begins)
         if n:
             self.first = np.searchsorted(words.starts, self.begins)
@@ -86,6 +96,17 @@ class Lines:
         """Tokens without a digit of each line."""
         return self.counts - (self.variable[self.first + self.counts] - self.variable[self.first])
 
+    def lengths(self) -> np.ndarray:
+        """Tokens of each line, and what its characters of scripts without spaces are as long as."""
+        wide = _WIDE[self.data]
+        for lead, follow in _PAIRS:
+            at = np.flatnonzero(self.data[:-1] == lead)
+            wide[at] += np.isin(self.data[at + 1], follow)
+        if not wide.any():
+            return self.counts
+        sums = np.concatenate([[0], np.cumsum(wide)])
+        return self.counts + np.diff(sums[np.append(self.begins, len(self.data))]) // 4
+
     def lines(self, tokens: np.ndarray) -> np.ndarray:
         """Hash of each line's ``tokens`` in order."""
         place = np.arange(len(tokens)) - np.repeat(self.first, self.counts)
@@ -94,8 +115,8 @@ class Lines:
         return chain(sums[self.first + self.counts] - sums[self.first], self.counts.astype(np.uint64))
 
 
-def _keys(min_tokens: int, alike_share: float):
-    """A row for each line that can be dropped: id, place, tokens, leaf, line, and ``same``, the hash of its tokens as they are, if only equal lines are alike."""
+def _keys(min_tokens: int, long_tokens: int, alike_share: float):
+    """A row for each line that can be dropped: id, place, tokens, leaf, line, whether it is long, and ``same``, the hash of its tokens as they are, if only equal lines are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +129,8 @@ def _keys(min_tokens: int, alike_share: float):
                 alike = found.fixed()[some] >= found.counts[some] * alike_share
                 same = pa.array(found.lines(found.raw)[some].view(np.int64), mask=alike)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[some])), _long(place[some]), _long(found.counts[some]), _long(found.leaves()[some]), _long(found.lines(found.tokens)[some]), same],
-                    names=["id", "place", "tokens", "leaf", "line", "same"],
+                    [batch.column(0).take(pa.array(row[some])), _long(place[some]), _long(found.counts[some]), _long(found.leaves()[some]), _long(found.lines(found.tokens)[some]), pa.array(found.lengths()[some] >= long_tokens), same],
+                    names=["id", "place", "tokens", "leaf", "line", "long", "same"],
                 )
 
     return run
@@ -134,18 +155,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id, places``: the places (from 0) of the lines to drop, for documents that lose some."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     kind = docs.schema["id"].dataType.simpleString()
-    lines = materialize(docs.mapInArrow(_keys(min_tokens, alike_share), f"id {kind}, place long, tokens long, leaf long, line long, same long"), "lines")
+    lines = materialize(docs.mapInArrow(_keys(min_tokens, long_tokens, alike_share), f"id {kind}, place long, tokens long, leaf long, line long, long boolean, same long"), "lines")
     needed = F.when(F.col("tokens") >= long_tokens, 2).otherwise(min_docs)
+    needed_equal = F.when(F.col("long"), 2).otherwise(min_docs)
 
     # documents and the first line of each distinct line; a document's lines come together first
-    each = lines.groupBy("line", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and(F.col("same").isNull()).alias("alike"))
-    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and("alike").alias("alike"))
+    each = lines.groupBy("line", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and(F.col("same").isNull()).alias("alike"), F.bool_or("long").alias("long"))
+    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and("alike").alias("alike"), F.bool_or("long").alias("long"))
     alike = materialize(alike, "alike")
-    exact = alike.where(F.col("alike") & (F.col("docs") >= needed)).select("line", "first")
+    exact = alike.where(F.col("alike") & (F.col("docs") >= needed_equal)).select("line", "first")
     # of the others, those that are equal
-    equal = lines.where("same is not null").groupBy("same", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"))
-    equal = equal.groupBy("same").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"))
-    equal = equal.where(F.col("docs") >= needed).select(F.col("same").alias("line"), "first")
+    equal = lines.where("same is not null").groupBy("same", "id").agg(F.min("place").alias("place"), F.bool_or("long").alias("long"))
+    equal = equal.groupBy("same").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.bool_or("long").alias("long"))
+    equal = equal.where(F.col("docs") >= needed_equal).select(F.col("same").alias("line"), "first")
     # leaves with several lines, some of which no other documents have: these may have variable fields
     leaves = alike.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("docs").alias("least"), F.max("tokens").alias("tokens"))
     leaves = leaves.where((F.col("lines") > 1) & (F.col("docs") >= needed) & (F.col("least") < needed)).select("leaf")

@@ -187,6 +187,25 @@ def test_lines_of_numbers_recur_only_if_equal(spark):
     assert kept == {i: [x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())] for i, t in rows if i != 6}
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    notice = "\u672c\u7f51\u7ad9\u7248\u6743\u6240\u6709"
+    passage, thai = "\u7248\u6743" * 20, "\u0e01\u0e02" * 40
+    rows = [(i, f"{notice}\nRead more\nof.\nown{'abcd'[i]}\n\n  ") for i in range(4)]
+    rows += [(4, f"{passage}\n{thai}\n{passage[:30]}\nRead less"), (5, f"{passage}\n{thai}\n{passage[:30]}\nRead less"), (6, f"{thai[:60]}\nx"), (7, f"{thai[:60]}\nx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: {0, 1, 2}, 2: {0, 1, 2}, 3: {0, 1, 2}, 5: {0, 1}}
+    assert {x.id: set(x.places) for x in line_dedup.dropped_lines(frame, **line_dedup.WHOLE).collect()} == want
+    docs = frame.selectExpr("doc_id", "text", "length(text) n_chars")
+    kept = {x.doc_id: x.text.split("\n") for x in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert kept == {i: [x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())] for i, t in rows}
+
+
+def test_short_lines_of_generated_documents(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {x.id: set(x.places) for x in line_dedup.dropped_lines(frame, **line_dedup.WHOLE).collect()}
+    assert got == brute.template_lines(rows_of(frame), min_tokens=1) != brute.template_lines(rows_of(frame))
+
+
 def test_lines_of_generated_documents(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert {x.id: set(x.places) for x in line_dedup.dropped_lines(frame).collect()} == brute.template_lines(rows_of(frame))
