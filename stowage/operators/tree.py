@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import names, paths
+from ..scratch import settle
 from .files import counted, real_size
 
 
@@ -137,6 +138,42 @@ def partial_pairs(files: DataFrame, exact: DataFrame, least: float = 0.8, most:
     return out.join(x, "a", "left").join(y, "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b", "shared", "bytes_a", "bytes_b", "ratio")
 
 
+def partial_tree_pairs(files: DataFrame, exact: DataFrame, root: str, least: float = 0.8, most: int = 32, tool_dir: str = ".quarantine") -> DataFrame:
+    """Topmost pairs of folders that share at least ``least`` of the smaller one's bytes, all below them counted, and are not equal.
+
+    Two folders that hold a content are a pair, and so are their parents, level
+    by level, until one is the root or holds the other; folders in ``tool_dir``
+    make none. For each content the smaller of the two counts below is shared.
+    A pair whose parents are such a pair too is left out. Contents of more than
+    ``most`` files say nothing about a pair.
+    """
+    some = _content(files).where("size > 0")
+    key = ["size", "full_hash"]
+    up = F.filter(F.reverse(paths.ancestors(F.col("dir_key"), root)), lambda x: x != root)
+    own = some.groupBy("dir_key").agg(F.sum("size").alias("size"))
+    bytes_ = settle(to_ancestors(own, root).groupBy("ancestor").agg(F.sum("size").alias("bytes")))
+    held = some.where("full_hash is not null and not is_link and not cloud_only").groupBy("dir_key", *key).agg(F.count("*").alias("n"))
+    few = held.groupBy(*key).agg(F.sum("n").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select(*key)
+    held = settle(held.join(few, key, "left_semi").withColumn("up", up))
+    below = held.select(*key, "n", F.explode("up").alias("dir_key")).groupBy(*key, "dir_key").agg(F.sum("n").alias("n"))
+    sides = held.where(~F.contains("dir_key", F.lit(f"/{tool_dir}/")))
+    a, b = sides.select(*key, F.col("dir_key").alias("a"), F.col("up").alias("ua")), sides.select(*key, F.col("dir_key").alias("b"), F.col("up").alias("ub"))
+    level = F.explode(F.filter(F.arrays_zip("ua", "ub"), lambda x: x["ua"].isNotNull() & x["ub"].isNotNull() & ~F.startswith(x["ua"], x["ub"]) & ~F.startswith(x["ub"], x["ua"])))
+    pairs = a.join(b, key).where("a < b").select(*key, level.alias("x")).select(*key, F.least("x.ua", "x.ub").alias("a"), F.greatest("x.ua", "x.ub").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(below.select(*key, F.col("dir_key").alias(side), F.col("n").alias(f"n{side}")), [*key, side])
+    out = pairs.groupBy("a", "b").agg(F.sum(F.least("na", "nb") * F.col("size")).alias("shared"))
+    for side in ("a", "b"):
+        out = out.join(bytes_.select(F.col("ancestor").alias(side), F.col("bytes").alias(f"bytes_{side}")), side)
+        out = out.join(exact.select(F.col("dir_key").alias(side), F.col("fingerprint").alias(f"f{side}")), side, "left")
+    out = out.where((F.col("shared") / F.least("bytes_a", "bytes_b") >= least) & F.expr("fa is null or fb is null or fa <> fb"))
+    out = settle(out.select("a", "b", "shared", "bytes_a", "bytes_b", F.round(F.col("shared") / F.least("bytes_a", "bytes_b"), 6).alias("ratio")))
+    # two folders of one parent have the pair (parent, parent) above them, which is none
+    pa, pb = (F.regexp_extract(x, "^(.*/)[^/]+/$", 1) for x in ("a", "b"))
+    above = out.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return out.join(above, (F.least(pa, pb) == F.col("_a")) & (F.greatest(pa, pb) == F.col("_b")), "left_anti")
+
+
 def template_check(dirs: DataFrame, files: DataFrame, root: str, level1: str, required: list[str]) -> DataFrame:
     """Deviations from a target structure: ``path, kind``.
 

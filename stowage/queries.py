@@ -346,6 +346,23 @@ def partial_pairs(spark, d):
     return tree.partial_pairs(f, tree.folder_groups(tree.fingerprints(f, _dirs(spark, d), ROOT)), least=0.2)
 
 
+@query(TREE_SQL + "," + _PRINTS + """,
+h AS (SELECT dir_key, size, full_hash, count(*) AS n FROM ct WHERE size > 0 AND full_hash IS NOT NULL AND NOT is_link AND NOT cloud_only GROUP BY ALL),
+hh AS (SELECT *, sum(n) OVER (PARTITION BY size, full_hash) AS c FROM h),
+up AS (SELECT dir_key, ancestor, row_number() OVER (PARTITION BY dir_key ORDER BY length(ancestor) DESC) AS k FROM (SELECT DISTINCT dir_key, ancestor FROM anc) WHERE ancestor <> '/c/'),
+un AS (SELECT ancestor, size, full_hash, sum(n) AS n FROM hh JOIN up USING (dir_key) GROUP BY ALL),
+byt AS (SELECT ancestor, sum(size) AS bytes FROM ct JOIN up USING (dir_key) WHERE size > 0 GROUP BY 1),
+p AS (SELECT DISTINCT a.size, a.full_hash, least(x.ancestor, y.ancestor) AS a, greatest(x.ancestor, y.ancestor) AS b FROM hh a JOIN hh b ON a.size = b.size AND a.full_hash = b.full_hash AND a.dir_key < b.dir_key
+  JOIN up x ON x.dir_key = a.dir_key JOIN up y ON y.dir_key = b.dir_key AND y.k = x.k WHERE a.c <= 32 AND NOT starts_with(x.ancestor, y.ancestor) AND NOT starts_with(y.ancestor, x.ancestor)),
+s AS (SELECT a, b, sum(least(x.n, y.n) * p.size) AS shared FROM p JOIN un x ON x.ancestor = a AND x.size = p.size AND x.full_hash = p.full_hash JOIN un y ON y.ancestor = b AND y.size = p.size AND y.full_hash = p.full_hash GROUP BY 1, 2),
+o AS (SELECT a, b, shared, x.bytes AS bytes_a, y.bytes AS bytes_b, regexp_extract(a, '^(.*/)[^/]+/$', 1) AS pa, regexp_extract(b, '^(.*/)[^/]+/$', 1) AS pb FROM s JOIN byt x ON x.ancestor = a JOIN byt y ON y.ancestor = b
+  LEFT JOIN eq p ON p.dir_key = a AND p.folders > 1 LEFT JOIN eq q ON q.dir_key = b AND q.folders > 1 WHERE shared / least(x.bytes, y.bytes) >= 0.2 AND (p.print IS NULL OR q.print IS NULL OR p.print <> q.print))
+SELECT a, b, shared::BIGINT AS shared, bytes_a::BIGINT AS bytes_a, bytes_b::BIGINT AS bytes_b, round(shared / least(bytes_a, bytes_b), 6) AS ratio FROM o WHERE NOT EXISTS (SELECT 1 FROM o u WHERE u.a = least(o.pa, o.pb) AND u.b = greatest(o.pa, o.pb))""")
+def partial_tree_pairs(spark, d):
+    f = _files(spark, d)
+    return tree.partial_tree_pairs(f, tree.folder_groups(tree.fingerprints(f, _dirs(spark, d), ROOT)), ROOT, least=0.2)
+
+
 @query(TREE_SQL + "," + _PRINTS + r""",
 t AS (SELECT e.*, (2 * len(list_filter(string_split_regex(regexp_extract(e.dir_key, '([^/]+)/*$', 1), '[^\p{L}\p{N}]+'), lambda w: w IN ('kopie', 'copy', 'backup', 'sicherung')))) AS s, st.newest FROM eq e JOIN st USING (dir_key)
   WHERE folders > 1 AND NOT EXISTS (SELECT 1 FROM eq p WHERE p.folders > 1 AND p.dir_key = regexp_extract(e.dir_key, '^(.*/)[^/]+/$', 1))),

@@ -47,6 +47,28 @@ def test_durations_and_sizes():
             text.parse_days(bad)
 
 
+def test_partial_tree_pairs(spark):
+    from stowage.operators import tree
+
+    def pairs(*rows):
+        files = spark.createDataFrame([(p.rsplit("/", 1)[0] + "/", p.rsplit("/", 1)[1], p, size, h) for p, size, h in rows], "dir_key string, name string, path_key string, size long, full_hash string").selectExpr("*", "false is_link", "false cloud_only")
+        none = spark.createDataFrame([], "dir_key string, fingerprint string")
+        return sorted(tuple(r) for r in tree.partial_tree_pairs(files, none, "/c/").collect())
+
+    # shared below three folders, of which each alone is no pair at the threshold, but the trees are
+    small = [(f"/c/{t}/{s}/{i}", 10, f"{s}{i}" if i else f"{t}{s}") for t in "ab" for s in "xyz" for i in range(4)]
+    whole = [(f"/c/{t}/big", 400, "big") for t in "ab"]
+    assert pairs(*small) == []
+    assert pairs(*small, *whole) == [("/c/a/", "/c/b/", 490, 520, 520, 0.942308)]
+    # one small shared file, much more below that is not shared
+    assert pairs(("/c/a/f", 5, "f"), ("/c/b/f", 5, "f"), ("/c/a/s/g", 900, "g"), ("/c/b/s/h", 900, "h")) == []
+    # the topmost only; a folder and one inside it make no pair; nor the tool's folder; copies count once on the smaller side
+    assert pairs(("/c/a/s/t/f", 5, "f"), ("/c/b/s/t/f", 5, "f")) == [("/c/a/", "/c/b/", 5, 5, 5, 1.0)]
+    assert pairs(("/c/a/f", 5, "f"), ("/c/a/s/f", 5, "f"), ("/c/.quarantine/f", 5, "f")) == []
+    assert pairs(("/c/a/f", 5, "f"), ("/c/a/f2", 5, "f"), ("/c/b/f", 5, "f")) == [("/c/a/", "/c/b/", 5, 10, 5, 1.0)]
+    assert pairs(*[(f"/c/{i}/f", 5, "f") for i in range(33)]) == []
+
+
 def test_fields(spark):
     assert values(spark, text.find_date, "12.03.1980 Datum: 05.11.2021", "on 2024-02-31 or 1999-01-02", "none") == ["2021-11-05", None, None]
     assert values(spark, text.find_amount, "Summe: 1.234,56 Total: 7.50", "Total: x") == ["7,50", None]
