@@ -76,6 +76,25 @@ def test_fields(spark):
     assert values(spark, lambda x: text.shorten(x, 10), "one two three", "abcdefghijkl") == ["one two", "abcdefghij"]
 
 
+def test_all_forms_and_tiers_of_fields(spark):
+    dates = {
+        "Rechnungsdatum: 30.09.2025": "2025-09-30", "Rechnungsdatum 30. 09. 2025 Seite 1": "2025-09-30", "Invoice Date: 12 March 2024": "2024-03-12", "Date: March 3rd, 2024": "2024-03-03",
+        "Berlin, den 1. Juli 2023": "2023-07-01", "Rechnung vom 03.02.25": "2025-02-03", "on 5.3.2024": "2024-03-05", "Stand: 7. Okt. 2025": "2025-10-07", "M\u00c4RZ 4, 2022": "2022-03-04",
+        "Geboren 12.05.1950, Rechnungsdatum 01.02.2025": "2025-02-01", "Datum: 31.02.2025 vom 1.3.2025": "2025-03-01", "zu neu 01.01.2034": None, "Datum: 12.05.2027": "2027-05-12", "Datum: 02.01.2028": None,
+    }
+    assert values(spark, lambda x: text.find_date(x, F.lit("2026-10-04").cast("date")), *dates) == list(dates.values())
+    amounts = {
+        "Rechnungsbetrag: 119,00": "119,00", "Gesamtbetrag 119,00": "119,00", "Total: EUR 5,00": "5,00", "Gesamtbetrag 35,50 Summe 10,00": "35,50", "Zwischensumme 10,00 Summe 20,00": "20,00",
+        "Rechnungsbetrag (brutto): 119,00 EUR": "119,00", "Gesamtbetrag: -12,30": "-12,30", "Gesamtbetrag: 1 234,56 \u20ac": "1234,56", "Total: $1,234.56": "1234,56", "Gesamtbetrag: 12 EUR": None,
+    }
+    assert values(spark, text.find_amount, *amounts) == list(amounts.values())
+    numbers = {
+        "Kundennummer: 4400123 Rechnungsnummer: R-99-1": "R-99-1", "Rechnungs-Nr.: 2026/0042.": "2026/0042", "Invoice #12345": "12345", "Vertragsnummer 88-1234-5": "88-1234-5", "Nr. 777 Kunden-Nr. 123": "123",
+        "Rechnungsnummer: abc": None,
+    }
+    assert values(spark, text.find_number, *numbers) == list(numbers.values())
+
+
 def test_globs(spark):
     assert values(spark, lambda x: x.rlike(rules.glob_regex("**/*.jpg")), "a.JPG", "x/y/a.jpg", "a.jpg/b") == [True, True, False]
     assert values(spark, lambda x: x.rlike(rules.glob_regex("x/*.txt")), "x/a.txt", "x/y/a.txt") == [True, False]
