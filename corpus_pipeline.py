@@ -40,10 +40,9 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where(F.size("hits") > 0).select(F.col("id").alias("doc_id"))
-    return without(docs, gone, "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Documents that hold no window of a benchmark item; each row by its own text, ids may be null or repeated."""
+    gone = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs.withColumn("_row_key", decontam.row_key()), gone, "_row_key").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .words import ALNUM, Words, words_of
 
@@ -180,6 +180,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     occurrence of a window, ``items`` the sorted ids (as strings) of the items
     with an occurring window.
     """
+    return _contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window).drop("digest")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows of different results apart: id, which may be null, and a digest of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_row_key``: the :func:`row_key` of each row of ``docs`` that holds a window."""
+    found = _contamination(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW)
+    return found.where(F.size("hits") > 0).select(F.struct("id", "digest").alias("_row_key"))
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = []
     for index in _blocks(benchmark, item_col, item_text_col, window):
@@ -187,7 +202,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         parts.append(_spans(docs, index))
     if not parts:
         parts.append(_spans(docs, empty_index(window)))
-    return parts[0].drop("digest") if len(parts) == 1 else _merged(parts)
+    return parts[0] if len(parts) == 1 else _merged(parts)
 
 
 def empty_index(window: int = WINDOW) -> Index:
@@ -219,7 +234,7 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
         return F.when((F.size(acc) > 0) & (s[0] <= F.try_element_at(acc, F.lit(-1))[1]), joined).otherwise(F.concat(acc, F.array(s)))
 
     both = both.withColumn("hits", F.aggregate("hits", F.array().cast("array<array<bigint>>"), step))
-    return both.select("id", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    return both.select("id", "digest", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
 
 
 def digest(items: list[str]) -> str:

@@ -36,6 +36,18 @@ def test_stages(spark, sf_dir):
             assert all(r.n_chars == len(r.text) for r in after.values())
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_decontamination_by_row(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr("stowage.llm.shared.BROADCAST_KEYS", broadcast)
+    item = " ".join(f"w{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item}"), (None, "clean"), (1, item), (1, "a clean row of that id"), (2, None), (None, None), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [r for r in rows if not r[1] or item not in r[1]]))
+
+
 def test_run(spark, sf_dir):
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.count() > 0 and done.where("n_tokens <> size(ids)").count() == 0
