@@ -13,10 +13,12 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this process only where the session names none."""
+    """``spark.checkpoint.dir``; a folder of this process only where a local session names none, an error on a cluster."""
     global _own
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         path = tempfile.mkdtemp(prefix="stowage-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
