@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.llm import decontam, lang_id, line_dedup, near_dup, pieces
 from stowage.llm.queries import MODEL_PATH
-from stowage.llm.shared import materialize, without
+from stowage.llm.shared import free_name, materialize, without
 
 #: A document goes if its language's share of the posterior is below this.
 MIN_LANGUAGE_SCORE = 0.5
@@ -20,8 +20,9 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without a letter go."""
-    found = lang_id.identify(docs)
-    known = (F.col("_language.lang") != lang_id.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
+    told = free_name(docs, "_language")
+    found = lang_id.identify(docs, out_col=told)
+    known = (F.col(f"{told}.lang") != lang_id.UNKNOWN) & (F.col(f"{told}.score") >= MIN_LANGUAGE_SCORE)
     return found.where(known).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

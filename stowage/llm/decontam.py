@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .memory import in_arrow
 from .words import ALNUM, Words, words_of
 
 WINDOW = 10
@@ -128,7 +129,7 @@ def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
 
     out = np.zeros(len(index.vocabulary), dtype=np.int64)
     if len(out):
-        found = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        found = in_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         out[found.word.to_numpy()] = found.n.to_numpy()
     return out
 
@@ -170,7 +171,7 @@ def _spans(docs: DataFrame, index: Index) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.select("id", F.xxhash64("text").alias("digest"), "text")
-    return docs.mapInArrow(run, f"id {kind}, digest long, n_words long, hits array<array<long>>, items array<string>")
+    return in_arrow(docs, run, f"id {kind}, digest long, n_words long, hits array<array<long>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:

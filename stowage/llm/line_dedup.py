@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import in_arrow
 from .shared import materialize
 from .words import NOT_SPACE, Words, chain, mix, slices, string_bytes
 
@@ -155,7 +156,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``id, places``: the places (from 0) of the lines to drop, for documents that lose some."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     kind = docs.schema["id"].dataType.simpleString()
-    lines = materialize(docs.mapInArrow(_keys(min_tokens, long_tokens, alike_share), f"id {kind}, place long, tokens long, leaf long, line long, long boolean, same long"), "lines")
+    lines = materialize(in_arrow(docs, _keys(min_tokens, long_tokens, alike_share), f"id {kind}, place long, tokens long, leaf long, line long, long boolean, same long"), "lines")
     needed = F.when(F.col("tokens") >= long_tokens, 2).otherwise(min_docs)
     needed_equal = F.when(F.col("long"), 2).otherwise(min_docs)
 
@@ -173,7 +174,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leaves = leaves.where((F.col("lines") > 1) & (F.col("docs") >= needed) & (F.col("least") < needed)).select("leaf")
     heads = materialize(alike.join(leaves, "leaf", "left_semi"), "open")
     wanted = heads.groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.place").alias("places"))
-    words = docs.join(wanted.hint("merge"), "id").mapInArrow(_tokens, f"id {kind}, place long, words array<long>").dropDuplicates(["id", "place"])
+    words = in_arrow(docs.join(wanted.hint("merge"), "id"), _tokens, f"id {kind}, place long, words array<long>").dropDuplicates(["id", "place"])
     told = heads.select(F.col("first.id").alias("id"), F.col("first.place").alias("place"), "leaf", "line", "docs", "tokens").join(words, ["id", "place"])
     told = materialize(told, "told")
     fields = told.select("leaf", "line", "docs", "tokens", F.posexplode("words").alias("at", "word")).where(F.col("word") != F.lit(int(_VARIABLE.astype(np.int64))))

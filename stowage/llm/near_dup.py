@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
+from .memory import in_arrow
 from .shared import among, materialize
 from .words import NOT_SPACE, chain, mix, shingles, words_of
 
@@ -165,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 80 percent and more")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
-    sketched = materialize(docs.mapInArrow(_sketches(words), "id long, n long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
+    sketched = materialize(in_arrow(docs, _sketches(words), "id long, n long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
     # one class for each set; its smallest id stands for it
     ids = sketched.groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("id", "s.*")
     filled = ids.where("n > 0")
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     # texts, sketches and private shingles of the classes that share a bucket
     texts = materialize(among(docs, buckets, "id"), "texts")
-    holders = texts.mapInArrow(_exploded(words), "id long, h long").groupBy("h").agg(F.count("*").alias("holders"), F.min("id").alias("id"))
+    holders = in_arrow(texts, _exploded(words), "id long, h long").groupBy("h").agg(F.count("*").alias("holders"), F.min("id").alias("id"))
     private = holders.where("holders = 1").groupBy("id").agg(F.count("*").alias("own"))
     sizes = buckets.groupBy("id").agg(F.max("n").alias("n")).join(private, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
     sizes = materialize(sizes, "sizes")
@@ -198,12 +199,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with n_a, n_b and both, of full sets."""
         a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(words), "a long, b long, n_a long, n_b long, both long"), "compared")
+        return materialize(in_arrow(pairs.join(a, "a").join(b, "b"), _verify(words), "a long, b long, n_a long, n_b long, both long"), "compared")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links."""
         a, b = (signed.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(least), "a long, b long")
+        likely = in_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), _agree(least), "a long, b long")
         return compared(materialize(likely, "likely")).where(possible(F.col("both"))).select("a", "b")
 
     # a class with more private shingles than any link leaves takes no part

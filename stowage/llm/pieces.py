@@ -8,6 +8,11 @@ relaxed in the model's own order: of a chunk's edges that join two adjacent
 symbols, the one with the best score, leftmost at a tie, replaces them, until
 none is left. Characters that stay without a piece become byte pieces.
 
+A position that no piece spans parts a chunk into runs, which are relaxed on
+their own; so a chunk of any length is taken window by window, and only a run
+without such a position (a single character repeated, say) is held as a whole,
+with about 100 bytes for each character.
+
 The model file is parsed here (a few protobuf fields); it must be a BPE model
 with byte fallback and the identity normaliser, others raise ValueError. The
 path of the model file is a parameter; the file's content is broadcast, and
@@ -21,7 +26,9 @@ pieces) comes back as a space, as in the public format.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -29,19 +36,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import in_arrow
 from .words import slices
 
 MODEL_BYTES = 16 << 20
 SPACE = "▁"
-#: Characters of chunks that are indexed together.
-BATCH_CHARS = 300_000
+#: Characters of chunks that are indexed together; a longer chunk is indexed window by window.
+BATCH_CHARS = 200_000
 #: Bytes of text that are encoded together.
-SLICE = 2 << 20
-#: Chunks up to this length are relaxed together, column by column; longer ones with a heap.
+SLICE = 1 << 20
+#: Runs up to this length are relaxed together, column by column; longer ones with a heap.
 LONG_CHUNK = 48
-#: Characters of chunks that a worker meets before it forgets those it has not met since as many.
-KNOWN_CHARS = 3_000_000
-_NONE = np.int32(2**31 - 1)
+#: Characters of chunks whose ids a worker keeps.
+KNOWN_CHARS = 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -194,145 +201,163 @@ class Index:
 class Encoder:
     def __init__(self, model: Model):
         self.model = model
-        #: Ids of chunks met lately, and of those met before; ``KNOWN_CHARS`` of new ones make the former the latter.
+        #: Ids of chunks met lately; ``KNOWN_CHARS`` of them, and all are forgotten.
         self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
         self.known_chars = 0
+        self.kind = np.uint16 if len(model.by_rank) < 65535 else np.int32
+        self.none = self.kind(np.iinfo(self.kind).max)
 
-    def edges(self, codes: np.ndarray) -> np.ndarray:
-        """``[position, length]`` -> rank of the piece there, sorted by position; no piece is the largest int."""
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``[position, length]`` -> rank of the piece there (no piece is the largest value), and the joints: whether a piece spans each position and the one before it."""
         m = self.model
         index = Index(codes, m.longest, m.top)
         low, high = index.occurrences(m.codes, m.lengths)
         counts = high - low
-        starts = np.repeat(low, counts) + _ranges(counts)
-        out = np.full((len(codes), m.longest + 1), _NONE, dtype=np.int32)
-        out[index.order[starts], np.repeat(m.lengths, counts)] = np.repeat(m.ranks, counts)
-        return out
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk, as the bytes of 32-bit integers."""
-        m = self.model
-        text = "\0".join(chunks)
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32).copy()
-        sizes = np.array([len(c) for c in chunks])
-        begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        # a NUL within a chunk is a character without a piece, as the separator is
-        edges = self.edges(codes)
+        at = index.order[np.repeat(low, counts) + _ranges(counts)]
+        lengths = np.repeat(m.lengths, counts)
+        out = np.full((len(codes), m.longest + 1), self.none, dtype=self.kind)
+        out[at, lengths] = np.repeat(m.ranks, counts)
+        n = len(codes) + 1
+        return out, np.cumsum(np.bincount(at + 1, minlength=n) - np.bincount(at + lengths, minlength=n))[: len(codes)] > 0
+
+    def _relaxed(self, edges: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of the symbols that are left of each run of characters, all runs together."""
         short = np.flatnonzero(sizes <= LONG_CHUNK)
-        # symbols of the short chunks: begin, end and chunk of each
         owner = np.repeat(short, sizes[short])
         begin = np.repeat(begins[short], sizes[short]) + _ranges(sizes[short])
         end = begin + 1
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(begin):
             same = np.append(owner[1:] == owner[:-1], False)
             width = np.append(end[1:] - begin[:-1], 0)
-            fits = same & (width <= m.longest)
-            rank = np.where(fits, edges[begin, np.where(fits, width, 0)], _NONE)
+            fits = same & (width <= self.model.longest)
+            rank = np.where(fits, edges[begin, np.where(fits, width, 0)], self.none)
             heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(rank, heads)
             length = np.diff(np.append(heads, len(owner)))
-            live = best != _NONE
+            live = best != self.none
             if not live.all():
                 over = np.repeat(~live, length)
-                done.append((owner[over], begin[over], end[over]))
+                done.append((begin[over], end[over]))
             spread = np.repeat(best, length)
-            hit = (rank == spread) & (spread != _NONE)
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero((rank == spread) & (spread != self.none))
             at = at[np.append(True, owner[at][1:] != owner[at][:-1])] if len(at) else at
             end[at] = end[at + 1]
             keep = np.repeat(live, length)
             keep[at + 1] = False
             owner, begin, end = owner[keep], begin[keep], end[keep]
-        out: list[bytes] = [b""] * len(chunks)
-        if done:
-            owner, begin, end = (np.concatenate(x) for x in zip(*done, strict=True))
-            order = np.argsort(begin)
-            owner, begin, end = owner[order], begin[order], end[order]
-            # a symbol of one character has the ids of its fallback, up to four
-            chars, which = np.unique(codes, return_inverse=True)
-            spelt = [m.fallback(chr(c)) for c in chars.tolist()]
-            table = np.zeros((len(spelt), 4), dtype=np.int32)
-            for row, ids in enumerate(spelt):
-                table[row, : len(ids)] = ids
-            widths = np.array([len(ids) for ids in spelt])
-            one = end - begin == 1
-            counts = np.where(one, widths[which[begin]], 1)
-            flat = table[np.repeat(which[begin], counts), _ranges(counts)]
-            firsts = np.cumsum(counts) - counts
-            several = np.flatnonzero(~one)
-            flat[firsts[several]] = m.by_rank[edges[begin[several], (end - begin)[several]]]
-            raw = flat.astype(np.int32).tobytes()
-            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            cuts = np.append(firsts[heads], len(flat)) * 4
-            for k, x, y in zip(owner[heads].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                out[k] = raw[x:y]
         for k in np.flatnonzero(sizes > LONG_CHUNK).tolist():
-            out[k] = np.array(self._heap(chunks[k], edges[begins[k] : begins[k] + sizes[k]]), dtype=np.int32).tobytes()
-        return out
-
-    def _heap(self, chunk: str, edges: np.ndarray) -> list[int]:
-        """One long chunk: a heap of its joinable pairs by (rank, position)."""
-        from heapq import heapify, heappop, heappush
-
-        m, n = self.model, len(chunk)
-        after = list(range(1, n + 1))  # end of the symbol that starts here
-        before = list(range(-1, n - 1))  # start of the symbol before the one that starts here
-        alive = [True] * n
-
-        def rank(b: int) -> int:
+            first = self._heap(edges[begins[k] : begins[k] + sizes[k]]) + begins[k]
+            done.append((first, np.append(first[1:], begins[k] + sizes[k])))
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        begin, end = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(begin)
+        return begin[order], end[order]
+
+    def _heap(self, edges: np.ndarray) -> np.ndarray:
+        """Begins of the symbols of one long run: a heap of its joinable pairs by (rank, position), packed into integers."""
+        n, longest, none = len(edges), self.model.longest, int(self.none)
+        after = array("q", range(1, n + 1))  # end of the symbol that starts here
+        before = array("q", range(-1, n - 1))  # start of the symbol before the one that starts here
+        alive = bytearray(b"\1") * n
+
+        def pair(b: int) -> int:
+            """(rank, position, width) of the symbol that starts here and the next one; -1 if no piece joins them."""
             e = after[b]
-            if e >= n or after[e] - b > m.longest:
-                return int(_NONE)
-            return int(edges[b, after[e] - b])
+            if e >= n or after[e] - b > longest or (r := int(edges[b, after[e] - b])) == none:
+                return -1
+            return (r << 40 | b) << 8 | (after[e] - b)
 
-        heap = [(r, b, 2) for b, r in enumerate(edges[:, 2].tolist()) if r != _NONE and b + 2 <= n]
+        heap = [(r << 40 | b) << 8 | 2 for b, r in enumerate(edges[:, 2].tolist()) if r != none and b + 2 <= n]
         heapify(heap)
         while heap:
-            r, b, width = heappop(heap)
+            found = heappop(heap)
+            b, width = found >> 8 & (1 << 40) - 1, found & 255
             if not alive[b] or after[b] >= n or after[after[b]] - b != width:
                 continue
             e = after[b]
-            alive[e] = False
+            alive[e] = 0
             after[b] = after[e]
             if after[b] < n:
                 before[after[b]] = b
             for x in (before[b], b):
-                if x >= 0 and (q := rank(x)) != _NONE:
-                    heappush(heap, (q, x, after[after[x]] - x))
-        out: list[int] = []
-        b = 0
-        while b < n:
-            e = after[b]
-            if e - b > 1:
-                out.append(int(m.by_rank[edges[b, e - b]]))
-            else:
-                out.extend(m.fallback(chunk[b]))
-            b = e
-        return out
+                if x >= 0 and (q := pair(x)) >= 0:
+                    heappush(heap, q)
+        return np.flatnonzero(np.frombuffer(alive, dtype=np.uint8))
+
+    def _ids(self, codes: np.ndarray, edges: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all symbols, and where each symbol's ids start; one of one character has the ids of its fallback, up to four."""
+        chars, which = np.unique(codes, return_inverse=True)
+        spelt = [self.model.fallback(chr(c)) for c in chars.tolist()]
+        table = np.zeros((len(spelt), 4), dtype=np.int32)
+        for row, ids in enumerate(spelt):
+            table[row, : len(ids)] = ids
+        widths = np.array([len(ids) for ids in spelt])
+        one = end - begin == 1
+        counts = np.where(one, widths[which[begin]], 1)
+        flat = table[np.repeat(which[begin], counts), _ranges(counts)]
+        firsts = np.cumsum(counts) - counts
+        several = np.flatnonzero(~one)
+        flat[firsts[several]] = self.model.by_rank[edges[begin[several], (end - begin)[several]]]
+        return flat.astype(np.int32), firsts
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, as the bytes of 32-bit integers."""
+        codes = np.frombuffer("\0".join(chunks).encode("utf-32-le"), dtype=np.int32)
+        sizes = np.array([len(c) for c in chunks])
+        heads = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        # a NUL within a chunk is a character without a piece, as the separator is
+        edges, joined = self.edges(codes)
+        outside = np.zeros(len(codes) + 1, dtype=bool)
+        outside[(heads + sizes)[:-1]] = True
+        # no piece crosses the start of a run, so runs are relaxed on their own
+        begins = np.flatnonzero(~joined & ~outside[:-1])
+        ends = np.append(begins[1:], len(codes))
+        begin, end = self._relaxed(edges, begins, ends - outside[ends - 1] - begins)
+        flat, firsts = self._ids(codes, edges, begin, end)
+        raw = flat.tobytes()
+        cuts = (np.append(firsts[np.searchsorted(begin, heads)], len(flat)) * 4).tolist()
+        return [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_long(self, chunk: str) -> bytes:
+        """Ids of a long chunk, window by window; each ends where no piece crosses, beyond which no piece of it reaches."""
+        m, out, low, width = self.model, [], 0, BATCH_CHARS
+        while low < len(chunk):
+            codes = np.frombuffer(chunk[low : low + width].encode("utf-32-le"), dtype=np.int32)
+            edges, joined = self.edges(codes)
+            begins = np.flatnonzero(~joined)
+            stop = len(codes)
+            if low + stop < len(chunk):
+                # pieces that start in the last places may go on after the window
+                inner = begins[begins <= stop - m.longest]
+                if len(inner) < 2:
+                    width *= 2
+                    continue
+                begins, stop = inner[:-1], int(inner[-1])
+            begin, end = self._relaxed(edges, begins, np.append(begins[1:], stop) - begins)
+            out.append(self._ids(codes, edges, begin, end)[0].tobytes())
+            low, width = low + stop, BATCH_CHARS
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids of each text, as the bytes of 32-bit integers."""
         if self.known_chars > KNOWN_CHARS:
-            self.before, self.known, self.known_chars = self.known, {}, 0
-        known, before = self.known, self.before
+            self.known, self.known_chars = {}, 0
+        known = self.known
         split = [None if text is None else chunks_of(text, self.model.dummy_prefix) for text in texts]
-        new = {c for chunks in split for c in chunks or ()}.difference(known)
+        new = {c for chunks in split for c in chunks or () if len(c) <= BATCH_CHARS}.difference(known)
         waiting: list[str] = []
         size = 0
         for c in [*new, None]:
             if c is not None:
-                self.known_chars += len(c)
-                if (old := before.get(c)) is not None:
-                    known[c] = old
-                    continue
                 waiting.append(c)
-                size += len(c)
+                size += len(c) + 1
             if waiting and (c is None or size > BATCH_CHARS):
                 known.update(zip(waiting, self.encode_chunks(waiting), strict=True))
+                self.known_chars += size
                 waiting, size = [], 0
-        return [None if chunks is None else b"".join([known[c] for c in chunks]) for chunks in split]
+        return [None if chunks is None else b"".join([known[c] if len(c) <= BATCH_CHARS else self.encode_long(c) for c in chunks]) for chunks in split]
 
     def decode(self, ids: list[int]) -> str:
         m, out, raw = self.model, [], bytearray()
@@ -404,7 +429,7 @@ def encode_documents(docs: DataFrame, model: bytes, text_col: str = "text", ids_
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
+    return in_arrow(docs, run, f"{schema}, `{ids_col}` array<int>")
 
 
 def decode_documents(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

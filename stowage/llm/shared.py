@@ -15,13 +15,15 @@ _own: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) gets a folder of its
-    own, which goes when the process ends.
+    Only a local session that names none (tests on one machine) gets a folder
+    of its own, which goes when the process ends; on a cluster that is an error.
     """
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         path = tempfile.mkdtemp(prefix="stowage-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -34,6 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stowage/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it none of the columns (upper or lower case) of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

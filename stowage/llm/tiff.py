@@ -26,9 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import in_arrow
+
 ROW_BYTES, SAMPLES = 192, 3
-#: Most bytes that one page may need when unpacked.
-MAX_PAGE_BYTES = 1 << 30
+#: Most bytes of an unpacked page: what a binary column can hold.
+MAX_PAGE_BYTES = (1 << 31) - 1
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 #: The tags that are read.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES_TAG, ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = (
@@ -171,8 +173,8 @@ def _unpacked(data: bytes, compression: int, size: int) -> bytes:
     return out
 
 
-def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file of 8-bit samples."""
+def read_pages(data: bytes, most: int = MAX_PAGE_BYTES) -> Iterator[Page]:
+    """The pages of a TIFF file of 8-bit samples; one of more than ``most`` bytes is a ValueError."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF file")
@@ -192,16 +194,16 @@ def read_pages(data: bytes) -> Iterator[Page]:
             if kind in (1, 3, 4) and size and place + size <= len(data):
                 tags[tag] = list(struct.unpack_from(f"{order}{n}{'_BxHI'[kind]}", data, place))
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
-        yield _page(data, tags)
+        yield _page(data, tags, most)
 
 
-def _page(data: bytes, tags: dict[int, list[int]]) -> Page:
+def _page(data: bytes, tags: dict[int, list[int]], most: int) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES_TAG, 1)
     compression, predictor, planar = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
     if width < 1 or height < 1 or samples < 1 or set(tags.get(BITS, [1])) != {8} or predictor not in (1, 2):
         raise ValueError("only samples of 8 bits, plain or with the horizontal predictor")
-    if width * height * samples > MAX_PAGE_BYTES:
+    if width * height * samples > most:
         raise ValueError("a page is too large")
     depth, planes = (samples, 1) if planar == 1 else (1, samples)
     out = np.empty((height, width, samples), dtype=np.uint8)
@@ -290,14 +292,14 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sizes = pa.array([len(x.as_buffer() or b"") for x in raws], type=pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(media, type=pa.binary())], names=["id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
+    return in_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 PAGES = "page int, width int, height int, samples int, compression int, predictor int, pixels binary, feature string, error string"
 
 
-def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
-    """The columns of ``files`` (but those of ``PAGES``) with one row for each page."""
+def decode_pages(files: DataFrame, media_col: str = "media", max_page_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
+    """The columns of ``files`` (but those of ``PAGES``) with one row for each page; ``max_page_bytes`` guards against files that unfold."""
     names = [x.split()[0] for x in PAGES.split(", ")]
     files = files.select(*(F.col(f"`{c}`") for c in files.columns if c not in names))
     kept_names = files.columns
@@ -314,7 +316,7 @@ def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
                     if data is None:
                         continue
                     try:
-                        for number, p in enumerate(read_pages(bytes(data))):
+                        for number, p in enumerate(read_pages(bytes(data), max_page_bytes)):
                             rows.append(i)
                             found.append((number, p.width, p.height, p.samples, p.compression, p.predictor, p.pixels.tobytes(), feature(p.pixels), None))
                     except (ValueError, zlib.error, struct.error) as e:
@@ -325,4 +327,4 @@ def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*kept_names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.mapInArrow(run, f"{schema}, {PAGES}")
+    return in_arrow(files, run, f"{schema}, {PAGES}")

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .memory import in_arrow
 from .shared import materialize, new_path
 
 GAP_BYTES, GROUP_BYTES, TASK_BYTES, REVISIT_BYTES = 64 << 10, 2 << 20, 64 << 20, 1000
@@ -132,7 +133,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     large = large.where("copies > 1 and last is not null").select("_digest", "last")
     refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(large, F.col("digest") == F.col("_digest"), "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
-    return materialize(rows.mapInArrow(_write(new_path(pages.sparkSession, "warc")), INDEX), "warc-index")
+    return materialize(in_arrow(rows, _write(new_path(pages.sparkSession, "warc")), INDEX), "warc-index")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def read_records(selected: DataFrame) -> DataFrame:
     total = selected.agg(F.sum("length")).first()[0] or 0
     tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     ranges = selected.select("file", "offset", "length", group.alias("group")).repartition(tasks, "file", "group").sortWithinPartitions("file", "offset")
-    return ranges.mapInArrow(_read, RECORDS)
+    return in_arrow(ranges, _read, RECORDS)
 
 
 def payload_digest(payload: bytes) -> str:

@@ -9,6 +9,7 @@ class of ASCII characters and "all others" is a class of bytes), and a word's
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes handled at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes whose words are hashed at once; a longer word is hashed alone.
+HASH_BYTES = 1 << 17
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -28,9 +31,6 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)]] = True
 
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 (public domain)."""
@@ -43,15 +43,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        def table(base: np.uint64) -> np.ndarray:
-            t = np.full(n, base, dtype=np.uint64)
-            t[0] = 1
-            return np.cumprod(t, dtype=np.uint64)
+    def table(base: np.uint64) -> np.ndarray:
+        t = np.full(n, base, dtype=np.uint64)
+        t[0] = 1
+        return np.cumprod(t, dtype=np.uint64)
+
+    return table(_BASE), table(_INVERSE)
+
+
+_short_tables = cache(_tables)
 
-        _powers, _inverses = table(_BASE), table(_INVERSE)
-    return _powers, _inverses
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes; spans are sorted and don't overlap."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    low = 0
+    while low < len(starts):
+        base = starts[low]
+        high = max(low + 1, int(np.searchsorted(ends, base + HASH_BYTES, side="right")))
+        first, last = starts[low:high] - base, ends[low:high] - base
+        n = int(last[-1])
+        powers, inverses = _short_tables(HASH_BYTES + 1) if n <= HASH_BYTES else _tables(n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((LOWER[data[base : base + n]].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+        out[low:high] = mix((sums[last] - sums[first]) * inverses[first])
+        low = high
+    return out
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +111,7 @@ class Words:
         self.starts = np.flatnonzero(inside & (first[:n] | ~before))
         self.ends = np.flatnonzero(inside & (first[1:] | ~after)) + 1
         self.rows = np.searchsorted(self.starts, offsets)  # words of row i: rows[i] to rows[i + 1]
-        powers, inverses = _tables(n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
+        self.hashes = _hashes(data, self.starts, self.ends)
         self.data, self.offsets = data, offsets
 
     def __len__(self) -> int:
