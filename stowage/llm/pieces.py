@@ -48,7 +48,7 @@ SLICE = 1 << 20
 #: Runs up to this length are relaxed together, column by column; longer ones with a heap.
 LONG_CHUNK = 48
 #: Characters of chunks whose ids a worker keeps.
-KNOWN_CHARS = 400_000
+KNOWN_CHARS = 1_500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:

@@ -385,8 +385,75 @@ def test_html_of_generated_pages(spark, sf_dir):
         assert r.text == want and r.n_chars == len(want)
 
 
+WORDS, MORE = " ".join(["word"] * 30), " ".join(["text"] * 50)
+
+
+@pytest.mark.parametrize("around", [
+    "<form id='aspnetForm'><article>{}</article></form>", "<div class='page no-sidebar'><article>{}</article></div>", "<div class='has-banner'>{}</div>", "<div id='page-with-menu'>{}</div>",
+    "<section aria-label='search results'>{}</section>", "<article><div class='entry-header'>{}</div></article>", "<form><div>{}</div></form>", "<div class='content has-sidebar'>{}</div>",
+    "<div id='main' class='with-comments'>{}</div>", "<div class='banner-wrapper'><main>{}</main></div>", "<noscript><div>{}</div>", "<object><article>{}</article>", "<div class=ads-page>{}</div>",
+])
+def test_html_wrappers(around):
+    page = f"<html><body><nav><a href=1>Home</a><li><a href=2>About us</a></nav>{around}<footer>All rights reserved by us</footer></body></html>"
+    assert html_text.main_text(page.format(f"<h1>My title</h1><p>{WORDS}</p><p>Short one.</p><p>{MORE}</p>")) == f"My title {WORDS} Short one. {MORE}"
+
+
+def test_html_places_do_not_decide_alone():
+    links = "".join(f"<li><a href={i}>{x}</a>" for i, x in enumerate(("Home", "About", "Contact us")))
+    assert html_text.main_text(f"<main><ul>{links}</ul><h1>Title</h1><p>{WORDS}</p></main>") == f"Title {WORDS}"
+    assert html_text.main_text(f"<article><p>{WORDS}</p></article><div class=ad>{MORE}</div>") == WORDS
+    assert html_text.main_text(f"<article><p>{WORDS}</p><ol class=commentlist><li><article>{MORE}</article></ol></article>") == WORDS
+    assert html_text.main_text(f"<aside><article>{MORE}</article></aside><article>{WORDS}</article>") == WORDS
+    table = html_text.labelled()
+    places = {p: {r[-1] for r in table if r[6] == p} for p in html_text.PLACES}
+    assert all(places[p] == {0, 1} for p in (html_text.ARTICLE, html_text.MAIN, html_text.NONE, html_text.HINT))
+
+
+def test_html_tree_by_brute_force():
+    """The tree against one that tries every cut of every feature anew."""
+
+    def impurity(rows):
+        return sum(r[-1] for r in rows) * sum(1 - r[-1] for r in rows) * 2 / len(rows)
+
+    def decide(values, rows, depth=10):
+        ones = sum(r[-1] for r in rows)
+        cuts = [(k, (x + y) / 2) for k in range(len(values)) for x, y in zip(*(sorted({r[k] for r in rows})[i:] for i in (0, 1)))] if depth and 0 < ones < len(rows) else []
+        if not cuts:
+            return int(2 * ones >= len(rows))
+        best = None
+        for k, cut in cuts:
+            cost = impurity([r for r in rows if r[k] <= cut]) + impurity([r for r in rows if r[k] > cut])
+            if best is None or cost < best[0] - 1e-9:
+                best = cost, k, cut
+        _, k, cut = best
+        return decide(values, [r for r in rows if (r[k] <= cut) == (values[k] <= cut)], depth - 1)
+
+    r = random.Random(8)
+    table = html_text.labelled()
+    assert all(html_text.classify(x[:-1], html_text.tree()) == x[-1] for x in table)
+    for _ in range(12):
+        shape = [(r.choice((1, 3, 8, 20, 60)), r.choice((0.0, 0.2, 1.0)), r.choice(html_text.PLACES)) for _ in range(r.randrange(1, 6))]
+        for i, f in enumerate(html_text.features(shape)):
+            same = sum(n for n, _, p in shape if p == shape[i][2])
+            total = sum(n for n, _, _ in shape)
+            sides = [shape[k][:2] if 0 <= k < len(shape) else (0, 0.0) for k in (i, i - 1, i + 1)]
+            assert f == (*sides[0], *sides[1], *sides[2], shape[i][2], same / total, sum(n for n, _, p in shape if p > 0) / total)
+            assert html_text.classify(f, html_text.tree()) == decide(f, table)
+
+
+@pytest.mark.parametrize("text", ["<a ", '<a x="', "</div ", "<svg>", "</script ", "<script>", "<div>", "<div></section>", "<a x='\"><", '<a x="><a x=" y="', "<", "&amp", "<![CDATA[", "<div class=a >", "= \t"])
+def test_html_broken_markup_in_linear_time(text):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(text * (1_000_000 // len(text)))
+    assert time.process_time() - began < 5
+
+
 def test_html_frame(spark):
-    frame = spark.createDataFrame([(1, None, "x"), (2, "<p>" + "long " * 30_000, "y")], "page_id long, html string, text string")
-    got = {r.page_id: r for r in html_text.extract(frame).collect()}
+    frame = spark.createDataFrame([(1, None, "x", 7), (2, "<p>" + "long " * 30_000, "y", 7), (2, "<p>" + "long " * 30_000, "y", 7)], "page_id long, html string, text string, _main int")
+    rows = html_text.extract(frame).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 3 and all(r["_main"] == 7 for r in rows)
     assert got[1].text == "" and got[1].n_chars == 0 and got[2].n_chars == 30_000 * 5 - 1
     assert html_text.extract(frame.limit(0)).count() == 0
