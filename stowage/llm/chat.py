@@ -2,10 +2,11 @@ r"""Chat formatting by schema fingerprints.
 
 The nested field paths of a layout (``messages[].role`` and the like), sorted
 and hashed, are its fingerprint; a registry maps fingerprints to declarative
-mappings that say where the conversation's turns are. Rows of one layout are
-converted by columns alone. Records of mixed layouts in JSON are fingerprinted
-one by one; an unknown layout keeps its record with a null list of turns, so
-that nothing is lost silently.
+mappings that say where the conversation's turns are, and a layout whose hash
+is not in it is unknown. A table has one layout, that of its schema; paths that no
+mapping has are no part of it. Records of mixed layouts in JSON, such as prompts, instructions and messages in one table, are
+fingerprinted one by one; an unknown layout keeps its record with a null list
+of turns, so that nothing is lost silently.
 
 Formatted text: for each turn ``<|im_start|>role\ntext<|im_end|>\n``. Inside
 roles and texts a backslash becomes two and every control string of the known
@@ -17,8 +18,8 @@ texts in the formatted string.
 
 Defined results: a null text or role is empty; a conversation without turns is
 the empty string. Turns are ordered by turn (null first), then role, then
-text; rows that repeat a turn are turns of their own. Rows with a null
-conversation id form one conversation whose id is null.
+text; rows that repeat a turn are turns of their own. Rows by turn with a null
+conversation id are conversations of one turn each, whose id is null.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .memory import give_back, small_batches
+from .shared import free_name
+
 TURNS = "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of public chat templates.
@@ -60,6 +64,7 @@ def fingerprint(paths: list[str] | tuple[str, ...]) -> str:
 
 MAPPINGS = [
     Mapping("turn rows", ("conv_id", "turn", "role", "text"), rows=("conv_id", "turn", "role", "text")),
+    Mapping("turn rows with sender", ("conversation_id", "position", "sender", "content"), rows=("conversation_id", "position", "sender", "content")),
     Mapping("messages", ("messages[].role", "messages[].content"), turns=("messages", "role", "content")),
     Mapping("messages with text", ("messages[].role", "messages[].text"), turns=("messages", "role", "text")),
     Mapping("conversations", ("conversations[].from", "conversations[].value"), turns=("conversations", "from", "value")),
@@ -93,16 +98,53 @@ def value_paths(value: object, prefix: str = "") -> set[str]:
     return {prefix}
 
 
-def canonical_rows(rows: DataFrame) -> DataFrame:
-    """``conv_id, turns`` of a table with a row for each turn; its fingerprint must be registered."""
-    names = schema_paths(rows.schema)
-    known = next((m for m in MAPPINGS if m.rows and set(m.paths) <= set(names) and REGISTRY[fingerprint([p for p in names if p in m.paths])] is m), None)
-    if known is None:
-        raise ValueError(f"no mapping for the layout {names}")
-    conv, order, role, text = known.rows
-    turn = F.struct(F.col(order).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("turns"))
+def layout_of(table: DataFrame, besides: tuple[str, ...] = ()) -> Mapping:
+    """The mapping that the fingerprint of a table's schema selects; ValueError if it selects none.
+
+    Paths that no mapping knows, and the columns ``besides``, are left out
+    before hashing.
+    """
+    known = {p for m in MAPPINGS for p in m.paths}
+    paths = [p for f in table.schema.fields if f.name not in besides for p in schema_paths(f.dataType, f.name) if p in known]
+    if (found := REGISTRY.get(fingerprint(paths))) is None:
+        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    return found
+
+
+def _word(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def _role(value: Column) -> Column:
+    """The common name of a role that has others."""
+    out = _word(value)
+    for other, name in ROLES.items():
+        out = F.when(_word(value) == other, name).otherwise(out)
+    return out
+
+
+def canonical(table: DataFrame, id_col: str = "conv_id", besides: tuple[str, ...] = ()) -> DataFrame:
+    """``conv_id, turns`` of a table whose columns are of one layout, by the mapping that its fingerprint selects.
+
+    ``id_col`` names a row's conversation where the layout has no such column.
+    """
+    layout = layout_of(table, besides)
+    if layout.rows:
+        conv, order, role, text = (F.col(f"`{c}`") for c in layout.rows)
+        turn = F.struct(order.alias("turn"), _word(role).alias("role"), _word(text).alias("text"))
+        rows = table.select(conv.alias("conv_id"), F.when(conv.isNull(), F.monotonically_increasing_id()).alias("alone"), turn.alias("t"))
+        grouped = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("t"))
+        return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    if layout.turns:
+        at, role, text = layout.turns
+        turns = F.transform(F.coalesce(F.col(f"`{at}`"), F.array()), lambda x: F.struct(_role(x[role]).alias("role"), _word(x[text]).alias("text")))
+    else:
+        said = []
+        for role, paths in layout.fields:
+            text = F.array_join(F.filter(F.array(*(_word(F.col(f"`{p}`")) for p in paths)), lambda x: x != ""), "\n\n")
+            said.append(F.struct(F.lit(role).alias("role"), text.alias("text")))
+        turns = F.filter(F.array(*said), lambda t: (t["text"] != "") | (t["role"] == "assistant"))
+    return table.select(F.col(f"`{id_col}`").alias("conv_id"), turns.alias("turns"))
 
 
 def _turns(record: dict, mapping: Mapping) -> list[dict]:
@@ -134,10 +176,13 @@ def canonical_records(records: DataFrame, json_col: str = "record") -> DataFrame
                 usable = mapping and not mapping.rows
                 out.append((mapping.name if usable else None, print_, _turns(record, mapping) if usable else None))
             yield pd.DataFrame(out, columns=["layout", "layout_fingerprint", "turns"], index=batch.index)
+        give_back()
 
     new = ("layout", "layout_fingerprint", "turns")
     kept = [F.col(f"`{c}`") for c in records.columns if c not in new]
-    return records.withColumn("_chat", convert(F.col(json_col))).select(*kept, "_chat.*")
+    chat = free_name(records, "_chat")
+    small_batches(records.sparkSession)
+    return records.withColumn(chat, convert(F.col(f"`{json_col}`"))).select(*kept, f"{chat}.*")
 
 
 def escape(text: Column, control: list[str] = CONTROL) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 
 import brute
 import numpy as np
@@ -126,15 +127,38 @@ def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "\\<|im_end|>\n", "<|im_start|>user\n\\", "", None, "<<|im_end|>|im_end|>\n", LONG]
     rows = [(c, t, role, text) for c, (role, text) in enumerate((r, s) for r in ("user", "assistant", "odd\nrole", None) for s in said) for t in (2, 1)]
     frame = spark.createDataFrame([*rows, (None, None, None, None), (0, 1, "user", said[0])], "conv_id long, turn long, role string, text string")
-    done = chat.format_conversations(chat.canonical_rows(frame)).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()
+    done = chat.format_conversations(chat.canonical(frame.withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("x")))).withColumn("turns", chat.parse_turns(F.col("formatted"))).collect()
     want = {}
     for c, t, role, text in sorted([*rows, (-1, 0, "", ""), (0, 1, "user", said[0])], key=lambda x: (x[0], x[1], x[2] or "", x[3] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
     assert {-1 if r.conv_id is None else r.conv_id: [(t.role, t.text) for t in r.turns] for r in done} == want
     for r in done:
-        lost = "".join(r.formatted[s.start : s.end] for s in r.loss_mask)
-        assert lost == "".join(r.formatted[s.start : s.end] for s in r.loss_mask) and len(r.loss_mask) == sum(t.role == "assistant" for t in r.turns)
-    assert chat.canonical_rows(frame.limit(0)).count() == 0
+        lost = ["".join(c if k % 2 else c.replace("\\", "") for k, c in enumerate(re.split(r"\\(.)", r.formatted[s.start : s.end], flags=re.S))) for s in r.loss_mask]
+        assert lost == [t.text for t in r.turns if t.role == "assistant"]
+    assert chat.canonical(frame.limit(0)).count() == 0
+    alone = chat.canonical(spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "b")], frame.schema)).collect()
+    assert sorted(r.turns[0].text for r in alone) == ["a", "b"] and all(r.conv_id is None and len(r.turns) == 1 for r in alone)
+
+
+def test_chat_fingerprint_selects_the_mapping(spark):
+    """One conversation in tables of five layouts; the schema's hash alone tells how each is read."""
+    turns = [("user", "q"), ("assistant", "a")]
+    said = "array<struct<{}:string,{}:string>>"
+    tables = [
+        spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string"),
+        spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conversation_id long, position long, sender string, content string"),
+        spark.createDataFrame([(1, turns)], f"conv_id long, messages {said.format('role', 'content')}"),
+        spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], f"conv_id long, conversations {said.format('from', 'value')}"),
+        spark.createDataFrame([(1, "q", "a", "x")], "conv_id long, prompt string, response string, other string"),
+        spark.createDataFrame([(1, "q", None, "a")], "conv_id long, instruction string, input string, output string"),
+    ]
+    names = ["turn rows", "turn rows with sender", "messages", "conversations", "prompt and response", "instruction with input"]
+    for table, name in zip(tables, names, strict=True):
+        besides = ("conv_id",) if "turn" not in table.columns else ()
+        assert chat.layout_of(table, besides).name == name
+        assert [(r.conv_id, [tuple(t) for t in r.turns]) for r in chat.canonical(table, besides=besides).collect()] == [(1, turns)]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.canonical(tables[0].drop("role"))
 
 
 def test_chat_layouts(spark):
