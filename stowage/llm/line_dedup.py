@@ -7,7 +7,7 @@ counts as a variable field from the start. In a leaf, a token that fewer than
 too. A line's template is its tokens with the variable fields generalised;
 templates that ``min_docs`` documents share are recurring, if no more than
 ``1 - fixed_share`` of their fields are variable. Of a recurring template the
-first line (smallest id, then place in the text) stays, all others go.
+first line (smallest id, then digest and place in the text) stays, all others go.
 Lines of at least ``long_tokens`` tokens recur from two documents on. In
 scripts without spaces a line is one token or few, so where lines are equal
 two Chinese or Japanese characters, or four Thai, Lao, Burmese or Khmer ones,
@@ -30,9 +30,10 @@ partial aggregates over all documents.
 
 Defined results: lines of fewer than ``min_tokens`` tokens and blank lines
 always stay; a null text stays null and has no lines, an empty text has one.
-Rows that repeat an id are one document: their lines are judged by place, and
-a line that only they share does not recur. Rows with a null id keep all
-their lines and do not count. Other columns are kept as they are.
+Rows that repeat an id are one document: a line that only they share does not
+recur. Each row loses the lines of its own text; rows of equal id and text
+lose the same ones. Rows with a null id keep all their lines and do not count.
+Other columns are kept as they are; a column ``lines_dropped`` is replaced.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .memory import in_arrow
-from .shared import materialize
+from .shared import free_name, light, materialize
 from .words import NOT_SPACE, Words, chain, mix, slices, string_bytes
 
 DEPTH = 3
@@ -117,7 +118,7 @@ class Lines:
 
 
 def _keys(min_tokens: int, long_tokens: int, alike_share: float):
-    """A row for each line that can be dropped: id, place, tokens, leaf, line, whether it is long, and ``same``, the hash of its tokens as they are, if only equal lines are alike."""
+    """A row for each line that can be dropped: id, digest of the text, place, tokens, leaf, line, whether it is long, and ``same``, the hash of its tokens as they are, if only equal lines are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +131,8 @@ def _keys(min_tokens: int, long_tokens: int, alike_share: float):
                 alike = found.fixed()[some] >= found.counts[some] * alike_share
                 same = pa.array(found.lines(found.raw)[some].view(np.int64), mask=alike)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[some])), _long(place[some]), _long(found.counts[some]), _long(found.leaves()[some]), _long(found.lines(found.tokens)[some]), pa.array(found.lengths()[some] >= long_tokens), same],
-                    names=["id", "place", "tokens", "leaf", "line", "long", "same"],
+                    [*(batch.column(k).take(pa.array(row[some])) for k in (0, 2)), _long(place[some]), _long(found.counts[some]), _long(found.leaves()[some]), _long(found.lines(found.tokens)[some]), pa.array(found.lengths()[some] >= long_tokens), same],
+                    names=["id", "digest", "place", "tokens", "leaf", "line", "long", "same"],
                 )
 
     return run
@@ -141,41 +142,42 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The token hashes of the lines at ``places`` of each text."""
     for batch in batches:
         data, offsets = string_bytes(batch.column(1))
-        places = batch.column(2).to_pylist()
+        places = batch.column(3).to_pylist()
         for low, high in slices(offsets):
             found = Lines(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             row = [i for i in range(low, high) for _ in places[i]]
             place = [p for i in range(low, high) for p in places[i]]
             at = [found.rows[i - low] + p for i in range(low, high) for p in places[i]]
             tokens = [found.tokens[found.first[k] : found.first[k] + found.counts[k]].view(np.int64) for k in at]
-            ids = batch.column(0).take(pa.array(row, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(place, type=pa.int64()), pa.array(tokens, type=pa.list_(pa.int64()))], names=["id", "place", "words"])
+            ids = [batch.column(k).take(pa.array(row, type=pa.int64())) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(place, type=pa.int64()), pa.array(tokens, type=pa.list_(pa.int64()))], names=["id", "digest", "place", "words"])
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 20, fixed_share: float = 0.8, alike_share: float = 0.0) -> DataFrame:
-    """``id, places``: the places (from 0) of the lines to drop, for documents that lose some."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    """``id, digest, places``: the places (from 0) of the lines to drop, for texts (an id and the text's ``xxhash64``) that lose some."""
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    docs = docs.withColumn("digest", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    lines = materialize(in_arrow(docs, _keys(min_tokens, long_tokens, alike_share), f"id {kind}, place long, tokens long, leaf long, line long, long boolean, same long"), "lines")
+    lines = materialize(in_arrow(docs, _keys(min_tokens, long_tokens, alike_share), f"id {kind}, digest long, place long, tokens long, leaf long, line long, long boolean, same long"), "lines")
     needed = F.when(F.col("tokens") >= long_tokens, 2).otherwise(min_docs)
     needed_equal = F.when(F.col("long"), 2).otherwise(min_docs)
 
     # documents and the first line of each distinct line; a document's lines come together first
-    each = lines.groupBy("line", "id").agg(F.min("place").alias("place"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and(F.col("same").isNull()).alias("alike"), F.bool_or("long").alias("long"))
-    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and("alike").alias("alike"), F.bool_or("long").alias("long"))
+    each = lines.groupBy("line", "id").agg(F.min(F.struct("digest", "place")).alias("at"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and(F.col("same").isNull()).alias("alike"), F.bool_or("long").alias("long"))
+    alike = each.groupBy("line").agg(F.count("*").alias("docs"), F.min(F.struct("id", "at.digest", "at.place")).alias("first"), F.max("tokens").alias("tokens"), F.max("leaf").alias("leaf"), F.bool_and("alike").alias("alike"), F.bool_or("long").alias("long"))
     alike = materialize(alike, "alike")
     exact = alike.where(F.col("alike") & (F.col("docs") >= needed_equal)).select("line", "first")
     # of the others, those that are equal
-    equal = lines.where("same is not null").groupBy("same", "id").agg(F.min("place").alias("place"), F.bool_or("long").alias("long"))
-    equal = equal.groupBy("same").agg(F.count("*").alias("docs"), F.min(F.struct("id", "place")).alias("first"), F.bool_or("long").alias("long"))
+    equal = lines.where("same is not null").groupBy("same", "id").agg(F.min(F.struct("digest", "place")).alias("at"), F.bool_or("long").alias("long"))
+    equal = equal.groupBy("same").agg(F.count("*").alias("docs"), F.min(F.struct("id", "at.digest", "at.place")).alias("first"), F.bool_or("long").alias("long"))
     equal = equal.where(F.col("docs") >= needed_equal).select(F.col("same").alias("line"), "first")
     # leaves with several lines, some of which no other documents have: these may have variable fields
     leaves = alike.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("docs"), F.min("docs").alias("least"), F.max("tokens").alias("tokens"))
     leaves = leaves.where((F.col("lines") > 1) & (F.col("docs") >= needed) & (F.col("least") < needed)).select("leaf")
     heads = materialize(alike.join(leaves, "leaf", "left_semi"), "open")
-    wanted = heads.groupBy(F.col("first.id").alias("id")).agg(F.collect_set("first.place").alias("places"))
-    words = in_arrow(docs.join(wanted.hint("merge"), "id"), _tokens, f"id {kind}, place long, words array<long>").dropDuplicates(["id", "place"])
-    told = heads.select(F.col("first.id").alias("id"), F.col("first.place").alias("place"), "leaf", "line", "docs", "tokens").join(words, ["id", "place"])
+    wanted = heads.groupBy(F.col("first.id").alias("id"), F.col("first.digest").alias("digest")).agg(F.collect_set("first.place").alias("places"))
+    words = in_arrow(docs.join(wanted.hint("merge"), ["id", "digest"]).select("id", "text", "digest", "places"), _tokens, f"id {kind}, digest long, place long, words array<long>").dropDuplicates(["id", "digest", "place"])
+    told = heads.select("first.*", "leaf", "line", "docs", "tokens").join(words, ["id", "digest", "place"])
     told = materialize(told, "told")
     fields = told.select("leaf", "line", "docs", "tokens", F.posexplode("words").alias("at", "word")).where(F.col("word") != F.lit(int(_VARIABLE.astype(np.int64))))
     fields = fields.select("line", "docs", "tokens", F.xxhash64("leaf", "at", "word").alias("field"))
@@ -184,23 +186,26 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fixed = fields.select("field", "line").join(common, "field").groupBy("line").agg(F.count("*").alias("fixed"), F.bit_xor("field").alias("x"), F.sum(F.col("field") % (1 << 40)).alias("y"))
     fixed = fixed.join(told.select("line", "leaf", "tokens"), "line").where(F.col("fixed") >= F.col("tokens") * fixed_share)
     fixed = materialize(fixed.select("line", "leaf", "x", "y"), "fixed")
-    holders = lines.select("line", "id", "tokens").join(fixed, "line").select("leaf", "x", "y", "id", "tokens").distinct()
+    holders = lines.select("line", "id", "tokens").join(light(fixed), "line").select("leaf", "x", "y", "id", "tokens").distinct()
     templates = holders.groupBy("leaf", "x", "y").agg(F.count("*").alias("docs"), F.max("tokens").alias("tokens")).where(F.col("docs") >= needed).select("leaf", "x", "y")
     generalised = fixed.join(templates, ["leaf", "x", "y"]).select("line", "leaf", "x", "y")
     # lines alike in fixed fields share the first line of their template
-    first = told.select("line", F.struct("id", "place").alias("first")).join(generalised, "line").groupBy("leaf", "x", "y").agg(F.min("first").alias("first"))
+    first = told.select("line", F.struct("id", "digest", "place").alias("first")).join(generalised, "line").groupBy("leaf", "x", "y").agg(F.min("first").alias("first"))
     general = generalised.join(first, ["leaf", "x", "y"]).select("line", "first")
-    recurring = exact.union(equal).union(general).groupBy("line").agg(F.min("first").alias("first"))
-    gone = lines.select("id", "place", F.coalesce("same", "line").alias("line")).join(recurring, "line").where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
-    return gone.groupBy("id").agg(F.collect_set("place").alias("places"))
+    recurring = light(materialize(exact.union(equal).union(general).groupBy("line").agg(F.min("first").alias("first")), "recurring"))
+    gone = lines.select("id", "digest", "place", F.coalesce("same", "line").alias("line")).join(recurring, "line").where(F.struct("id", "digest", "place") != F.col("first"))
+    return gone.groupBy("id", "digest").agg(F.collect_set("place").alias("places"))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with ``text_col`` without recurring lines and ``lines_dropped`` (long, null for a null text)."""
-    gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias("_id"), F.col("places").alias("_places"))
+    text = F.col(f"`{text_col}`").cast("string")
+    id_, digest, places = (free_name(docs, x) for x in ("_id", "_digest", "_places"))
+    gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("places").alias(places))
     names = [c for c in docs.columns if c != "lines_dropped"]
-    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("_id"), "left")
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\n'), (x, i) -> NOT array_contains(_places, CAST(i AS BIGINT))), '\n')")
-    text = F.when(F.col("_places").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    n = F.when(F.col(f"`{text_col}`").isNotNull(), F.coalesce(F.size("_places"), F.lit(0)).cast("long"))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n.alias("lines_dropped"))
+    joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col(id_)) & (F.xxhash64(text) == F.col(digest)), "left")
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(F.split(text, "\n")).cast("long") - 1), places)
+    kept = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n"))[0]
+    out = F.when(F.col(places).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
+    n = F.when(text.isNotNull(), F.coalesce(F.size(places), F.lit(0)).cast("long"))
+    return joined.select(*(out.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n.alias("lines_dropped"))

@@ -56,14 +56,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most keys that :func:`among` and :func:`without` send to every executor (about 16 MB of longs).
+#: Most rows of a few longs that :func:`light` sends to every executor (4 MB a long).
 BROADCAST_KEYS = 500_000
 
 
+def light(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, counted: up to ``BROADCAST_KEYS`` rows with a hint to broadcast them."""
+    return F.broadcast(table) if table.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else table
+
+
 def _keys(keys: DataFrame, col: str) -> DataFrame:
-    """The distinct keys, written and counted: up to ``BROADCAST_KEYS`` with a hint to broadcast them."""
-    keys = materialize(keys.select(col).distinct(), "keys")
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+    """The distinct keys, :func:`light`."""
+    return light(materialize(keys.select(col).distinct(), "keys"))
 
 
 def among(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:

@@ -197,6 +197,26 @@ def test_lines(spark):
     assert line_dedup.drop_recurring_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    """Each row loses lines of its own text only; a document counts once; other columns keep their names and values."""
+    common, own = "one common line here", "quite unique first line"
+    rows = [(1, common), (2, f"{common}\nx"), (2, f"{own}\n{common}"), (2, f"{own}\n{common}"), (3, f"{common}\n{common}"), (None, common), (4, None), (5, f"only here\nonly here"), (5, "only here\nand that")]
+    names = ("_id", "_places", "_digest", "lines_dropped", "places", "digest", "line")
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], f"doc_id long, text string, {', '.join(f'{n} int' for n in names)}")
+    done = line_dedup.drop_recurring_lines(frame, **line_dedup.WHOLE).collect()
+    assert all(r[n] == k for r in done for k, n in enumerate(names) if n != "lines_dropped")
+    want = [(1, common, 0), (2, "x", 1), (2, own, 1), (2, own, 1), (3, "", 2), (None, common, 0), (4, None, None), (5, rows[7][1], 0), (5, rows[8][1], 0)]
+    assert sorted(((r.doc_id, r.text, r.lines_dropped) for r in done), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_lines_by_either_join(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("stowage.llm.shared.BROADCAST_KEYS", broadcast)
+    rows = [(i, f"the footer of this page {'abcdefgh'[i % 8]} was made for all of us\nsame\n{i} own") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.id: set(x.places) for x in line_dedup.dropped_lines(frame).collect()} == brute.template_lines(rows)
+
+
 def test_lines_of_numbers_recur_only_if_equal(spark):
     table = lambda i: "\n".join(["| item | count | price |", f"| {i} | {i * 7} | 3.{i} |", "12 45 99", f"{i}00 8 {i}77", f"2024-01-0{i} 10:0{i} ok", f"the footer of this page was made on day {i}"])
     rows = [(i, table(i) + "\n12 45 99") for i in range(1, 5)]
