@@ -19,10 +19,12 @@ then members outside a bucket's largest component are compared with the rest
 of it, as far as exact bounds leave a link possible: two members have no more
 in common than their shingles that are not private, and, if they have the same
 hub, no more than the smaller of their intersections with it and the smaller
-of their other shingles that are not private. So no link between components is
-lost. Pairs pass a filter on
-the sketches before texts are read. All steps are joins and partial
-aggregates; nothing of the corpus reaches the driver.
+of their other shingles that are not private. The first bound is part of the
+join, as a range of sizes in steps, so that pairs it rules out are not made. So
+no link between components is lost. Those pairs pass a filter on the sketches
+before texts are read: a pair at the threshold fails it with probability below
+1e-7. All steps are joins and partial aggregates; nothing of the corpus reaches
+the driver, and a text that many are compared with is dealt out in copies.
 
 Defined results: a null, empty or blank text has an empty set (0 shingles), is
 linked with nothing and is its own component. A text of fewer than ``words``
@@ -48,8 +50,10 @@ from .words import NOT_SPACE, chain, mix, shingles, words_of
 #: Bins of a sketch: BANDS keys of ROWS bins each. A pair of similarity 0.85
 #: shares no key with probability (1 - 0.85**6)**36 < 4e-8, of 0.8 with 1.7e-5.
 ROWS, BANDS = 6, 36
-#: Pairs of texts that are verified at once.
-PAIRS = 64
+#: Pairs of texts that are verified at once, and pairs of one text before it is dealt out in copies.
+PAIRS, HUB_PAIRS = 64, 256
+#: Sizes of sets are told apart in steps of this ratio where pairs are joined.
+SIZE_STEP = 1.05
 
 
 def sketch(values: np.ndarray, rows: np.ndarray, count: int, bins: int = ROWS * BANDS) -> np.ndarray:
@@ -80,6 +84,12 @@ def band_keys(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return chain(number.ravel(), *(bands[:, :, i].ravel() for i in range(rows))).reshape(n, -1)
 
 
+def least_bins(percent: int, bins: int = ROWS * BANDS) -> int:
+    """Bins in which sketches of a pair at the threshold agree, but for a probability below 1e-7 (5.5 standard deviations)."""
+    share = percent / 100
+    return max(0, int(bins * share - 5.5 * (bins * share * (1 - share)) ** 0.5))
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -101,14 +111,14 @@ def _sketches(words: int):
 
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(low, len(sets)),
+                        *(batch.column(k).slice(low, len(sets)) for k in (0, 2)),
                         pa.array(sizes),
                         _long(total(mix(flat + np.uint64(1)))),
                         _long(total(mix(flat ^ np.uint64(0x5851F42D4C957F2D)))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * keys.shape[1]), _long(keys.ravel())),
                         pa.array([x.tobytes() for x in (out & np.uint64(0xFF)).astype(np.uint8)], type=pa.binary()),
                     ],
-                    names=["id", "n", "d1", "d2", "bands", "sig"],
+                    names=["id", "row", "n", "d1", "d2", "bands", "sig"],
                 )
 
     return run
@@ -165,41 +175,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 80 percent and more")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
-    sketched = materialize(in_arrow(docs, _sketches(words), "id long, n long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("id").isNotNull())
+    # what tells the texts of an id apart
+    docs = docs.withColumn("row", F.xxhash64("id", F.xxhash64("text")))
+    sketched = materialize(in_arrow(docs, _sketches(words), "id long, row long, n long, d1 long, d2 long, bands array<long>, sig binary"), "sketches")
     # one class for each set; its smallest id stands for it
-    ids = sketched.groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("s")).select("id", "s.*")
+    ids = sketched.groupBy("id").agg(F.min(F.struct("n", "d1", "d2", "row")).alias("s")).select("id", "s.*")
     filled = ids.where("n > 0")
     classes = filled.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    classed = materialize(filled.join(classes, ["n", "d1", "d2"]).select("id", "n", "rep"), "classes")
-    reps = classed.where("id = rep").select("id", "n")
-    first = sketched.join(reps, ["id", "n"])
-    keyed = first.select("id", "n", F.explode("bands").alias("key"))
+    classed = materialize(filled.join(classes, ["n", "d1", "d2"]).select("id", "n", "row", "rep"), "classes")
+    reps = classed.where("id = rep").select("id", "row")
+    first = sketched.join(reps, ["id", "row"]).dropDuplicates(["id"])
+    keyed = first.select("id", "row", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
     # texts, sketches and private shingles of the classes that share a bucket
-    texts = materialize(among(docs, buckets, "id"), "texts")
+    texts = materialize(among(docs, buckets, "row").dropDuplicates(["id"]).drop("row"), "texts")
     holders = in_arrow(texts, _exploded(words), "id long, h long").groupBy("h").agg(F.count("*").alias("holders"), F.min("id").alias("id"))
     private = holders.where("holders = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = buckets.groupBy("id").agg(F.max("n").alias("n")).join(private, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    sizes = buckets.groupBy("id").agg(F.max("n").alias("n"), F.max("row").alias("row")).join(private, "id", "left").select("id", "row", "n", F.coalesce("own", F.lit(0)).alias("own"))
     sizes = materialize(sizes, "sizes")
-    signed = sketched.join(sizes, ["id", "n"]).select("id", "sig")
+    signed = sketched.join(sizes, ["id", "row"]).select("id", "sig").dropDuplicates(["id"])
 
-    bins = ROWS * BANDS
-    share = percent / 100
-    least = max(0, int(bins * share - 5.5 * (bins * share * (1 - share)) ** 0.5))
+    least = least_bins(percent)
 
     def possible(both: Column) -> Column:
         """Whether sets of n_a and n_b elements are a link if they have ``both`` in common."""
         return both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent
 
-    # private shingles are in no intersection
-    shared_most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
-
     def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) with n_a, n_b and both, of full sets."""
-        a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        return materialize(in_arrow(pairs.join(a, "a").join(b, "b"), _verify(words), "a long, b long, n_a long, n_b long, both long"), "compared")
+        """The pairs (a, b) with n_a, n_b and both, of full sets; a text b that many others meet is dealt out in copies."""
+        copies = F.ceil(F.count("*") / HUB_PAIRS).cast("long")
+        several = pairs.groupBy("b").agg(copies.alias("copies")).where("copies > 1")
+        salted = pairs.join(several, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "copies"), F.lit(0).cast("long")).alias("salt"))
+        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        b = pairs.select("b").distinct().join(several, "b", "left").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        b = b.select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("copies") - 1, F.lit(0).cast("long")))).alias("salt"))
+        return materialize(in_arrow(salted.join(a, "a").join(b, ["b", "salt"]).select("a", "b", "text_a", "text_b"), _verify(words), "a long, b long, n_a long, n_b long, both long"), "compared")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links."""
@@ -208,10 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return compared(materialize(likely, "likely")).where(possible(F.col("both"))).select("a", "b")
 
     # a class with more private shingles than any link leaves takes no part
-    members = buckets.join(sizes.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), ["id", "n"])
+    members = buckets.select("key", "id").join(sizes.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent).drop("row"), "id")
     members = materialize(members, "members")
     hubs = members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), F.col("id").alias("id"))).alias("hub"))
     star = members.join(hubs, "key").where("id <> hub.id").groupBy(F.col("id").alias("a")).agg(F.min("hub").alias("hub")).select("a", F.col("hub.id").alias("b"))
+    star = materialize(star, "star")
     starred = compared(star)
     joined = components(starred.where(possible(F.col("both"))).select("a", "b"))
     named = joined.select(F.col("node").alias("id"), "component")
@@ -224,15 +237,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "comp")).alias("top")).where("parts > 1").select("key", F.col("top.comp").alias("top"))
     rest = labelled.join(mixed, "key")
-    rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-    a, b = (rest.select("key", "top", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "own", "hub", "in", "out", "comp", "keys"))) for x in "ab")
+    rest = materialize(rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id"), "rest")
+    # Private shingles are in no intersection, so it is no larger than the smaller rest of both sets; a set with the smaller
+    # rest links only with sets whose size is between that rest and what the rest allows: pairs are joined by steps of size.
+    left = F.col("n") - F.col("own")
+    most = F.floor(left * (100 + percent) / percent) - F.col("n")
+    step = lambda n: F.floor(F.log(n) / np.log(SIZE_STEP))
+    lesser, other = (rest.select("key", "top", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "own", "hub", "in", "out", "comp", "keys")), left.alias(f"left_{x}"), more) for x, more in (("a", most.alias("most")), ("b", step(F.col("n")).alias("step"))))
+    lesser = lesser.where("most >= left_a").withColumn("step", F.explode(F.sequence(step(F.col("left_a")), step(F.col("most")))))
     by_hub = F.when(F.col("hub_a") == F.col("hub_b"), F.least("in_a", "in_b") + F.least("out_a", "out_b"))
-    near = possible(F.least(shared_most, by_hub))
-    # two members outside the largest meet once in a bucket, one of them with the largest once; pairs come from their smallest bucket
-    once = ((F.col("comp_b") == F.col("top")) | (F.col("id_a") < F.col("id_b")))
+    near = possible(F.least("left_a", by_hub)) & F.col("n_b").between(F.col("left_a"), F.col("most"))
+    ordered = F.struct("left_a", "id_a") < F.struct(F.col("left_b").alias("left_a"), F.col("id_b").alias("id_a"))
+    # pairs come from their smallest bucket; members of a bucket's largest component never meet each other
     smallest = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))
-    cross = a.where("comp_a <> top").join(b.drop("top"), "key").where((F.col("comp_a") != F.col("comp_b")) & once & near & smallest)
-    cross = cross.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+    def met(some: DataFrame, others: DataFrame) -> DataFrame:
+        found = some.join(others.drop("top"), ["key", "step"]).where((F.col("comp_a") != F.col("comp_b")) & ordered & near & smallest)
+        return found.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
+
+    cross = met(lesser.where("comp_a <> top"), other).union(met(lesser.where("comp_a = top"), other.where("comp_b <> top"))).distinct()
     tested = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = linked(cross.join(tested, ["a", "b"], "left_anti"))
     for x in "ab":

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 
@@ -70,6 +71,47 @@ def test_sketch_estimates_similarity():
     assert abs((out[0] == out[1]).mean() - 320 / 480) < 0.05
 
 
+def test_near_duplicates_of_rows_that_repeat_an_id(spark):
+    """Of an id's texts the one with the smallest set counts, alone."""
+    base = [f"w{i}" for i in range(60)]
+    near, far = " ".join(base), " ".join(f"v{i}" for i in range(80))
+    rows = [(1, near), (2, near + " x"), (2, far), (3, far), (3, far), (4, far + " y"), (5, near + " z"), (5, near + " z z z z z z z z z z z z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame, words=3, percent=85).collect()}
+    assert got == {1: (58, 1), 2: (59, 1), 3: (78, 3), 4: (79, 3), 5: (59, 1)}
+
+
+def test_near_duplicates_with_shared_boilerplate(spark):
+    """Pages alike by three quarters share all buckets but make no pair; links among them are still found."""
+    words = [f"b{i}" for i in range(122)]
+    rows = [(i, " ".join([*words, *(f"o{i}x{k}" for k in range(20))])) for i in range(400)]
+    rows += [(1000 + i, rows[7 * i][1] + " more") for i in range(20)] + [(2000 + i, " ".join([*words, *(f"s{i // 2}x{k}" for k in range(20 + i % 2))])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for words_, percent in ((3, 85), (5, 80)):
+        got = {r.id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame, words=words_, percent=percent).collect()}
+        assert got == brute.near_duplicates(rows, words_, percent)
+
+
+def test_sketch_filter_and_bands_keep_links():
+    """Pairs at the threshold: the share that shares a band and agrees in enough bins."""
+    r = np.random.default_rng(3)
+    for percent, size in ((80, 450), (85, 370)):
+        bins = near_dup.ROWS * near_dup.BANDS
+        least = near_dup.least_bins(percent)
+        both, own = size * 2 * percent // (100 + percent), size - size * 2 * percent // (100 + percent)
+        values, rows = [], []
+        for k in range(400):
+            common = r.integers(0, 2**63, both).astype(np.uint64)
+            for j in (0, 1):
+                values += [common, r.integers(0, 2**63, own).astype(np.uint64)]
+                rows.append(np.full(both + own, 2 * k + j))
+        out = near_dup.sketch(np.concatenate(values), np.concatenate(rows), 800)
+        keys = near_dup.band_keys(out)
+        assert ((out[::2] == out[1::2]).sum(axis=1) >= least).all() and (keys[::2] == keys[1::2]).any(axis=1).all()
+        share = percent / 100
+        assert sum(math.comb(bins, k) * share**k * (1 - share) ** (bins - k) for k in range(least)) < 1e-7
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(0, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 560)]
