@@ -8,10 +8,11 @@ it. A document's words are joined to the postings; the place gives the only
 start a window can have there, which must lie within the document, as must its
 end (positional and length bounds); the window is then compared word by word.
 
-Documents stay where they are: benchmark items come in blocks of at most
-``BLOCK_BYTES`` of text, checked before they are sent out, and a larger
-benchmark takes more passes whose spans are merged by document. Frequencies are
-counted over all documents, for the words of the block.
+Documents stay where they are: up to ``INDEX_TEXT_BYTES`` of items, checked
+before they are sent out, are an index of arrays on each executor. For a larger
+benchmark frequencies and postings are tables joined by Spark, and whatever its
+size the documents are read twice: for the frequencies of words, which are
+counted over all of them, and for the windows.
 
 Words are runs of ASCII letters and digits and of all other than ASCII
 characters, with A-Z lower-cased. They are compared by 64-bit hashes of their
@@ -32,48 +33,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .memory import in_arrow
-from .words import ALNUM, Words, words_of
+from .shared import materialize
+from .words import ALNUM, Words, chain, words_of
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+#: Bytes of items that one index holds (it takes 25 times as many at most), and prefixes that are sent out for a larger benchmark (16 bytes each).
+INDEX_TEXT_BYTES, PREFIXES = 4 << 20, 2_000_000
 _PAIRS = 1 << 20
 
 
+def _window_hashes(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of all words of each window of ``flat``."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        out[at] = chain(*(flat[starts[at] + i] for i in range(n)))
+    return out
+
+
+def _windows(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length) of the windows of texts whose words are bounds[i] to bounds[i + 1]."""
+    words = np.diff(bounds)
+    counts = np.where(words > 0, np.maximum(1, words - size + 1), 0)
+    text = np.repeat(np.arange(len(words)), counts)
+    start = bounds[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return text, start, np.minimum(words, size)[text]
+
+
 class Index:
-    """Windows of some items, posted under their rarest word."""
+    """Windows of some items, posted under their rarest word; at most about 50 bytes for each word of the items."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], size: int = WINDOW):
         self.size = size
-        seen: dict[bytes, int] = {}
-        rows: list[np.ndarray] = []
-        self.holders: list[set[int]] = []
-        self.items = sorted({i for i, _ in items})
-        number = {x: n for n, x in enumerate(self.items)}
-        for item, words in items:
-            for i in range(max(1, len(words) - size + 1) if len(words) else 0):
-                window = words[i : i + size]
-                at = seen.setdefault(window.tobytes(), len(rows))
-                if at == len(rows):
-                    rows.append(window)
-                    self.holders.append(set())
-                self.holders[at].add(number[item])
-        self.lengths = np.array([len(w) for w in rows], dtype=np.int64)
-        self.windows = np.zeros((len(rows), size), dtype=np.uint64)
-        for i, w in enumerate(rows):
-            self.windows[i, : len(w)] = w
-        inside = np.arange(size)[None, :] < self.lengths[:, None]
-        self.vocabulary = np.unique(self.windows[inside])
+        self.flat = np.concatenate([*(w for _, w in items), np.zeros(0, np.uint64)])
+        bounds = np.concatenate([[0], np.cumsum([len(w) for _, w in items])]).astype(np.int64)
+        self.items, number = np.unique(np.array([i for i, _ in items], dtype=object).astype(str), return_inverse=True)
+        text, starts, lengths = _windows(bounds, size)
+        _, first, same = np.unique(_window_hashes(self.flat, starts, lengths), return_index=True, return_inverse=True)
+        self.starts, self.lengths = starts[first].astype(np.int32), lengths[first].astype(np.int8)
+        held = np.unique(same.astype(np.int64) * (len(self.items) + 1) + number[text] if len(text) else np.zeros(0, np.int64))
+        self.holders = (held % (len(self.items) + 1)).astype(np.int32)
+        self.held = np.searchsorted(held // (len(self.items) + 1), np.arange(len(first) + 1)).astype(np.int32)
+        self.vocabulary = np.unique(self.flat)
+
+    def words(self, window: np.ndarray, i: int) -> np.ndarray:
+        """The i-th word of windows that have as many."""
+        return self.flat[self.starts[window] + i]
 
     def post(self, frequency: np.ndarray) -> None:
         """Choose each window's prefix by the frequency of each word of ``vocabulary``."""
-        n = len(self.windows)
-        at = np.searchsorted(self.vocabulary, self.windows)
-        rank = np.argsort(np.argsort(frequency, kind="stable"), kind="stable") if len(frequency) else frequency
-        rank = rank[np.minimum(at, max(0, len(rank) - 1))] if n else np.zeros((0, self.size), np.int64)
-        rank = np.where(np.arange(self.size)[None, :] < self.lengths[:, None], rank, np.iinfo(np.int64).max)
-        self.place = rank.argmin(axis=1) if n else np.zeros(0, np.int64)
-        prefix = self.windows[np.arange(n), self.place]
-        self.posted = np.argsort(prefix, kind="stable")
+        n = len(self.starts)
+        rank = np.argsort(np.argsort(frequency, kind="stable"), kind="stable")[np.searchsorted(self.vocabulary, self.flat)] if len(frequency) else frequency
+        best, self.place = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int8)
+        for i in range(self.size):
+            some = np.flatnonzero(self.lengths > i)
+            some = some[rank[self.starts[some] + i] < best[some]]
+            best[some], self.place[some] = rank[self.starts[some] + i], i
+        prefix = self.flat[self.starts + self.place] if n else np.zeros(0, np.uint64)
+        self.posted = np.argsort(prefix, kind="stable").astype(np.int32)
         self.prefixes, self.first = np.unique(prefix[self.posted], return_index=True)
         self.count = np.diff(np.append(self.first, n))
 
@@ -92,26 +109,31 @@ class Index:
             p, c = places[low:high], counts[low:high]
             posting = np.repeat(self.first[at[p]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             window = self.posted[posting]
-            start = np.repeat(p, c) - self.place[window]
+            start = np.repeat(p, c) - self.place[window].astype(np.int64)
             doc = np.repeat(row[low:high], c)
             fits = (start >= words.rows[doc]) & (start + self.lengths[window] <= words.rows[doc + 1])
             window, start = window[fits], start[fits]
             for i in range(self.size):
-                short = self.lengths[window] <= i
-                same = short | (words.hashes[np.minimum(start + i, len(words.hashes) - 1)] == self.windows[window, i])
+                same = self.lengths[window] <= i
+                longer = np.flatnonzero(~same)
+                same[longer] = words.hashes[start[longer] + i] == self.words(window[longer], i)
                 window, start = window[same], start[same]
             yield window, start
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[Index]:
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text`` of the items that have an id."""
+    return benchmark.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("id is not null")
+
+
+def _index(items: DataFrame, size: int) -> Index | None:
+    """The index of all items; None if they are larger than ``INDEX_TEXT_BYTES``."""
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("id"))).first()[0] or 0
-    count = -(-total // BLOCK_BYTES)
-    for i in range(count):
-        part = items.where(F.pmod(F.xxhash64("id"), F.lit(count)) == i).toArrow()
-        ids = part.column("id").to_pylist()
-        texts = part.column("text").combine_chunks()
-        yield Index([(ids[low + k], w.hashes[w.rows[k] : w.rows[k + 1]]) for low, w in words_of(texts, ALNUM) for k in range(len(w))], size)
+    if total > INDEX_TEXT_BYTES:
+        return None
+    whole = items.toArrow()
+    ids = whole.column("id").to_pylist()
+    return Index([(ids[low + k], w.hashes[w.rows[k] : w.rows[k + 1]]) for low, w in words_of(whole.column("text"), ALNUM) for k in range(len(w))], size)
 
 
 def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
@@ -152,7 +174,7 @@ def _spans(docs: DataFrame, index: Index) -> DataFrame:
                     window, start = window[order], start[order]
                     doc = np.searchsorted(words.rows, start, side="right") - 1
                     for d, w, s in zip(doc.tolist(), window.tolist(), (start - words.rows[doc]).tolist(), strict=True):
-                        items[d] |= known.holders[w]
+                        items[d].update(known.holders[known.held[w] : known.held[w + 1]].tolist())
                         end = s + int(known.lengths[w])
                         if hits[d] and s <= hits[d][-1][1]:
                             hits[d][-1][1] = max(end, hits[d][-1][1])
@@ -164,7 +186,7 @@ def _spans(docs: DataFrame, index: Index) -> DataFrame:
                         batch.column(1).slice(low, n),
                         pa.array(np.diff(words.rows)),
                         pa.array(hits, type=pa.list_(pa.list_(pa.int64()))),
-                        pa.array([sorted(known.items[i] for i in x) for x in items], type=pa.list_(pa.string())),
+                        pa.array([known.items[sorted(x)].tolist() for x in items], type=pa.list_(pa.string())),
                     ],
                     names=["id", "digest", "n_words", "hits", "items"],
                 )
@@ -196,46 +218,135 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _contamination(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame:
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = []
-    for index in _blocks(benchmark, item_col, item_text_col, window):
-        index.post(_frequencies(docs, index))
-        parts.append(_spans(docs, index))
-    if not parts:
-        parts.append(_spans(docs, empty_index(window)))
-    return parts[0] if len(parts) == 1 else _merged(parts)
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    items = _items(benchmark, item_col, item_text_col)
+    index = _index(items, window)
+    if index is None:
+        return _joined(docs, items, window)
+    index.post(_frequencies(docs, index))
+    return _spans(docs, index)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def empty_index(window: int = WINDOW) -> Index:
-    index = Index([], window)
-    index.post(np.zeros(0, np.int64))
-    return index
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, n`` of the words of each slice."""
+    for batch in batches:
+        for _, words in words_of(batch.column(0), ALNUM):
+            word, n = np.unique(words.hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_long(word), _long(n)], names=["word", "n"])
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """One row for each row of the documents: spans of all parts merged, items united.
+def _item_windows(size: int):
+    """``id, window, length, words`` of the windows of each item."""
 
-    Rows of equal id and text have equal spans in each part; they are counted
-    there, joined part by part and then repeated.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, words in words_of(batch.column(1), ALNUM):
+                text, start, length = _windows(words.rows, size)
+                spelt = [words.hashes[s : s + n].view(np.int64) for s, n in zip(start.tolist(), length.tolist(), strict=True)]
+                columns = [batch.column(0).take(_long(low + text)), _long(_window_hashes(words.hashes, start, length)), _long(length), pa.array(spelt, type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "window", "length", "words"])
+
+    return run
+
+
+def _bit(length, place):
+    """Bit of a window's length and of its prefix's place in it."""
+    return length * (length - 1) / 2 + place
+
+
+def _candidates(kind: str, size: int, prefixes, every: int):
+    """Each document with the hashes of the windows that a prefix in it makes possible; ``prefixes``: a broadcast (words, bits), or None where any word may be one of ``every`` kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = prefixes.value if prefixes else (None, None)
+        for batch in batches:
+            for low, words in words_of(batch.column(3), ALNUM):
+                n = len(words)
+                if known is None:
+                    place_of, mask = np.arange(len(words.hashes)), np.full(len(words.hashes), every)
+                elif len(known):
+                    at = np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)
+                    place_of = np.flatnonzero(known[at] == words.hashes)
+                    mask = bits[at[place_of]]
+                else:
+                    place_of, mask = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                row = np.searchsorted(words.rows, place_of, side="right") - 1
+                found = []
+                for length in range(1, size + 1):
+                    for place in range(length):
+                        some = np.flatnonzero(mask >> int(_bit(length, place)) & 1)
+                        start = place_of[some] - place
+                        fits = (start >= words.rows[row[some]]) & (start + length <= words.rows[row[some] + 1])
+                        found.append((row[some][fits], start[fits], np.full(int(fits.sum()), length)))
+                doc, start, length = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((length, start, doc))
+                doc, start, length = doc[order], start[order], length[order]
+                window = _window_hashes(words.hashes, start, length)
+                start = start - words.rows[doc]
+                spans = pa.StructArray.from_arrays([_long(start), _long(length), _long(window)], names=["start", "length", "window"])
+                ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                columns = [*(batch.column(k).slice(low, n) for k in range(3)), _long(np.diff(words.rows)), pa.ListArray.from_arrays(ends, spans)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "other", "n_words", "spans"])
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The same for a benchmark of any size: frequencies and postings are tables, and the documents are read twice.
+
+    Every step is a join or an aggregate. Only the prefixes with their places
+    are sent to the executors, and only up to ``PREFIXES`` of them; beyond, any
+    word of a document counts as one. Texts are known by two 64-bit hashes.
     """
-    whole = None
-    for part in parts:
-        once = part.groupBy("id", "digest").agg(F.max("n_words").alias("n_words"), F.max("hits").alias("hits"), F.max("items").alias("items"), F.count("*").alias("rows"))
-        whole = once if whole is None else whole.unionByName(once)
-    both = whole.groupBy("id", "digest").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("rows").alias("rows"),
-    )
+    spark = docs.sparkSession
+    held = in_arrow(items, _item_windows(size), "id string, window long, length long, words array<long>")
+    held = materialize(held.groupBy("id", "window").agg(F.min("length").alias("length"), F.min("words").alias("words")), "windows")
+    once = held.groupBy("window").agg(F.min("length").alias("length"), F.min("words").alias("words"))
+    spelt = materialize(once.select("window", "length", F.posexplode("words").alias("place", "word")), "spelt")
+    counts = in_arrow(docs.select("text"), _counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = spelt.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    # the rarest word of each window, the first one of equally rare ones
+    posted = spelt.join(counts, "word").groupBy("window").agg(F.min(F.struct("n", "word", "place", "length")).alias("p"))
+    posted = materialize(posted.select("window", "p.word", "p.place", "p.length"), "postings")
+    bit = F.expr("shiftleft(1L, cast(length * (length - 1) / 2 + place as int))")
+    kinds = materialize(posted.groupBy("word").agg(F.bit_or(bit).alias("bits")), "prefixes")
+    shared, every = None, 0
+    if kinds.limit(PREFIXES + 1).count() <= PREFIXES:
+        told = kinds.toArrow()
+        known, bits = told.column("word").to_numpy().astype(np.int64).view(np.uint64), told.column("bits").to_numpy().astype(np.int64)
+        order = np.argsort(known)
+        shared = spark.sparkContext.broadcast((known[order], bits[order]))
+    else:
+        every = kinds.agg(F.bit_or("bits")).first()[0]
+    kind = docs.schema["id"].dataType.simpleString()
+    told = docs.select("id", F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(1), "text").alias("other"), "text")
+    found = in_arrow(told, _candidates(kind, size, shared, every), f"id {kind}, digest long, other long, n_words long, spans array<struct<start:long,length:long,window:long>>")
+    found = materialize(found, "candidates")
+    key = ["digest", "other"]
+    spans = found.where(F.size("spans") > 0).select(*key, F.explode("spans").alias("s")).select(*key, "s.*")
+    hits = spans.join(posted.select("window"), "window").groupBy(*key, "start", "length", "window").agg(F.lit(1).alias("x")).drop("x")
+    hits = materialize(hits, "hits")
+    where = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.array(F.col("start"), F.col("start") + F.col("length")))).alias("hits"))
+    names = hits.select(*key, "window").distinct().join(held.select("window", F.col("id").alias("item")), "window").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    where = where.withColumn("hits", _united(F.col("hits")))
+    both = where.join(names, key)
+    none = F.array().cast("array<array<bigint>>")
+    return found.drop("spans").join(both, key, "left").select("id", "digest", "n_words", F.coalesce("hits", none).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _united(spans: Column) -> Column:
+    """Sorted spans, those that touch or overlap as one."""
 
     def step(acc, s):
         last = F.element_at(acc, -1)
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
         return F.when((F.size(acc) > 0) & (s[0] <= F.try_element_at(acc, F.lit(-1))[1]), joined).otherwise(F.concat(acc, F.array(s)))
 
-    both = both.withColumn("hits", F.aggregate("hits", F.array().cast("array<array<bigint>>"), step))
-    return both.select("id", "digest", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    return F.aggregate(spans, F.array().cast("array<array<bigint>>"), step)
 
 
 def digest(items: list[str]) -> str:

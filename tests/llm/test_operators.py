@@ -413,7 +413,9 @@ def test_texts_as_images(docs):
         assert by_id[i].n_bytes == len(raw) and bytes(by_id[i].pixels) == want and len(by_id[i].feature) == 16
 
 
-def test_contamination(spark, docs, empty):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
+def test_contamination(spark, docs, empty, monkeypatch, index_bytes):
+    monkeypatch.setattr(decontam, "INDEX_TEXT_BYTES", index_bytes)
     items = [(1, "a b c d e f g h"), (2, None), (3, ""), (None, "one"), (10, "one two"), (4, "WORT " * 12), (5, "\u00c4\u00d6 \u4f60\u597d"), (4, "tab here"), (6, "d e f g h i j k l m n")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {}
@@ -425,13 +427,15 @@ def test_contamination(spark, docs, empty):
     assert all(not r.hits for r in decontam.contamination(docs, benchmark.limit(0)).collect())
 
 
-def test_contamination_in_blocks(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("prefixes", [2_000_000, 10])
+def test_contamination_by_joins(spark, sf_dir, monkeypatch, prefixes):
+    monkeypatch.setattr(decontam, "PREFIXES", prefixes)
     want = {r.doc_id: r for r in queries.op9_decontamination(spark, sf_dir).collect()}
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(decontam, "INDEX_TEXT_BYTES", 0)
     assert {r.doc_id: r for r in queries.op9_decontamination(spark, sf_dir).collect()} == want
 
 
-def test_contamination_of_repeated_rows_in_blocks(spark, monkeypatch):
+def test_contamination_of_repeated_rows_by_joins(spark, monkeypatch):
     words = [f"w{i}" for i in range(60)]
     passage, other = " ".join(words[:20]), " ".join(words[30:45])
     items = spark.createDataFrame([(str(i), " ".join(words[i : i + 12])) for i in range(0, 48, 6)], "item_id string, text string")
@@ -443,10 +447,21 @@ def test_contamination_of_repeated_rows_in_blocks(spark, monkeypatch):
 
     want = results()
     assert len(want) == len(rows) and sum(x[2] != "[]" for x in want) == 5
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(decontam, "INDEX_TEXT_BYTES", 100)
     assert results() == want
 
 
+def test_contamination_index_is_small():
+    """2 MB of words in a benchmark: bytes of the index for each word."""
+    import pickle
+
+    r = np.random.default_rng(5)
+    items = [(str(i), r.integers(0, 2**63, 1000).astype(np.uint64)) for i in range(300)] + [("x", r.integers(0, 2**63, 3).astype(np.uint64)), ("none", np.zeros(0, np.uint64))]
+    index = decontam.Index(items)
+    index.post(np.zeros(len(index.vocabulary), np.int64))
+    assert len(pickle.dumps(index)) < 50 * 300_003 and len(index.starts) == 300 * 991 + 1
+
+
 def test_html():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header><a href='/'>Home</a> Site</header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>"
