@@ -6,13 +6,13 @@ from pyspark.sql import Column, functions as F
 
 #: Extensions of the eight categories.
 CATEGORIES = {
-    "Dokumente": ["doc", "docx", "odt", "pdf", "rtf", "txt", "md", "xls", "xlsx", "ods", "csv", "ppt", "pptx", "odp", "epub"],
-    "Bilder": ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "heic", "svg", "raw", "psd"],
-    "Videos": ["mp4", "mkv", "avi", "mov", "wmv", "webm", "m4v"],
-    "Audio": ["mp3", "wav", "flac", "aac", "ogg", "m4a", "wma"],
-    "Archive": ["zip", "7z", "rar", "tar", "gz", "bz2", "xz", "iso"],
-    "Code": ["rs", "py", "js", "ts", "java", "c", "cpp", "h", "cs", "go", "html", "css", "json", "xml", "toml", "yaml", "yml", "sql", "sh", "ps1"],
-    "Programme": ["exe", "msi", "dll", "bat", "cmd", "com", "lnk"],
+    "Dokumente": "doc docx dot dotx odt rtf txt md pdf xls xlsx xlsm ods csv ppt pptx odp msg eml one vsd vsdx".split(),
+    "Bilder": "jpg jpeg png gif bmp tif tiff webp heic svg ico raw cr2 nef psd".split(),
+    "Video": "mp4 mkv avi mov wmv flv webm m4v mpg mpeg".split(),
+    "Audio": "mp3 wav flac aac ogg m4a wma opus".split(),
+    "Archive": "zip rar 7z tar gz bz2 xz iso cab tgz".split(),
+    "Code": "rs py js ts tsx jsx java c h cpp hpp cs go rb php sql sh ps1 bat cmd html htm css json xml yaml yml toml sln csproj".split(),
+    "Ausführbar": "exe msi dll sys com scr msix appx".split(),
 }
 OTHER = "Sonstige"
 ALL_CATEGORIES = [*CATEGORIES, OTHER]
@@ -34,7 +34,8 @@ def age_class(days: Column) -> Column:
 def file_category(ext: Column) -> Column:
     out = None
     for name, exts in CATEGORIES.items():
-        out = F.when(ext.isin(exts), name) if out is None else out.when(ext.isin(exts), name)
+        fits = F.lower(ext).isin(exts)
+        out = F.when(fits, name) if out is None else out.when(fits, name)
     return out.otherwise(OTHER)
 
 

@@ -12,10 +12,11 @@ import re
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import names
 from ..functions.text import parse_days, parse_size
+from ..scratch import settle
 
 #: Most captures that a name's pattern may export.
 MAX_CAPTURES = 9
@@ -222,46 +223,93 @@ def match(files: DataFrame, rules: list[Rule], now: int, root: str) -> DataFrame
     return files.withColumn("_m", found).withColumns({"rule": F.col("_m.rule"), "near": F.col("_m.near"), "status": status}).drop("_m")
 
 
-def plan_rules(files: DataFrame, rules: list[Rule], now: int, root: str) -> DataFrame:
+#: The last number a name gets, and the longest path.
+MAX_NUMBER, MAX_PATH = 1000, 260
+_NUMBERED = r"^(.*/[^/]+) \(([1-9][0-9]{0,3})\)(\.[^./]*)?$"
+
+
+def numbered(path: Column, n: Column) -> Column:
+    """``path`` with `` (n)`` before its ending, itself for 1."""
+    parts = [F.regexp_extract(path, r"^(.*/[^/]+?)(\.[^./]*)?$", k) for k in (1, 2)]
+    return F.when(n == 1, path).otherwise(F.concat(parts[0], F.lit(" ("), n.cast("string"), F.lit(")"), parts[1]))
+
+
+def _occupied(files: DataFrame, dirs: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """``base, n, key, size, full_hash, folder``: what has the name ``base`` or that with `` (n)``, for the keys in ``wanted``."""
+    every = files.select(F.col("path_key").alias("key"), F.when(~F.col("cloud_only") & ~F.col("is_link"), F.col("size")).alias("size"), "full_hash", F.lit(False).alias("folder"))
+    if dirs is not None:
+        none = (F.lit(None).cast(every.schema[c].dataType).alias(c) for c in ("size", "full_hash"))
+        every = every.union(dirs.select(F.regexp_replace("dir_key", "/$", "").alias("key"), *none, F.lit(True)))
+    number = F.regexp_extract("key", _NUMBERED, 2)
+    names = F.array(F.struct(F.col("key").alias("base"), F.lit(1).alias("n")), F.struct(F.concat(F.regexp_extract("key", _NUMBERED, 1), F.regexp_extract("key", _NUMBERED, 3)).alias("base"), F.nullif(number, F.lit("")).cast("int").alias("n")))
+    rows = every.select("*", F.explode(names).alias("b")).select("b.base", "b.n", "key", "size", "full_hash", "folder")
+    return rows.where(F.col("n").between(1, MAX_NUMBER)).where("n > 1 or base = key").join(wanted.select("base").distinct(), "base", "left_semi")
+
+
+def _free(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``rows`` with ``n``: in the order of their keys, the numbers of their base that nothing has."""
+    place = Window.partitionBy("base").orderBy("path_key")
+    # the k-th free number is k and as many as are taken below it: those with less than k free ones before them
+    told = taken.select("base", "n").distinct().select("base", (F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).alias("v"))
+    marks = rows.withColumn("v", F.row_number().over(place)).withColumn("mover", F.lit(1)).unionByName(told.withColumn("mover", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("base").orderBy("v", "mover").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.withColumn("n", F.col("v") + F.sum(1 - F.col("mover")).over(so_far)).where("mover = 1").drop("v", "mover")
+
+
+def plan_rules(files: DataFrame, rules: list[Rule], now: int, root: str, dirs: DataFrame | None = None) -> DataFrame:
     """``path, rule, action, target, reason``.
 
     Several files with one target are numbered `` (2)``, `` (3)`` ... in order of
-    their keys, past names that exist; a file of equal size and content at the
-    target is not moved there. The numbering's window covers the files of one
-    target only.
+    their keys, past names that exist, up to ``MAX_NUMBER``. A file that comes
+    upon itself stays; one that comes upon a file of equal size and content, or
+    a folder, is skipped. (Where such a name has free numbers before it, whether
+    a file gets that far is told as if all files before it moved.) The windows
+    cover the files to move and the names taken of one target only, of which no
+    more than ``MAX_NUMBER`` can move.
     """
-    from pyspark.sql import Window
-
     found = match(files, rules, now, root).where("status <> 'none'")
     target = F.lit(None).cast("string")
     for rule in rules:
         target = F.when(F.col("rule") == rule.name, F.concat(F.lit(root), expand(rule))).otherwise(target)
     found = found.withColumn("_wanted", target)
-    here = files.select(F.col("path_key").alias("_k"), F.col("full_hash").alias("_h"), F.col("size").alias("_s"))
-    found = found.join(here, F.lower("_wanted") == F.col("_k"), "left")
-    same = F.coalesce((F.col("_k") != F.col("path_key")) & (F.col("_h") == F.col("full_hash")) & (F.col("_s") == F.col("size")), F.lit(False))
     reason = (
         F.when(F.col("status") == "near-miss", F.col("near"))
         .when(F.col("cloud_only"), "cloud-only")
         .when(F.col("_wanted").isNull(), "missing-field")
-        .when(F.col("_k") == F.col("path_key"), "already-there")
-        .when(same, "duplicate-at-target")
+        .when(F.length("_wanted") > MAX_PATH, "path-too-long")
     )
-    found = found.withColumn("_reason", reason)
-    n = F.row_number().over(Window.partitionBy(F.lower("_wanted"), F.col("_reason").isNull()).orderBy("path_key")) + F.when(F.col("_k").isNotNull(), 1).otherwise(0)
-    stem, ext = F.regexp_extract("_wanted", r"^(.*/[^/]+?)(\.[^./]*)?$", 1), F.regexp_extract("_wanted", r"^(.*/[^/]+?)(\.[^./]*)?$", 2)
-    final = F.when(n == 1, F.col("_wanted")).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext))
-    return found.select(
-        "path", "rule", F.when(F.col("_reason").isNull(), "move").otherwise("skip").alias("action"),
-        F.when(F.col("_reason").isNull(), final).alias("target"), F.coalesce("_reason", F.concat(F.lit("rule:"), "rule")).alias("reason"),
-    )
+    found = settle(found.select("path", "path_key", "rule", "size", "full_hash", F.col("_wanted").alias("wanted"), F.lower("_wanted").alias("base"), reason.alias("reason")))
+    taken = settle(_occupied(files, dirs, found.where("reason is null")))
+    rows = found.where("reason is null")
+    # the first number at which a file stops: its own, one of an equal file, one of a folder
+    own = taken.where("not folder").select("base", F.col("key").alias("path_key"), F.col("n").alias("n_own"))
+    equal = taken.where("size is not null and full_hash is not null").groupBy("base", "size", "full_hash").agg(F.min("n").alias("n_equal"))
+    folder = taken.where("folder").groupBy("base").agg(F.min("n").alias("n_folder"))
+    ranked = Window.partitionBy("base").orderBy("n")
+    numbers = taken.select("base", "n").distinct().withColumn("i", F.row_number().over(ranked))
+    first_free = numbers.groupBy("base").agg((F.count_if(F.col("n") == F.col("i")) + 1).alias("first_free"))
+    rows = rows.join(own, ["base", "path_key"], "left").join(equal, ["base", "size", "full_hash"], "left").join(folder, "base", "left").join(first_free, "base", "left")
+    rows = rows.withColumn("stop", F.least("n_own", "n_equal", "n_folder")).withColumn("surely", F.col("stop") < F.coalesce("first_free", F.lit(1)))
+    rows = settle(rows.withColumn("surely", F.coalesce("surely", F.lit(False))))
+    able = _free(rows.where("not surely"), taken).select("path_key", (F.coalesce(F.col("n") < F.col("stop"), F.lit(True))).alias("moves"))
+    rows = settle(rows.join(able, "path_key", "left").withColumn("moves", F.coalesce("moves", F.lit(False))))
+    moved = _free(rows.where("moves"), taken)
+    final = numbered(F.col("wanted"), F.col("n"))
+    why = F.when(F.col("n") > MAX_NUMBER, "invalid-target").when(F.length(final) > MAX_PATH, "path-too-long")
+    moved = moved.select("path", "rule", F.when(why.isNull(), final).alias("target"), why.alias("reason"))
+    # a file at its own place that is spelt otherwise is renamed
+    itself = F.col("n_own") == F.col("stop")
+    renamed = itself & (numbered(F.col("wanted"), F.col("stop")) != F.col("path"))
+    why = F.when(renamed, F.lit(None)).when(itself, "already-there").when(F.col("n_equal") == F.col("stop"), "duplicate-at-target").otherwise("invalid-target")
+    stay = rows.where("not moves").select("path", "rule", F.when(renamed, numbered(F.col("wanted"), F.col("stop"))).alias("target"), why.alias("reason"))
+    others = found.where("reason is not null").select("path", "rule", F.lit(None).cast("string").alias("target"), "reason")
+    plan = moved.union(stay).union(others)
+    return plan.select("path", "rule", F.when(F.col("reason").isNull(), "move").otherwise("skip").alias("action"), "target", F.coalesce("reason", F.concat(F.lit("rule:"), "rule")).alias("reason"))
 
 
 def stats(plan: DataFrame) -> DataFrame:
     """Of each rule: moves, skips and its first three examples."""
     acts = plan.where("action = 'move'")
-    from pyspark.sql import Window
-
     ranked = acts.withColumn("_n", F.row_number().over(Window.partitionBy("rule").orderBy("path"))).where("_n <= 3")
     firsts = ranked.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("examples"))
     return plan.groupBy("rule").agg(F.count_if(F.col("action") == "move").alias("moves"), F.count_if(F.col("action") == "skip").alias("skips")).join(firsts, "rule", "left")

@@ -47,7 +47,15 @@ _COUNTED = """
 cnt AS (SELECT *, volume_serial IS NULL OR file_index IS NULL OR row_number() OVER (PARTITION BY volume_serial, file_index ORDER BY path_key) = 1 AS counted FROM files),
 real AS (SELECT *, CASE WHEN counted AND NOT is_link THEN size ELSE 0 END AS rsize FROM cnt)"""
 _AGE = f"greatest(0, ({NOW} - mtime) // 864000000000)"
-_CATEGORY = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in v)}) THEN '{k}'" for k, v in names.CATEGORIES.items()) + f" ELSE '{names.OTHER}' END"
+_CATEGORY = r"""CASE
+  WHEN regexp_full_match(lower(ext), 'docx?|dotx?|odt|rtf|txt|md|pdf|xls[xm]?|ods|csv|pptx?|odp|msg|eml|one|vsdx?') THEN 'Dokumente'
+  WHEN regexp_full_match(lower(ext), 'jpe?g|png|gif|bmp|tiff?|webp|heic|svg|ico|raw|cr2|nef|psd') THEN 'Bilder'
+  WHEN regexp_full_match(lower(ext), 'mp4|mkv|avi|mov|wmv|flv|webm|m4v|mpe?g') THEN 'Video'
+  WHEN regexp_full_match(lower(ext), 'mp3|wav|flac|aac|ogg|m4a|wma|opus') THEN 'Audio'
+  WHEN regexp_full_match(lower(ext), 'zip|rar|7z|tar|gz|bz2|xz|iso|cab|tgz') THEN 'Archive'
+  WHEN regexp_full_match(lower(ext), 'rs|py|[jt]sx?|java|[ch]|[ch]pp|cs|go|rb|php|sql|sh|ps1|bat|cmd|html?|css|json|xml|ya?ml|toml|sln|csproj') THEN 'Code'
+  WHEN regexp_full_match(lower(ext), 'exe|msi|dll|sys|com|scr|msix|appx') THEN 'Ausführbar'
+  ELSE 'Sonstige' END"""
 _AGE_CLASS = f"CASE WHEN {_AGE} < 30 THEN '<30' WHEN {_AGE} < 182 THEN '30-181' WHEN {_AGE} < 365 THEN '182-364' WHEN {_AGE} < 1095 THEN '365-1094' ELSE '>=1095' END"
 _LOCAL = "loc AS (SELECT * FROM files WHERE NOT cloud_only AND NOT is_link AND size > 0 AND full_hash IS NOT NULL)"
 _DUPS = _LOCAL + """,
@@ -511,12 +519,24 @@ def rules_match(spark, d):
     return rules.match(_classified(spark, d).where("not is_link"), rules.parse(RULES), NOW, ROOT).select("path_key", "rule", "status")
 
 
-@query(_RULE_SQL + """,
-r AS (SELECT *, CASE WHEN status = 'near-miss' THEN CASE WHEN category IS NULL THEN 'not-classified' ELSE 'low-confidence' END WHEN cloud_only THEN 'cloud-only' WHEN wanted IS NULL THEN 'missing-field' END AS why FROM s WHERE status <> 'none'),
-n AS (SELECT *, row_number() OVER (PARTITION BY lower(wanted), why IS NULL ORDER BY path_key) AS n FROM r)
-SELECT path, rule, CASE WHEN why IS NULL THEN 'move' ELSE 'skip' END AS action,
-  CASE WHEN why IS NULL THEN CASE WHEN n = 1 THEN wanted ELSE regexp_extract(wanted, '^(.*/[^/]+?)(\\.[^./]*)?$', 1) || ' (' || n || ')' || regexp_extract(wanted, '^(.*/[^/]+?)(\\.[^./]*)?$', 2) END END AS target,
-  coalesce(why, 'rule:' || rule) AS reason FROM n""")
+@query(_RULE_SQL + r""",
+r AS (SELECT *, lower(wanted) AS base, CASE WHEN status = 'near-miss' THEN CASE WHEN category IS NULL THEN 'not-classified' ELSE 'low-confidence' END WHEN cloud_only THEN 'cloud-only' WHEN wanted IS NULL THEN 'missing-field' WHEN length(wanted) > 260 THEN 'path-too-long' END AS why FROM s WHERE status <> 'none'),
+-- numbers of each wanted name that files have
+oc AS (SELECT path_key AS base, 1 AS n, path_key, size, full_hash, cloud_only OR is_link AS odd FROM files
+  UNION ALL SELECT regexp_replace(path_key, ' \([1-9][0-9]*\)(\.[^./]*)?$', '\1'), regexp_extract(path_key, ' \(([1-9][0-9]*)\)(\.[^./]*)?$', 1)::INT, path_key, size, full_hash, cloud_only OR is_link
+  FROM files WHERE regexp_matches(path_key, '/[^/]+ \([1-9][0-9]{0,3}\)(\.[^./]*)?$')),
+fr AS (SELECT b.base, list_filter(range(1, 1001), lambda x: NOT list_contains(coalesce(list(oc.n) FILTER (oc.n IS NOT NULL), []), x)) AS free FROM (SELECT DISTINCT base FROM r WHERE why IS NULL) b LEFT JOIN oc USING (base) GROUP BY b.base),
+ev AS (SELECT r.*, fr.free, (SELECT min(n) FROM oc WHERE oc.base = r.base AND oc.path_key = r.path_key) AS own,
+  (SELECT min(n) FROM oc WHERE oc.base = r.base AND oc.size = r.size AND oc.full_hash = r.full_hash AND NOT odd) AS equal FROM r JOIN fr USING (base) WHERE why IS NULL),
+st AS (SELECT *, least(own, equal) AS stop, coalesce(least(own, equal) < free[1], false) AS surely FROM ev),
+rk AS (SELECT *, row_number() OVER (PARTITION BY base, surely ORDER BY path_key) AS k FROM st),
+mv AS (SELECT *, NOT surely AND coalesce(free[k] < stop, true) AS moves FROM rk),
+nn AS (SELECT *, free[row_number() OVER (PARTITION BY base, moves ORDER BY path_key)] AS n FROM mv),
+tg AS (SELECT *, CASE WHEN n = 1 THEN wanted ELSE regexp_extract(wanted, '^(.*/[^/]+?)(\.[^./]*)?$', 1) || ' (' || n || ')' || regexp_extract(wanted, '^(.*/[^/]+?)(\.[^./]*)?$', 2) END AS target FROM nn),
+p AS (SELECT path, rule, CASE WHEN moves AND length(target) <= 260 THEN target END AS target,
+  CASE WHEN moves AND n IS NULL THEN 'invalid-target' WHEN moves AND length(target) > 260 THEN 'path-too-long' WHEN NOT moves AND own = stop THEN 'already-there' WHEN NOT moves THEN 'duplicate-at-target' END AS why FROM tg
+  UNION ALL SELECT path, rule, NULL, why FROM r WHERE why IS NOT NULL)
+SELECT path, rule, CASE WHEN why IS NULL THEN 'move' ELSE 'skip' END AS action, target, coalesce(why, 'rule:' || rule) AS reason FROM p""")
 def plan_rules(spark, d):
     return rules.plan_rules(_classified(spark, d), rules.parse(RULES), NOW, ROOT)
 

@@ -199,6 +199,63 @@ target = "Letters/"
     assert plan["/c/d.pdf"] == ("skip", None, "too-recent-arrival")
 
 
+def _walked(rows, taken_files, folders, wanted):
+    """Targets by trying one number after the other; rows are (path, size, hash), in the order of their keys."""
+    import re
+
+    taken = {p.lower(): (size, full) for p, size, full in taken_files} | {p.lower(): None for p in folders}
+    out = {}
+    for path, size, full in sorted(rows, key=lambda r: r[0].lower()):
+        if path not in wanted:
+            continue
+        stem, ext = re.match(r"^(.*/[^/]+?)(\.[^./]*)?$", wanted[path]).groups(default="")
+        out[path] = ("invalid-target", None)
+        for n in range(1, 1001):
+            target = wanted[path] if n == 1 else f"{stem} ({n}){ext}"
+            if len(target) > 260:
+                out[path] = ("path-too-long", None)
+            elif target.lower() == path.lower():
+                out[path] = ("already-there", None) if target == path else ("rule:r", target)
+            elif target.lower() not in taken:
+                taken[target.lower()] = ("assigned", None)
+                out[path] = ("rule:r", target)
+            elif taken[target.lower()] is None:
+                out[path] = ("invalid-target", None)
+            elif taken[target.lower()] == (size, full):
+                out[path] = ("duplicate-at-target", None)
+            else:
+                continue
+            break
+    return out
+
+
+def test_rules_numbering(spark):
+    """Names that are taken, also numbered ones; equal files and folders at the target; files that are there already."""
+    made = rules.parse('[[rules]]\nname="r"\nglob="**/in*/*"\ntarget="t/{name}"\n[[rules]]\nname="r2"\nglob="t/x (2).txt"\ntarget="t/x.txt"\n[[rules]]\nname="r3"\nglob="t/Y.txt"\ntarget="t/y.txt"')
+    rows = [("/c/t/x.txt", 9, "aa"), ("/c/t/x (2).txt", 8, "bb"), ("/c/t/x (4).txt", 7, "cc"), ("/c/t/Y.txt", 5, "dd"), ("/c/t/h (2)", 4, "ee"), ("/c/t/g.txt", 1, "ff")]
+    rows += [(f"/c/in{i}/x.txt", 100 + i, "00") for i in range(5)] + [("/c/in7/x.txt", 8, "bb"), ("/c/in8/x.txt", 7, "cc"), ("/c/in9/x.txt", 9, "aa")]
+    rows += [(f"/c/in{i}/{n}", 50, f"0{i}") for i in range(3) for n in ("z.txt", "h", "g.txt", "Q.tar.gz")] + [("/c/in0/" + "l" * 250, 1, "01"), ("/c/in1/" + "l" * 250, 1, "02")]
+    schema = "path string, size long, hash string"
+    files = spark.createDataFrame(rows, schema).selectExpr(
+        "path", "lower(path) AS path_key", "regexp_extract(path, '([^/]+)$', 1) AS name", "regexp_replace(lower(path), '[^/]+$', '') AS dir_key", "element_at(split(path, '[.]'), -1) AS ext", "size", "0L AS mtime",
+        "false AS is_link", "false AS cloud_only", "unhex(hash) AS full_hash", "cast(null AS string) AS category", "cast(null AS double) AS confidence", "cast(null AS map<string,string>) AS fields",
+    )
+    folders = ["/c/t/z.txt", "/c/t/q (2).tar.gz", "/c/t/Q.tar (2).gz"]
+    dirs = spark.createDataFrame([(f.lower() + "/",) for f in folders], "dir_key string")
+    plan = {r.path: (r.reason.replace("r2", "r").replace("r3", "r"), r.target) for r in rules.plan_rules(files, made, 0, "/c/", dirs).collect()}
+    wanted = {p: "/c/t/" + p.rsplit("/", 1)[1] for p, _, _ in rows if "/in" in p} | {"/c/t/x (2).txt": "/c/t/x.txt", "/c/t/Y.txt": "/c/t/y.txt"}
+    assert plan == _walked(rows, rows, folders, wanted)
+    assert plan["/c/in0/x.txt"] == ("rule:r", "/c/t/x (3).txt") and plan["/c/in1/x.txt"] == ("rule:r", "/c/t/x (5).txt")
+
+
+def test_file_categories(spark):
+    from stowage.functions import names
+
+    want = {"docx": "Dokumente", "PDF": "Dokumente", "xlsm": "Dokumente", "eml": "Dokumente", "ico": "Bilder", "flv": "Video", "mp4": "Video", "opus": "Audio", "cab": "Archive", "bat": "Code", "csproj": "Code", "exe": "Ausführbar", "scr": "Ausführbar", "epub": "Sonstige", "lnk": "Sonstige", "": "Sonstige", None: "Sonstige"}
+    got = spark.createDataFrame([(x,) for x in want], "ext string").select("ext", names.file_category(F.col("ext")).alias("c")).collect()
+    assert {r.ext: r.c for r in got} == want
+
+
 @pytest.mark.parametrize("bad", ['text_regex="("', 'category_source="x"', 'exif_fallback="x"', 'fields_regex={a="["}'])
 def test_bad_content_rules(bad):
     with pytest.raises(ValueError):
