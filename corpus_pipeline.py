@@ -28,14 +28,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines, ``n_chars`` with them; a document that loses its last word goes."""
-    done = line_dedup.drop_recurring_lines(docs, **line_dedup.WHOLE)
-    done = done.where((F.col("lines_dropped") == 0) | F.col("lines_dropped").isNull() | F.col("text").rlike(r"\S"))
+    count = free_name(docs, "_lines_dropped")
+    done = line_dedup.drop_recurring_lines(docs, count_col=count, **line_dedup.WHOLE)
+    done = done.where((F.col(count) == 0) | F.col(count).isNull() | F.col("text").rlike(r"\S"))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return done.select(*((n_chars if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id; rows that repeat an id are one document."""
     gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
     return without(docs, gone, "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
 
@@ -43,12 +44,13 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item; each row by its own text, ids may be null or repeated."""
     gone = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs.withColumn("_row_key", decontam.row_key()), gone, "_row_key").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = free_name(docs, "_row_key")
+    return without(docs.withColumn(key, decontam.row_key()), gone.withColumnRenamed("_row_key", key), key).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     """``doc_id, lang, source, ids, n_tokens``."""
-    done = pieces.encode_documents(docs.select("doc_id", "lang", "source", "text"), pieces.load_model(MODEL_PATH))
+    done = pieces.encode_documents(docs.select("doc_id", "lang", "source", "text"), pieces.load_model(model_path))
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

@@ -33,7 +33,7 @@ always stay; a null text stays null and has no lines, an empty text has one.
 Rows that repeat an id are one document: a line that only they share does not
 recur. Each row loses the lines of its own text; rows of equal id and text
 lose the same ones. Rows with a null id keep all their lines and do not count.
-Other columns are kept as they are; a column ``lines_dropped`` is replaced.
+Other columns are kept as they are; one with the name of the count is replaced.
 """
 
 from __future__ import annotations
@@ -197,15 +197,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("id", "digest").agg(F.collect_set("place").alias("places"))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with ``text_col`` without recurring lines and ``lines_dropped`` (long, null for a null text)."""
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "lines_dropped", **options) -> DataFrame:
+    """``docs`` with ``text_col`` without recurring lines and their number in ``count_col`` (long, null for a null text)."""
     text = F.col(f"`{text_col}`").cast("string")
     id_, digest, places = (free_name(docs, x) for x in ("_id", "_digest", "_places"))
     gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias(id_), F.col("digest").alias(digest), F.col("places").alias(places))
-    names = [c for c in docs.columns if c != "lines_dropped"]
+    names = [c for c in docs.columns if c != count_col]
     joined = docs.select(*(F.col(f"`{c}`") for c in names)).join(gone.hint("merge"), (F.col(f"`{id_col}`") == F.col(id_)) & (F.xxhash64(text) == F.col(digest)), "left")
     left = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(F.split(text, "\n")).cast("long") - 1), places)
     kept = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i.cast("int"))), "\n"))[0]
     out = F.when(F.col(places).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     n = F.when(text.isNotNull(), F.coalesce(F.size(places), F.lit(0)).cast("long"))
-    return joined.select(*(out.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n.alias("lines_dropped"))
+    return joined.select(*(out.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), n.alias(count_col))

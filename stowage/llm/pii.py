@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import materialize
+from .shared import light, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
 _PATTERN = {
@@ -128,7 +128,8 @@ def analyse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alp
     joint = held.groupBy(F.xxhash64("term").alias("h")).agg(*(F.sum(k).alias(k) for k in KINDS))
     joint = materialize(joint.where(F.greatest(*KINDS) >= min_support), "joint")
     everywhere = docs.select(F.explode(_terms(_masked(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("term"))
-    counts = everywhere.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("df"))
+    # only terms of documents with entities are counted
+    counts = everywhere.select(F.xxhash64("term").alias("h")).join(light(joint.select("h")), "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
 
     def discloses(k: str) -> Column:
         """p(t, c) / (p(t) p(c)) >= p(c) ** -alpha"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import chat, decontam, html_text, lang_id, line_dedup, near_dup, pieces, pii, tiff, warc
 
-#: Where the public tokenizers lie; a parameter of the operator.
+#: Where the public tokenizers lie: the default of a parameter.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -25,8 +25,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = pieces.load_model(MODEL_PATH)
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    model = pieces.load_model(model_path)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     both = pieces.decode_documents(pieces.encode_documents(docs, model), model)
     return both.select(

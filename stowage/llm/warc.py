@@ -11,8 +11,9 @@ read at once.
 
 Of records with equal payloads of at least ``revisit_bytes`` bytes, the one
 with the largest id is the response and the others are revisits that refer to
-it and store no payload. Digests of payloads are looked up by a join of narrow
-rows; a digest that a third of all rows share is split by its left side.
+it and store no payload. Digests that several payloads have are looked up where
+the payloads are, if they are few enough to be sent out; else by a join that
+moves the payloads, whose hot digests Spark splits.
 
 Files are opened with ``pyarrow.fs``, by the URI of the folder that
 ``spark.checkpoint.dir`` names.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .memory import in_arrow
-from .shared import materialize, new_path
+from .shared import light, materialize, new_path
 
 GAP_BYTES, GROUP_BYTES, TASK_BYTES, REVISIT_BYTES = 64 << 10, 2 << 20, 64 << 20, 1000
 _LEVEL = 3
@@ -130,7 +131,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= revisit_bytes).groupBy(F.col("digest").alias("_digest")).agg(F.max("id").alias("last"), F.count("*").alias("copies"))
-    large = large.where("copies > 1 and last is not null").select("_digest", "last")
+    large = light(materialize(large.where("copies > 1 and last is not null").select("_digest", "last"), "copies"))
     refers = F.when(F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(large, F.col("digest") == F.col("_digest"), "left").select("id", "url", "payload", "digest", refers.alias("refers_to"))
     return materialize(in_arrow(rows, _write(new_path(pages.sparkSession, "warc")), INDEX), "warc-index")

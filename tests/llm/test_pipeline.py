@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from stowage.llm import near_dup
-from stowage.llm.queries import queries
+from stowage.llm.queries import MODEL_PATH, queries
 
 
 def test_registered():
@@ -49,6 +49,25 @@ def test_decontamination_by_row(spark, tmp_path, monkeypatch, broadcast):
     assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [r for r in rows if not r[1] or item not in r[1]]))
 
 
+def test_stages_keep_odd_rows_and_columns(spark, sf_dir):
+    """Null ids, texts and languages, repeated rows and ids, a very long text, columns named like the operators' own."""
+    names = ("_language", "_places", "_id", "_digest", "_row_key", "id", "row", "component_id", "digest", "lines_dropped", "key", "ids")
+    text = "the people of the town walk along the river and look at the water every day"
+    long = " ".join(f"word{'abcdefghij'[i % 10]} and" for i in range(40_000))
+    rows = [(1, text, "en"), (1, text, "en"), (2, None, "en"), (None, text + " again", None), (3, "", "de"), (4, "1 2 3", None), (5, long, "en"), (6, text + " now", "en"), (None, None, None)]
+    rows += [(10 + i, f"ein haus steht {w} an dem fluss und niemand geht hinein", "de") for i, w in enumerate(("heute", "morgen", "immer", "nie"))]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, docs, sf_dir)
+        got = now.collect()
+        if name != "SentencePiece":
+            assert now.columns == docs.columns and all(r[n] == k for r in got for k, n in enumerate(names)), name
+        assert {r.doc_id for r in got} >= {1, None, 5, 10}, name
+        docs = spark.createDataFrame(got, now.schema)
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL_PATH)
+    assert {tuple(r.ids) for r in got if r.doc_id == 5} == {tuple(library.encode(long))}
+
+
 def test_run(spark, sf_dir):
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.count() > 0 and done.where("n_tokens <> size(ids)").count() == 0
