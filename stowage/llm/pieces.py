@@ -48,7 +48,7 @@ SLICE = 1 << 20
 #: Runs up to this length are relaxed together, column by column; longer ones with a heap.
 LONG_CHUNK = 48
 #: Characters of chunks whose ids a worker keeps.
-KNOWN_CHARS = 1_500_000
+KNOWN_CHARS = 3_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -346,10 +346,11 @@ class Encoder:
             self.known, self.known_chars = {}, 0
         known = self.known
         split = [None if text is None else chunks_of(text, self.model.dummy_prefix) for text in texts]
-        new = {c for chunks in split for c in chunks or () if len(c) <= BATCH_CHARS}.difference(known)
+        new = set().union(*filter(None, split)).difference(known)
+        long = [c for c in new if len(c) > BATCH_CHARS]
         waiting: list[str] = []
         size = 0
-        for c in [*new, None]:
+        for c in [*new.difference(long), None]:
             if c is not None:
                 waiting.append(c)
                 size += len(c) + 1
@@ -357,7 +358,12 @@ class Encoder:
                 known.update(zip(waiting, self.encode_chunks(waiting), strict=True))
                 self.known_chars += size
                 waiting, size = [], 0
-        return [None if chunks is None else b"".join([known[c] if len(c) <= BATCH_CHARS else self.encode_long(c) for c in chunks]) for chunks in split]
+        for c in long:
+            known[c] = self.encode_long(c)
+        out = [None if chunks is None else b"".join([known[c] for c in chunks]) for chunks in split]
+        for c in long:
+            del known[c]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         m, out, raw = self.model, [], bytearray()
@@ -391,6 +397,9 @@ def chunks_of(text: str, dummy_prefix: bool = True) -> list[str]:
     out: list[str] = []
     marks = ""
     head = parts[0]
+    if "" not in parts[1:]:
+        out = [SPACE + part for part in parts[1:]]
+        return [head, *out] if head else out
     if head:
         out.append(head)
     for part in parts[1:]:
