@@ -413,6 +413,79 @@ def test_texts_as_images(docs):
         assert by_id[i].n_bytes == len(raw) and bytes(by_id[i].pixels) == want and len(by_id[i].feature) == 16
 
 
+def test_media_query_by_brute_force(spark, sf_dir):
+    """Each digest, checksum and feature of op8 from the text alone; stored bytes by the writer, cells by plain means."""
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op8_media(spark, sf_dir).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        media = tiff.write_page(tiff.text_pixels(raw))
+        grey = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).sum(axis=2, dtype=np.int64)
+        cut = lambda n, k: (n * k // 8, max(n * (k + 1) // 8, n * k // 8 + 1))
+        cells = [grey[slice(*cut(len(grey), y)), slice(*cut(64, x))].mean() for y in range(8) for x in range(8)]
+        bits = "".join("1" if c > np.median(cells) else "0" for c in cells)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{int(bits, 2):016x}")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == want
+
+
+def test_languages_by_brute_force(spark):
+    """Posteriors from counts of n-grams one by one, with the classes' prior; ties go to the language that sorts first."""
+    import math
+    from collections import Counter
+
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("Das Haus, das alte", "de"), ("le chat et la maison", "fr"), ("a dog ran", "en"), ("", "en"), (None, "de"), ("123", "fr"), ("der Hund", "de"), ("the end", None)] * 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = lang_id.train(frame, "doc_id", "text", "lang")
+
+    def grams(text):
+        plain = lang_id._plain(text)
+        return [int(lang_id._buckets(np.array([ord(c) for c in plain[i : i + k]], np.uint32), k)[0]) for k in (1, 2, 3) for i in range(len(plain) - k + 1)]
+
+    labels = Counter(lang for _, _, lang in rows if lang)
+    counts = {x: Counter(g for _, t, lang in rows if lang == x for g in grams(t)) for x in sorted(labels)}
+    assert fit.langs == sorted(labels)
+    for text in ("the haus", "la cat", "ran", "Hund et dog", "x", "the " * 300_000):
+        logs = {x: math.log(labels[x] / labels.total()) + sum(math.log((c[g] + 0.5) / (c.total() + 0.5 * (1 << lang_id.BITS))) for g in grams(text)) for x, c in counts.items()} if len(text) < 1000 else None
+        told = spark.createDataFrame([(text,)], "text string").select(lang_id.predictor(fit, spark)("text").alias("p")).first().p
+        if logs:
+            top = max(logs.values())
+            best = min(x for x in logs if logs[x] == top)
+            assert told.lang == best and abs(told.score - 1 / sum(math.exp(v - top) for v in logs.values())) < 1e-3
+        else:
+            assert told.lang == "en" and told.score > 0.999
+
+
+def test_terms_by_brute_force(spark, sf_dir):
+    """Term spans of op7: each term by its information over all documents, in documents that hold the entity."""
+    import math
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    email = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    words = {i: [w for w in re.findall(r"[^\W\d_]+", re.sub(email, " ", t).lower()) if len(w) >= 3] for i, t in docs.items()}
+    base = {i: brute.base_spans(t) for i, t in docs.items()}
+    total, risky = len(docs), {k: set() for k in pii.KINDS}
+    held = {k: [i for i in docs if base[i][k]] for k in pii.KINDS}
+    df = {}
+    for ws in words.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    for k, ids in held.items():
+        joint = {}
+        for i in ids:
+            for w in set(words[i]):
+                joint[w] = joint.get(w, 0) + 1
+        if 0 < len(ids) < total:
+            risky[k] = {w for w, n in joint.items() if n >= 5 and n * total >= (len(ids) / total) ** -0.8 * df[w] * len(ids) * (1 - 1e-12)}
+    for r in queries.op7_pii(spark, sf_dir).collect():
+        mine = set().union(*(risky[k] for k in pii.KINDS if base[r.doc_id][k]))
+        every = [s for spans in base[r.doc_id].values() for s in spans]
+        found = [m.span() for m in re.finditer(r"[^\W\d_]+", docs[r.doc_id]) if m[0].lower() in mine]
+        want = [s for s in found if not any(a < s[1] and s[0] < b for a, b in every)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term:")] == want and math.isfinite(total)
+
+
 @pytest.mark.parametrize("index_bytes", [1 << 20, 0])
 def test_contamination(spark, docs, empty, monkeypatch, index_bytes):
     monkeypatch.setattr(decontam, "INDEX_TEXT_BYTES", index_bytes)
