@@ -1,4 +1,4 @@
-"""Plans, journals and run logs in files, and reports as CSV (SRC12-SRC14, SNK04-SNK06, SNK08, SF20)."""
+"""Plans, journals and run logs in files, and reports as CSV (SRC12-SRC14, SNK04, SNK05, SNK08, SF20)."""
 
 from __future__ import annotations
 
