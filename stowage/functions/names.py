@@ -65,6 +65,13 @@ def name_problems(name: Column, path: Column) -> list[tuple[str, Column]]:
     ]
 
 
+#: Keys of a file's problems in their fixed order.
+FILE_PROBLEMS = [
+    "path_too_long", "invalid_chars", "reserved_name", "leading_trailing_space", "trailing_dot", "zero_byte", "office_lock", "temp_file",
+    "partial_download", "system_junk", "onedrive_conflict",
+]
+
+
 def file_problems(name: Column, path: Column, size: Column, hosts: list[str]) -> Column:
     """Array of problem keys in their fixed order."""
     checks = [
@@ -83,23 +90,29 @@ def dir_problems(name: Column, path: Column) -> Column:
     return F.filter(F.array(*(F.when(c, k) for k, c in name_problems(name, path))), lambda x: x.isNotNull())
 
 
+# What copies and versions of a name differ in.
 _DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
-_SUFFIX = r"(\s*-\s*|\s+)(kopie|copy)(\s*\([0-9]+\))?$"
+_COPIES = r"((\s?-\s?|\s)(kopie|copy)(\s?\([0-9]+\))?|\s?\([0-9]+\))+$"
 _TOKEN = r"(^|[\s-])(v[0-9]+|version\s*[0-9]+|rev\s*[0-9]+|final|endgültig|neu|new|alt|old)($|[\s-])"
-#: Passes of each loop; three are enough for names of up to six tokens.
-PASSES = 4
+
+
+def _until_stable(text: Column, again: Column, step) -> Column:
+    """``step`` applied until it changes nothing: each useful step takes a character at least, and most texts need no second one."""
+    return F.when(again, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), text, lambda s, _: step(s))).otherwise(text)
 
 
 def normalize_name(stem: Column) -> Column:
     """The form that copies and versions of a name have in common."""
     dates = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, rf"^{_DATE}([\s-]+|$)", ""), rf"(^|[\s-]+){_DATE}$", ""))
     original = F.lower(F.trim(stem))
-    out = dates(F.replace(original, F.lit("_"), F.lit(" ")))
-    out = F.regexp_replace(out, "^(copy of |kopie von )", "")
-    for _ in range(PASSES):
-        out = F.trim(F.regexp_replace(F.regexp_replace(out, _SUFFIX, ""), r"\s*\([0-9]+\)$", ""))
-    for _ in range(PASSES):
-        out = F.trim(F.regexp_replace(out, _TOKEN, " "))
+    # runs of white space are one space in the end, so they can be so from the start
+    out = dates(F.regexp_replace(F.replace(original, F.lit("_"), F.lit(" ")), r"\s+", " "))
+    out = F.regexp_replace(out, "^(copy of|kopie von) ", "")
+    out = F.trim(F.regexp_replace(out, _COPIES, ""))
+    # versions share separators, and one that goes can leave the parts of another side by side
+    drop = lambda s: F.trim(F.regexp_replace(s, _TOKEN, " "))
+    once = F.when(out.rlike(_TOKEN), drop(out)).otherwise(out)
+    out = _until_stable(once, once.rlike(_TOKEN), drop)
     out = F.trim(F.regexp_replace(dates(out), r"[\s-]+", " "))
     return F.when(out == "", original).otherwise(out)
 
@@ -115,12 +128,31 @@ def copy_name_score(name: Column, extra: list[str] | None = None) -> Column:
     return score.cast("long")
 
 
-def tidy_name(name: Column) -> Column:
-    """File-name clean-up of rules: copy suffixes and umlauts go, white space becomes ``_``, the extension lower-case; applied until it holds."""
-    stem, ext = split_stem(name)
-    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
-        stem = F.replace(stem, F.lit(a), F.lit(b))
-    for _ in range(PASSES):
-        stem = F.regexp_replace(F.regexp_replace(stem, r"(?i)( - |_-_| |_)(kopie|copy)$", ""), r"[ _]*\([0-9]+\)$", "")
-    stem = F.regexp_replace(F.trim(stem), r"\s+", "_")
-    return F.when(ext == "", stem).otherwise(F.concat(stem, F.lit("."), ext))
+# Endings that copies get.
+_COPY_END = r"(?i)(\s*-\s*(kopie|copy)(\s*\([0-9]+\))?|\s+\([0-9]+\)|_final(_v[0-9]+)?)$"
+_UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue", "ß": "ss", "ẞ": "SS"}
+#: A name is cleaned at most so often (part of the definition).
+TIDY_PASSES = 8
+
+
+def tidy_name(name: Column, copies: bool = True, umlauts: bool = True, spaces: str | None = "_", lower_ext: bool = True, date: Column | None = None) -> Column:
+    """File-name clean-up of rules: copy suffixes go (unless nothing is left), umlauts are written out, white space becomes
+    ``spaces``, ``date`` (``yyyy-MM-dd``) stands before names that start with none, the extension is lower-case; repeated
+    until nothing changes."""
+
+    def cleaned(n: Column) -> Column:
+        has = n.rlike(r"(?s)^.+\.[^.]*$")
+        stem, ext = F.when(has, F.regexp_extract(n, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(n), F.regexp_extract(n, r"(?s)^.+(\.[^.]*)$", 1)
+        if copies:
+            bare = _until_stable(stem, stem.rlike(_COPY_END), lambda s: F.rtrim(F.regexp_replace(s, _COPY_END, "")))
+            stem = F.when(bare == "", stem).otherwise(bare)
+        if umlauts:
+            for a, b in _UMLAUTS.items():
+                stem = F.replace(stem, F.lit(a), F.lit(b))
+        if spaces is not None:
+            stem = F.regexp_replace(stem, r"\s+", spaces)
+        if date is not None:
+            stem = F.when(stem.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), stem).otherwise(F.concat(date, F.lit("_"), stem))
+        return F.concat(stem, F.lower(ext) if lower_ext else ext)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TIDY_PASSES)), name, lambda n, _: cleaned(n))

@@ -72,11 +72,11 @@ def freed_bytes(removed: DataFrame) -> DataFrame:
 
 
 def attribution(files: DataFrame, bucket: Column) -> DataFrame:
-    """``bucket, dup_wasted, dup_groups``: the first path of a group is free, each later instance burdens the folder of its first name."""
+    """``bucket, dup_wasted, dup_groups``: the first path of a group is free; each later instance burdens the folder of its
+    first name, and a group counts once in each folder that it burdens."""
     groups = exact_dups(files).select(*KEY, "first_path")
     some = local(files).join(groups, KEY).withColumn("bucket", bucket)
     name = F.when(_identified(), F.concat_ws(":", "volume_serial", "file_index")).otherwise(F.concat(F.lit("/"), F.col("path_key")))
     heads = some.withColumn("_instance", name).groupBy(*KEY, "first_path", "_instance").agg(F.min(F.struct("path", "bucket")).alias("head"))
-    wasted = heads.where(F.col("head.path") != F.col("first_path")).groupBy(F.col("head.bucket").alias("bucket")).agg(F.sum("size").alias("dup_wasted"))
-    touched = some.select(*KEY, "bucket").distinct().groupBy("bucket").agg(F.count("*").alias("dup_groups"))
-    return touched.join(wasted, "bucket", "left").select("bucket", F.coalesce("dup_wasted", F.lit(0)).cast("long").alias("dup_wasted"), "dup_groups")
+    later = heads.where(F.col("head.path") != F.col("first_path")).groupBy(F.col("head.bucket").alias("bucket"), *KEY).agg(F.sum("size").alias("wasted"))
+    return later.groupBy("bucket").agg(F.sum("wasted").cast("long").alias("dup_wasted"), F.count("*").alias("dup_groups"))

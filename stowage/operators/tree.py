@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names, paths
 from ..scratch import settle
@@ -37,19 +37,22 @@ def locally_complete(files: DataFrame, dirs: DataFrame) -> DataFrame:
     return out.withColumn("local", (F.col("mode") == "full") & ~F.col("is_link") & ~F.col("read_error") & (F.col("direct_entries") == F.col("known")))
 
 
-def subtree_stats(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
-    """Of each folder's subtree: files, bytes, newest time, cloud, link, complete (all folders are), empty (no files, complete)."""
+def subtree_stats(files: DataFrame, dirs: DataFrame, root: str, **flags: Column) -> DataFrame:
+    """Of each folder's subtree: files, bytes, newest time, cloud, link, complete (all folders are), empty (no files, complete).
+
+    ``flags`` are conditions on a folder's row of ``dirs``; each becomes a column that says whether any folder of the subtree meets it.
+    """
     f = files.groupBy("dir_key").agg(
         F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("mtime").alias("newest"), F.bool_or("cloud_only").alias("cloud"), F.bool_or("is_link").alias("link")
     )
-    d = locally_complete(files, dirs).select("dir_key", "is_link", "local").join(f, "dir_key", "left")
+    d = locally_complete(files, dirs).select("dir_key", "is_link", "local", *(c.alias(k) for k, c in flags.items())).join(f, "dir_key", "left")
     each = d.select(
         "dir_key", "local", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), "newest",
-        F.coalesce("cloud", F.lit(False)).alias("cloud"), (F.col("is_link") | F.coalesce("link", F.lit(False))).alias("link"),
+        F.coalesce("cloud", F.lit(False)).alias("cloud"), (F.col("is_link") | F.coalesce("link", F.lit(False))).alias("link"), *flags,
     )
     out = to_ancestors(each, root).groupBy(F.col("ancestor").alias("dir_key")).agg(
         F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.max("newest").alias("newest"), F.bool_or("cloud").alias("cloud"),
-        F.bool_or("link").alias("link"), F.bool_and("local").alias("complete"),
+        F.bool_or("link").alias("link"), F.bool_and("local").alias("complete"), *(F.bool_or(k).alias(k) for k in flags),
     )
     return out.withColumn("empty", F.col("complete") & (F.col("files") == 0)).join(dirs.select("dir_key"), "dir_key", "left_semi")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import names, paths
+from ..functions import junk, names, paths
 from ..operators import tree as trees
 from ..operators.dups import KEY, exact_dups
 from ..operators.files import local, similar_groups
@@ -76,28 +76,18 @@ def plan_dedupe_dirs(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
     return rows.select(F.col("dir_key").alias("path"), F.lit("quarantine").alias("action"), F.concat(F.lit(".quarantine"), "dir_key").alias("target"), F.lit("duplicate-folder").alias("reason"))
 
 
-#: Patterns of junk by category, in the order in which they are tried.
-JUNK = [
-    ("system", r"(?i)^(thumbs\.db|ehthumbs\.db|\.ds_store)$"),
-    ("temp", r"(?i)^(.*\.tmp|~\$.*)$"),
-    ("downloads", r"(?i)^.*\.(crdownload|part|partial)$"),
-]
+def plan_junk(files: DataFrame, now: int, protect: list[str] = (), active: list[junk.Category] | None = None) -> DataFrame:
+    """Files of the active categories (default: the built-in ones without download folders) go to quarantine.
 
-
-def junk_category(name: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for key, pattern in reversed(JUNK):
-        out = F.when(name.rlike(pattern), key).otherwise(out)
-    return out
-
-
-def plan_junk(files: DataFrame, now: int, protect: list[str] = (), min_age: int = 1) -> DataFrame:
-    rows = files.withColumn("_c", junk_category(F.col("name"))).where("_c is not null")
+    A category's minimum age is asked after its match: a file too young for it is not tried with later ones.
+    """
+    active = junk.categories() if active is None else active
+    rows = files.withColumn("_c", junk.match(F.col("name"), F.col("dir_key"), active)).where("_c is not null")
     reason = (
         F.when(protected(F.col("path"), protect), "protected")
         .when(F.col("cloud_only"), "cloud-only")
         .when(F.col("is_link"), "link")
-        .when(names.age_days(F.col("mtime"), now) < min_age, "too-recent")
+        .when(junk.too_recent(F.col("_c"), F.col("mtime"), now, active), "too-recent")
         .when(F.length("path") + len(".quarantine") > MAX_PATH, "path-too-long")
     )
     return _plan(rows, reason, "quarantine", F.concat(F.lit(".quarantine"), "path"), F.concat(F.lit("junk:"), "_c"))
@@ -108,11 +98,10 @@ def plan_empty_dirs(files: DataFrame, dirs: DataFrame, root: str, protect: list[
 
     A folder that can't go (protected) keeps all folders above it.
     """
-    stats = settle(trees.subtree_stats(files, dirs, root)).where((F.col("files") == 0) & (F.col("dir_key") != root))
-    rows = stats.withColumn("_protected", protected(F.col("dir_key"), protect))
-    blocked = rows.where("_protected").select(F.explode(paths.ancestors(F.col("dir_key"), root)).alias("dir_key")).distinct()
-    rows = rows.join(blocked.withColumn("_blocked", F.lit(True)), "dir_key", "left")
-    reason = F.when(F.col("_protected"), "protected").when(~F.col("complete"), "incomplete-index").when(F.col("_blocked"), "not-empty")
+    # below a folder without files no folder has any, so what is protected there is a flag of the subtree
+    stats = trees.subtree_stats(files, dirs, root, blocked=protected(F.col("dir_key"), protect))
+    rows = stats.where((F.col("files") == 0) & (F.col("dir_key") != root)).withColumn("_protected", protected(F.col("dir_key"), protect))
+    reason = F.when(F.col("_protected"), "protected").when(~F.col("complete"), "incomplete-index").when(F.col("blocked"), "not-empty")
     out = _plan(rows.withColumn("path", F.col("dir_key")), reason, "remove-dir", F.lit(None).cast("string"), F.lit("empty"))
     return out.withColumn("level", paths.depth(F.col("path")))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import categories, checks, names, paths, text as texts
+from .functions import categories, checks, junk, names, paths, text as texts
 from .operators import dups, files as ops, geo, health, history, journal, state, template, tree
 from .plans import planners, rules
 from .scratch import settle
@@ -83,12 +83,13 @@ def _g(expr: str, pattern: str, to: str) -> str:
 
 
 def _normal(stem: str) -> str:
-    dates = lambda s: f"trim({_g(_g(s, '^' + names._DATE + r'([\s-]+|$)', ''), r'(^|[\s-]+)' + names._DATE + '$', '')})"
-    out = _g(dates(f"replace(lower(trim({stem})), '_', ' ')"), "^(copy of |kopie von )", "")
-    for _ in range(names.PASSES):
-        out = f"trim({_g(_g(out, names._SUFFIX, ''), r'\s*\([0-9]+\)$', '')})"
-    for _ in range(names.PASSES):
-        out = f"trim({_g(out, names._TOKEN, ' ')})"
+    date = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+    dates = lambda s: f"trim({_g(_g(s, '^' + date + r'([\s-]+|$)', ''), r'(^|[\s-]+)' + date + '$', '')})"
+    out = _g(dates(f"replace(lower(trim({stem})), '_', ' ')"), r"^(copy of|kopie von)\s+", "")
+    for _ in range(6):
+        out = f"trim({_g(_g(out, r'(\s*-\s*|\s+)(kopie|copy)(\s*\([0-9]+\))?$', ''), r'\s*\([0-9]+\)$', '')})"
+    for _ in range(6):
+        out = f"trim({_g(out, r'(^|[\s-])(v[0-9]+|version\s*[0-9]+|rev\s*[0-9]+|final|endgültig|neu|new|alt|old)($|[\s-])', ' ')})"
     return f"trim({_g(dates(out), r'[\s-]+', ' ')})"
 
 
@@ -100,7 +101,7 @@ sg AS (
   FROM (SELECT *, CASE WHEN nn = '' THEN orig ELSE nn END AS normal FROM nm)
 ),
 sim AS (SELECT * FROM sg WHERE members > 1)"""
-_JUNK = names.JUNK_NAMES
+_JUNK = r"(?i)^(thumbs\.db|ehthumbs\.db|\.ds_store|.*\.tmp|~\$.*|.*\.crdownload|.*\.part|.*\.partial)$"
 _BUCKET = lambda c: f"CASE WHEN contains(substr({c}, 4), '/') THEN '/c/' || split_part(substr({c}, 4), '/', 1) || '/' ELSE '' END"
 _PROBLEM_CASES = [
     ("path_too_long", "length(path) > 260"), ("invalid_chars", r"""regexp_matches(name, '["*:<>?/|\\\x00-\x1f]')"""),
@@ -176,10 +177,9 @@ def similar_groups(spark, d):
     return ops.similar_groups(_files(spark, d)).select("path_key", "normal", "group_ext", "members", "exact_duplicate")
 
 
-@query(FILES_SQL + "," + _SIMILAR + f" SELECT folder, sum(n - 1)::BIGINT AS version_excess FROM (SELECT {_BUCKET('dir_key')} AS folder, count(*) AS n FROM sim GROUP BY dir_key, normal, group_ext) GROUP BY 1")
+@query(FILES_SQL + "," + _SIMILAR + f" SELECT folder, sum(n - 1)::BIGINT AS version_excess FROM (SELECT {_BUCKET('dir_key')} AS folder, count(*) AS n FROM sim WHERE NOT starts_with(dir_key, '/c/_archiv/') GROUP BY dir_key, normal, group_ext) GROUP BY 1")
 def version_excess(spark, d):
-    groups = ops.similar_groups(_files(spark, d)).groupBy("dir_key", "normal", "group_ext").agg(F.count("*").alias("n"))
-    return groups.groupBy(paths.bucket_of(F.col("dir_key"), ROOT).alias("folder")).agg(F.sum(F.col("n") - 1).alias("version_excess"))
+    return health.version_excess(_files(spark, d), ROOT).where("version_excess > 0")
 
 
 @query(FILES_SQL + f""" SELECT path_key, regexp_extract(path, '([^/]+)/*$', 1) AS base, (length(path_key) - length(replace(path_key, '/', '')))::BIGINT AS depth, {_BUCKET('path_key')} AS bucket,
@@ -241,9 +241,8 @@ def staged_hashes(spark, d):
 @query(FILES_SQL + "," + _DUPS + f""",
 m AS (SELECT loc.*, grp.first_path, {_BUCKET('path')} AS bucket, coalesce(file_index::VARCHAR, path) AS inst FROM loc JOIN grp USING (size, full_hash)),
 h AS (SELECT *, row_number() OVER (PARTITION BY size, full_hash, inst ORDER BY path) AS r FROM m),
-w AS (SELECT bucket, sum(size) AS w FROM h WHERE r = 1 AND path <> first_path GROUP BY 1),
-t AS (SELECT bucket, count(DISTINCT (size, full_hash)) AS g FROM m GROUP BY 1)
-SELECT t.bucket, coalesce(w.w, 0)::BIGINT AS dup_wasted, t.g AS dup_groups FROM t LEFT JOIN w USING (bucket)""")
+l AS (SELECT * FROM h WHERE r = 1 AND path <> first_path)
+SELECT bucket, sum(size)::BIGINT AS dup_wasted, count(DISTINCT (size, full_hash)) AS dup_groups FROM l GROUP BY 1""")
 def dup_attribution(spark, d):
     return dups.attribution(_files(spark, d), paths.bucket_of(F.col("path"), ROOT))
 
@@ -391,15 +390,20 @@ def template_check(spark, d):
 
 
 # ---------------------------------------------------------------- planners
-_JUNK_CASE = "CASE " + " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{k}'" for k, p in planners.JUNK) + " END"
+DOWNLOADS = ["/c/src1/de/", "/c/src2/en/", "/c/src5/fr/"]
+DRAFTS = junk.Category("entwurf", ("*_v2.docx", "entwurf?.*"), min_age=100)
 
 
 @query(FILES_SQL + rf""",
-j AS (SELECT *, {_JUNK_CASE} AS c FROM files),
-x AS (SELECT path, c, CASE WHEN {_PROT('path')} THEN 'protected' WHEN cloud_only THEN 'cloud-only' WHEN is_link THEN 'link' WHEN {_AGE} < 100 THEN 'too-recent' WHEN length(path) + 11 > 260 THEN 'path-too-long' END AS reason FROM j WHERE c IS NOT NULL)
+j AS (SELECT *, CASE WHEN regexp_matches(n, '(?i)^(thumbs\.db|ehthumbs\.db|\.ds_store)$') THEN 'system' WHEN regexp_matches(n, '(?i)^(.*\.tmp|~\$.*)$') THEN 'temp'
+  WHEN regexp_matches(n, '(?i)^.*\.(crdownload|part|partial)$') THEN 'downloads' WHEN regexp_matches(n, '(?i)\.(exe|msi)$') AND dir_key IN ('/c/src1/de/', '/c/src2/en/', '/c/src5/fr/') THEN 'installer'
+  WHEN regexp_matches(n, '(?i)^(.*_v2\.docx|entwurf.\..*)$') THEN 'entwurf' END AS c FROM (SELECT *, regexp_replace(name, '\.mp4$', '.exe') AS n FROM files)),
+x AS (SELECT path, c, CASE WHEN {_PROT('path')} THEN 'protected' WHEN cloud_only THEN 'cloud-only' WHEN is_link THEN 'link' WHEN c = 'installer' AND {_AGE} <= 90 OR c = 'entwurf' AND {_AGE} <= 100 THEN 'too-recent' WHEN length(path) + 11 > 260 THEN 'path-too-long' END AS reason FROM j WHERE c IS NOT NULL)
 SELECT path, CASE WHEN reason IS NULL THEN 'quarantine' ELSE 'skip' END AS action, CASE WHEN reason IS NULL THEN '.quarantine' || path END AS target, coalesce(reason, 'junk:' || c) AS reason FROM x""")
 def plan_junk(spark, d):
-    return planners.plan_junk(_files(spark, d), NOW, PROTECT, min_age=100)
+    """Videos stand for installers, which the driver's tables don't hold."""
+    files = _files(spark, d).withColumn("name", F.regexp_replace("name", r"\.mp4$", ".exe"))
+    return planners.plan_junk(files, NOW, PROTECT, junk.categories([*junk.BUILT_IN, "entwurf"], DOWNLOADS, 90, [DRAFTS]))
 
 
 @query(TREE_SQL + "," + _STATS + """,
@@ -495,11 +499,12 @@ _UML = lambda s: f"replace(replace(replace(replace(replace(replace(replace({s},
 
 
 def _tidy_sql() -> str:
-    stem = _UML(_STEM)
-    for _ in range(names.PASSES):
-        stem = _g(_g(stem, r"(?i)( - |_-_| |_)(kopie|copy)$", ""), r"[ _]*\([0-9]+\)$", "")
-    stem = _g(f"trim({stem})", r"\s+", "_")
-    return f"CASE WHEN {_EXT} = '' THEN {stem} ELSE {stem} || '.' || {_EXT} END"
+    stem = r"CASE WHEN regexp_matches(a, '^.+\.[^.]*$') THEN regexp_extract(a, '^(.+)\.[^.]*$', 1) ELSE a END"
+    bare = stem
+    for _ in range(6):
+        bare = r"rtrim(regexp_replace(" + bare + r", '(?i)(\s*-\s*(kopie|copy)(\s*\([0-9]+\))?|\s+\([0-9]+\)|_final(_v[0-9]+)?)$', ''))"
+    made = _g(_UML(f"coalesce(nullif({bare}, ''), {stem})"), r"\s+", "_")
+    return f"list_reduce([name, '', '', '', '', '', '', '', ''], lambda a, b: {made} || lower(regexp_extract(a, '^.+(\\.[^.]*)$', 1)))"
 
 
 _RULE_SQL = FILES_SQL + rf""",
@@ -557,48 +562,60 @@ def rules_normalize(spark, d):
 
 # ---------------------------------------------------------------- health
 _HEALTH = TREE_SQL + "," + _COUNTED + "," + _SIMILAR + rf""",
-fl AS (SELECT {_BUCKET('path')} AS folder, sum(rsize) AS size, sum(CASE WHEN NOT cloud_only THEN rsize ELSE 0 END) AS local_bytes, count(*) AS files, count(*) FILTER (cloud_only) AS cloud_files,
-  count(*) FILTER (regexp_matches(name, '{_JUNK}')) AS junk_files, sum(CASE WHEN regexp_matches(name, '{_JUNK}') THEN rsize ELSE 0 END) AS junk_bytes,
-  count(*) FILTER (len({_cases(_FILE_CASES)}) > 0) AS problem_files, sum(CASE WHEN {_AGE} > 365 THEN rsize ELSE 0 END) AS old_bytes FROM real WHERE NOT is_link GROUP BY 1),
-dl AS (SELECT {_BUCKET('dir_key')} AS folder, count(*) AS dirs FROM dirs WHERE dir_key <> '/c/' GROUP BY 1),
+fb AS (SELECT *, {_BUCKET('path')} AS folder, NOT cloud_only AND regexp_matches(name, '{_JUNK}') AS junk, {_cases(_FILE_CASES)} AS bad FROM real WHERE NOT is_link),
+fl AS (SELECT folder, sum(rsize) AS size, sum(rsize) FILTER (NOT cloud_only) AS local_bytes, count(*) AS files, count(*) FILTER (cloud_only) AS cloud_files, sum(rsize) FILTER (cloud_only) AS cloud_bytes,
+  count(*) FILTER (junk) AS junk_files, sum(rsize) FILTER (junk) AS junk_bytes, count(*) FILTER (len(bad) > 0) AS problem_files, sum(rsize) FILTER ({_AGE} > 365 AND NOT starts_with(dir_key, '/c/_archiv/')) AS old_bytes FROM fb GROUP BY 1),
+kd AS (SELECT folder, string_agg(kind || ':' || n, ',' ORDER BY kind) AS problems_by_kind FROM (SELECT folder, kind, count(*) AS n FROM (SELECT folder, unnest(bad) AS kind FROM fb) GROUP BY ALL) GROUP BY 1),
+dl AS (SELECT {_BUCKET('dir_key')} AS folder, count(*) AS dirs, sum(summary_files) FILTER (mode = 'summary') AS sf, sum(summary_size) FILTER (mode = 'summary') AS ss FROM dirs GROUP BY 1),
 si AS (SELECT d.dir_key, (SELECT count(*) FROM files f WHERE f.dir_key = d.dir_key) AS n, (SELECT count(*) FROM dirs x WHERE x.parent_key = d.dir_key) AS k FROM dirs d WHERE mode = 'full' AND NOT is_link AND NOT read_error),
 sl AS (SELECT {_BUCKET('dir_key')} AS folder, sum((n + k = 0)::INT + (n = 1 AND k = 0)::INT + (length(dir_key) - length(replace(dir_key, '/', '')) - 2 > 8)::INT + (n + k > 1000)::INT) AS structure_issues, count(*) FILTER (n + k = 0) AS empty_dirs FROM si GROUP BY 1),
-vl AS (SELECT folder, sum(n - 1) AS version_excess FROM (SELECT {_BUCKET('dir_key')} AS folder, count(*) AS n FROM sim GROUP BY dir_key, normal, group_ext) GROUP BY 1),
+vl AS (SELECT folder, sum(n - 1) AS version_excess FROM (SELECT {_BUCKET('dir_key')} AS folder, count(*) AS n FROM sim WHERE NOT starts_with(dir_key, '/c/_archiv/') GROUP BY dir_key, normal, group_ext) GROUP BY 1),
 du AS ({ORACLE['dup_attribution']}),
-hm AS (SELECT folder, coalesce(size, 0)::BIGINT AS size, coalesce(local_bytes, 0)::BIGINT AS local_bytes, coalesce(files, 0)::BIGINT AS files, coalesce(dirs, 0)::BIGINT AS dirs, coalesce(cloud_files, 0)::BIGINT AS cloud_files,
-  coalesce(junk_files, 0)::BIGINT AS junk_files, coalesce(junk_bytes, 0)::BIGINT AS junk_bytes, coalesce(dup_groups, 0)::BIGINT AS dup_groups, coalesce(dup_wasted, 0)::BIGINT AS dup_wasted, coalesce(problem_files, 0)::BIGINT AS problem_files,
-  coalesce(empty_dirs, 0)::BIGINT AS empty_dirs, coalesce(structure_issues, 0)::BIGINT AS structure_issues, coalesce(version_excess, 0)::BIGINT AS version_excess, coalesce(old_bytes, 0)::BIGINT AS old_bytes
-  FROM (SELECT folder FROM fl UNION SELECT folder FROM dl) LEFT JOIN fl USING (folder) LEFT JOIN dl USING (folder) LEFT JOIN sl USING (folder) LEFT JOIN vl USING (folder) LEFT JOIN du ON du.bucket = folder)"""
+hm AS (SELECT folder, (coalesce(size, 0) + coalesce(ss, 0))::BIGINT AS size, (coalesce(local_bytes, 0) + coalesce(ss, 0))::BIGINT AS local_bytes, (coalesce(files, 0) + coalesce(sf, 0))::BIGINT AS files, coalesce(dirs, 0)::BIGINT AS dirs,
+  coalesce(cloud_files, 0)::BIGINT AS cloud_files, coalesce(cloud_bytes, 0)::BIGINT AS cloud_bytes, coalesce(junk_files, 0)::BIGINT AS junk_files, coalesce(junk_bytes, 0)::BIGINT AS junk_bytes, coalesce(dup_groups, 0)::BIGINT AS dup_groups,
+  coalesce(dup_wasted, 0)::BIGINT AS dup_wasted, coalesce(problem_files, 0)::BIGINT AS problem_files, coalesce(empty_dirs, 0)::BIGINT AS empty_dirs, coalesce(structure_issues, 0)::BIGINT AS structure_issues,
+  coalesce(version_excess, 0)::BIGINT AS version_excess, coalesce(old_bytes, 0)::BIGINT AS old_bytes, NULL::BIGINT AS template_checked, NULL::BIGINT AS template_deviations, coalesce(problems_by_kind, '') AS problems_by_kind
+  FROM (SELECT folder FROM fl UNION SELECT folder FROM dl) LEFT JOIN fl USING (folder) LEFT JOIN dl USING (folder) LEFT JOIN sl USING (folder) LEFT JOIN vl USING (folder) LEFT JOIN kd USING (folder) LEFT JOIN du ON du.bucket = folder)"""
+_METRICS = "size local_bytes files dirs cloud_files cloud_bytes junk_files junk_bytes dup_wasted problem_files empty_dirs structure_issues version_excess old_bytes template_checked template_deviations".split()
+
+
+def _metrics(spark, d, template=None):
+    return health.metrics(_files(spark, d), _dirs(spark, d), ROOT, NOW, HOSTS, template=template)
+
+
+def _kinds_as_text(folders):
+    each = F.transform(F.array_sort(F.map_entries("problems_by_kind")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return folders.withColumn("problems_by_kind", F.array_join(each, ","))
 
 
 @query(_HEALTH + " SELECT * FROM hm")
 def health_metrics(spark, d):
-    return health.metrics(_files(spark, d), _dirs(spark, d), ROOT, NOW, HOSTS)
+    return _kinds_as_text(_metrics(spark, d))
 
 
-@query(_HEALTH + ", " + _DUPS.removeprefix(_LOCAL).removeprefix(",").replace("grp", "gg").replace("FROM loc", "FROM (SELECT * FROM files WHERE NOT cloud_only AND NOT is_link AND size > 0 AND full_hash IS NOT NULL)") + " SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in "size local_bytes files dirs cloud_files junk_files junk_bytes dup_wasted problem_files empty_dirs structure_issues version_excess old_bytes".split()) + ", (SELECT count(*) FROM gg) AS dup_groups FROM hm")
+@query(_HEALTH + ", " + _DUPS.removeprefix(_LOCAL).removeprefix(",").replace("grp", "gg").replace("FROM loc", "FROM (SELECT * FROM files WHERE NOT cloud_only AND NOT is_link AND size > 0 AND full_hash IS NOT NULL)") + " SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in _METRICS) + ", (SELECT count(*) FROM gg) AS dup_groups FROM hm")
 def health_totals(spark, d):
-    return health.totals(health_metrics(spark, d), dup_totals(spark, d))
+    return health.totals(_metrics(spark, d), dup_totals(spark, d))
 
 
-@query(_HEALTH + ", t AS (SELECT *, row_number() OVER (ORDER BY size DESC, folder) AS r FROM hm) SELECT CASE WHEN r <= 5 THEN folder ELSE '*' END AS folder, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in "size local_bytes files dirs cloud_files junk_files junk_bytes dup_groups dup_wasted problem_files empty_dirs structure_issues version_excess old_bytes".split()) + " FROM t GROUP BY 1")
+@query(_HEALTH + ", t AS (SELECT *, row_number() OVER (ORDER BY size DESC, folder) AS r FROM hm WHERE folder <> '') SELECT CASE WHEN r <= 5 THEN folder ELSE '*' END AS folder, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in [*_METRICS, "dup_groups"]) + " FROM t GROUP BY 1")
 def health_largest(spark, d):
-    return health.largest_and_rest(settle(health_metrics(spark, d)), 5)
+    return health.largest_and_rest(settle(_metrics(spark, d)), 5)
 
 
-_RATIO = lambda n, m: f"CASE WHEN {m} > 0 THEN ({n})::DOUBLE / ({m}) WHEN {n} > 0 THEN 1.0 ELSE 0.0 END"
-_VALUE = lambda b: f"CASE WHEN files = 0 THEN 100.0 ELSE 100 * (1 - least(1.0, greatest(0.0, {b}))) END"
+_RATIO = lambda n, m: f"CASE WHEN {m} > 0 THEN ({n})::DOUBLE / ({m}) ELSE 0.0 END"
+_VALUE = lambda b: f"(CASE WHEN files = 0 THEN 100.0 ELSE 100 * (1 - least(1.0, greatest(0.0, {b}))) END)::DOUBLE"
 _PARTS = {
-    "junk": f"greatest({_RATIO('junk_files * 1000', 'files')} / 50, ({_RATIO('junk_bytes', 'size')}) / 0.10)", "dups": f"({_RATIO('dup_wasted', 'local_bytes')}) / 0.25",
-    "problems": f"({_RATIO('problem_files * 1000', 'files')}) / 50", "structure": f"({_RATIO('structure_issues * 100', 'dirs')}) / 30", "versions": f"({_RATIO('version_excess * 1000', 'files')}) / 50",
+    "junk": (20, f"greatest(({_RATIO('junk_files * 1000', 'files')}) / 50, ({_RATIO('junk_bytes', 'size')}) / 0.10)"), "dups": (25, f"({_RATIO('dup_wasted', 'local_bytes')}) / 0.25"),
+    "problems": (20, f"({_RATIO('problem_files * 1000', 'files')}) / 50"), "structure": (20, f"({_RATIO('structure_issues * 100', 'dirs')}) / 30"), "versions": (15, f"({_RATIO('version_excess * 1000', 'files')}) / 50"),
 }
-_PARTS["junk"] = f"greatest(({_RATIO('junk_files * 1000', 'files')}) / 50, ({_RATIO('junk_bytes', 'size')}) / 0.10)"
 
 
-@query(_HEALTH + ", v AS (SELECT folder, " + ", ".join(f"({_VALUE(b)})::DOUBLE AS {k}" for k, b in _PARTS.items()) + " FROM hm) SELECT folder, " + ", ".join(f"round({k}, 4) AS {k}" for k in _PARTS)
-       + ", round((" + " + ".join(f"{k} * {w}" for k, w in health.WEIGHTS.items()) + ") / 100, 0)::INT AS score, " + ", ".join(f"CASE WHEN {w} / 100 * (100 - {k}) >= 0.5 THEN round({w} / 100 * (100 - {k}), 1) ELSE 0.0 END::DOUBLE AS {k}_deduction" for k, w in health.WEIGHTS.items()) + " FROM v")
+@query(_HEALTH + ", v AS (SELECT folder, " + ", ".join(f"{_VALUE(b)} AS {k}" for k, (_, b) in _PARTS.items()) + " FROM hm) SELECT folder, " + ", ".join(f"round({k}, 4) AS {k}" for k in _PARTS)
+       + ", NULL::DOUBLE AS template, 0.0::DOUBLE AS template_deduction, round((" + " + ".join(f"{k} * {w}" for k, (w, _) in _PARTS.items()) + ") / 100, 0)::INT AS score, "
+       + ", ".join(f"CASE WHEN {w} / 100 * (100 - {k}) >= 0.5 THEN round({w} / 100 * (100 - {k}), 1) ELSE 0.0 END::DOUBLE AS {k}_deduction" for k, (w, _) in _PARTS.items()) + " FROM v")
 def health_score(spark, d):
-    return health.scores(health_metrics(spark, d))
+    return health.scores(_metrics(spark, d))
 
 
 @query(FILES_SQL + f" SELECT folder, kind, count(*) AS files FROM (SELECT {_BUCKET('path')} AS folder, unnest({_cases(_FILE_CASES)}) AS kind FROM files WHERE NOT is_link) GROUP BY ALL")

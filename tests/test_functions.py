@@ -35,8 +35,53 @@ def test_problems(spark):
 
 
 def test_tidy_is_idempotent(spark):
-    made = values(spark, names.tidy_name, "Bär  Übersicht - Kopie (2).PDF", "a_copy (1) (2).txt", "x")
-    assert made == ["Baer_Uebersicht.pdf", "a.txt", "x"] and values(spark, names.tidy_name, *made) == made
+    made = values(spark, names.tidy_name, "Bär  Übersicht - Kopie (2).PDF", "a - copy (1) (2).txt", "x", "plan final.txt", "b_copy.txt", " (2)", "y_final_v2 (3) - Kopie", ".env")
+    # the separator of a copy's suffix is a hyphen; a name is never emptied
+    assert made == ["Baer_Uebersicht.pdf", "a.txt", "x", "plan.txt", "b_copy.txt", "_(2)", "y", ".env"] and values(spark, names.tidy_name, *made) == made
+    dated = lambda n: names.tidy_name(n, spaces=None, date=F.lit("2024-05-01"))
+    assert values(spark, dated, "a b.txt", "2020-01-02 c.txt") == ["2024-05-01_a b.txt", "2020-01-02 c.txt"]
+
+
+def test_normal_form_is_a_fixpoint(spark):
+    """Against the definition, loop by loop: parts of versions that only meet once others are gone, any number of suffixes."""
+    import random
+    import re
+
+    date = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
+
+    def dates(s):
+        return re.sub(rf"(?:^|[\s-]+){date}$", "", re.sub(rf"^{date}(?:[\s-]+|$)", "", s, count=1), count=1).strip()
+
+    def until(s, step):
+        while (after := step(s)) != s:
+            s = after
+        return s
+
+    def brute(stem):
+        original = stem.strip().lower()
+        s = re.sub(r"^(?:copy of|kopie von)\s+", "", dates(original.replace("_", " ")))
+        s = until(s, lambda x: re.sub(r"\s*\([0-9]+\)$", "", re.sub(r"(?:\s*-\s*|\s+)(?:kopie|copy)(?:\s*\([0-9]+\))?$", "", x)).strip())
+        s = until(s, lambda x: re.sub(r"(?:^|[\s-])(?:v[0-9]+|version\s*[0-9]+|rev\s*[0-9]+|final|endgültig|neu|new|alt|old)(?:$|[\s-])", " ", x, count=1).strip())
+        return " ".join(p for p in re.split(r"[\s-]+", dates(s)) if p) or original
+
+    rng = random.Random(7)
+    words = ["plan", "v1", "version", "rev", "2", "final", "old", "kopie", "copy", "(3)", "copy of", "2024-03-01", "20240301", "-", "Neu"]
+    stems = ["version " * 9 + "1 " * 9 + "x", "a" + " (1)" * 12, "b" + " - kopie" * 7 + " copy (2) (3)"]
+    stems += ["".join(w + rng.choice([" ", "_", "-", "  ", ""]) for w in rng.choices(words, k=rng.randint(1, 9))).strip() or "x" for _ in range(600)]
+    assert values(spark, names.normalize_name, *stems) == [brute(s) for s in stems]
+
+
+def test_junk_categories(spark):
+    from stowage.functions import junk
+
+    day = 864_000_000_000
+    rows = [("setup.EXE", "/c/dl/", 0), ("setup.exe", "/c/dl/sub/", 0), ("new.msi", "/c/dl/", 950 * day), ("a.bak", "/c/x/", 0), ("a.tmp", "/c/x/", 999 * day), ("x.tmp.exe", "/c/dl/", 0), ("tmp", "/c/dl/", 0)]
+    files = spark.createDataFrame([(d + n, n, d, m) for n, d, m in rows], "path string, name string, dir_key string, mtime long").withColumns({"cloud_only": F.lit(False), "is_link": F.lit(False)})
+    own = [junk.Category("mine", ("*.bak", "*.exe"), dirs=("/c/x/",))]
+    plan = planners.plan_junk(files, 1000 * day, active=junk.categories(["installer", "mine", "temp"], ["/C/dl/"], 90, own))
+    assert {(r.path, r.reason) for r in plan.collect()} == {("/c/dl/setup.EXE", "junk:installer"), ("/c/dl/new.msi", "too-recent"), ("/c/x/a.bak", "junk:mine"), ("/c/x/a.tmp", "junk:temp"), ("/c/dl/x.tmp.exe", "junk:installer")}
+    with pytest.raises(ValueError):
+        junk.categories(["other"])
 
 
 def test_durations_and_sizes():
