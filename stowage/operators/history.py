@@ -1,8 +1,8 @@
-"""Snapshots over time (JN06-JN08, WN06-WN07, AG32, AG35, PL11)."""
+"""Snapshots over time (JN06-JN08, WN06-WN07, AG32, AG35, PL11, SNK06, SM07)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def series(snapshots: DataFrame, folder_metrics: DataFrame, root_key: str, folder: str = "", n: int = 52) -> DataFrame:
@@ -44,8 +44,41 @@ def trailing_failures(runs: DataFrame) -> DataFrame:
 
 
 def notifications(runs: DataFrame, drop: int = 5, below: int = 60) -> DataFrame:
-    """Runs that call for a message, with the reason: failed, score dropped, score low."""
-    before = F.lag("score").over(Window.partitionBy("profile").orderBy("seq"))
-    out = runs.withColumn("_before", before)
-    reason = F.when(F.col("status") == "failed", "failed").when(F.col("_before") - F.col("score") >= drop, "score_drop").when(F.col("score") < below, "score_low")
-    return out.select("profile", "seq", reason.alias("reason")).where("reason is not null")
+    """``profile, seq, reasons`` (comma-joined keys) of the runs that call for a message (PL11).
+
+    A failed run or one without its root always does, a skipped one only right after another of its profile. A run that
+    ended tells of a score that fell by ``drop`` (0: never) or is below ``below``, plans that are ready, plans that
+    failed, and more files to review than in the profile's run before.
+    """
+    order = Window.partitionBy("profile").orderBy("seq")
+    out = runs.withColumn("_status", F.lag("status").over(order)).withColumn("_review", F.lag("review").over(order))
+    c, no = F.col, F.lit(False)
+    ended = c("status").isin("ok", "partial")
+    found = [
+        ("root_missing", c("status") == "root_missing"),
+        ("failed", c("status") == "failed"),
+        ("skipped_again", (c("status") == "skipped_locked") & (c("_status") == "skipped_locked")),
+        ("score_drop", ended & F.lit(drop > 0) & (c("score_delta") <= -drop)),
+        ("score_low", ended & (c("score") < below)),
+        ("plans_ready", ended & (c("plans") > 0)),
+        ("plans_failed", ended & (c("failed_plans") > 0)),
+        ("new_review", ended & (F.coalesce("review", F.lit(0)) > F.coalesce("_review", F.lit(0)))),
+    ]
+    reasons = F.concat_ws(",", *(F.when(F.coalesce(holds, no), key) for key, holds in found))
+    return out.select("profile", "seq", reasons.alias("reasons")).where("reasons <> ''")
+
+
+def append(snapshots: DataFrame, folder_metrics: DataFrame, path: str) -> None:
+    """Adds snapshots and their folders' metrics to the history at ``path`` (SNK06, SM07).
+
+    Folders are written first and count only once their snapshot is there: a reader never sees half a snapshot, and
+    what a broken run left has no snapshot.
+    """
+    folder_metrics.write.mode("append").parquet(f"{path}/folders")
+    snapshots.write.mode("append").parquet(f"{path}/snapshots")
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, folder metrics) of a history; metrics without a snapshot are left out."""
+    snapshots = spark.read.parquet(f"{path}/snapshots")
+    return snapshots, spark.read.parquet(f"{path}/folders").join(snapshots.select("snapshot_id"), "snapshot_id", "left_semi")

@@ -13,11 +13,12 @@ from ..functions import junk, names, paths
 from ..operators import tree as trees
 from ..operators.dups import KEY, exact_dups
 from ..operators.files import local, similar_groups
+from ..operators.order import numbered
 from ..scratch import settle
 
 MAX_PATH = 260
 ARCHIVE = "_Archiv/"
-VERSIONS = "_Versionen/"
+VERSIONS = ARCHIVE + "Versionen/"
 
 
 def protected(path: Column, prefixes: list[str], markers: list[str] = ("/.git/", "/node_modules/")) -> Column:
@@ -142,18 +143,8 @@ def plan_versions(files: DataFrame, root: str, now: int, min_age: int = 30, prot
 
 
 def number(plan: DataFrame) -> DataFrame:
-    """Actions with ids 1, 2, ... in order of path: places within sorted partitions plus the sizes of those before, so no task sees all rows."""
-    spark = plan.sparkSession
-    rows = plan.where("action <> 'skip'").repartitionByRange("path").sortWithinPartitions("path").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist()
-    sizes = [(r["_p"], r["n"], r["f"]) for r in rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("f")).orderBy("_p").collect()]
-    starts, total = [], 0
-    for p, n, first in sizes:
-        starts.append((p, total - first + 1))
-        total += n
-    if not starts:
-        return rows.select(*plan.columns, F.lit(0).cast("long").alias("id"))
-    offsets = spark.createDataFrame(starts, "_p int, _o long")
-    return rows.join(F.broadcast(offsets), "_p").select(*plan.columns, (F.col("_i") + F.col("_o")).alias("id"))
+    """Actions with ids 1, 2, ... in order of path."""
+    return numbered(plan.where("action <> 'skip'"), F.asc("path"), name="id")
 
 
 def dependents(plan: DataFrame, root: str) -> DataFrame:
@@ -164,17 +155,92 @@ def dependents(plan: DataFrame, root: str) -> DataFrame:
     return up.join(acts.select(F.col("path").alias("holder")), "holder", "left_semi").select("path", "holder")
 
 
-def validate(plan: DataFrame, root: str) -> DataFrame:
-    """``path, rule`` of each broken rule; none for a sound plan (PL08)."""
-    acts = plan.where("action <> 'skip'")
-    outside = acts.where(~paths.is_under(F.col("path"), F.lit(root))).select("path", F.lit("outside").alias("rule"))
-    dots = acts.where(F.col("path").rlike(r"/\.\.?(/|$)")).select("path", F.lit("dots").alias("rule"))
-    twice = acts.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("twice").alias("rule"))
-    targets = acts.where("target is not null").groupBy(F.lower("target").alias("t")).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").select("path", F.lit("same target").alias("rule"))
-    chained = acts.join(acts.select(F.lower("target").alias("_t")).distinct(), F.lower("path") == F.col("_t"), "left_semi").select("path", F.lit("target is a source").alias("rule"))
-    nested = dependents(acts.where("action = 'move'"), root).select("path", F.lit("inside a moved folder").alias("rule"))
-    out = outside
-    for part in (dots, twice, targets, chained, nested):
+#: Fields of an action that a plan may leave out.
+OPTIONAL = {
+    "id": "long", "is_dir": "boolean", "keep": "string", "hash": "string", "keep_hash": "string", "rule": "string", "files": "long",
+    "keep_fingerprint": "string", "source_fingerprint": "string",
+}
+
+
+def _field_rules(kind: str, root: str) -> list[tuple[str, Column]]:
+    """(name, broken) of the rules that one action breaks by its own fields, by the kind of its plan."""
+    c = F.col
+    rules, folders = kind == "rules", kind == "dedupe-dirs"
+    key, target, keep = (F.rtrim(F.lower(c(x)), F.lit("/")) for x in ("path", "target", "keep"))
+    bare = root.rstrip("/").lower()
+    archive, tool = f"{bare}/{ARCHIVE.lower()}", f"{bare}/.quarantine/"
+    quarantine, remove, move = (c("action") == x for x in ("quarantine", "remove-dir", "move"))
+    is_hash = lambda x: F.coalesce(c(x).rlike(r"\A[0-9a-f]{32}\z"), F.lit(False))
+    given = sum((c(x).isNotNull().cast("int") for x in ("hash", "keep", "keep_hash")), F.lit(0))
+    under = lambda x, prefix: F.coalesce(paths.is_under(x, prefix), F.lit(False))
+    whole = quarantine & (given == 3)
+    return [
+        ("not a move", F.lit(rules) & ~move),
+        ("name of the rule", c("rule").isNotNull() != F.lit(rules)),
+        ("keep_fingerprint", (c("keep_fingerprint").isNotNull() & ~(F.lit(folders) & quarantine)) | (F.lit(folders) & quarantine & c("is_dir") & ~is_hash("keep_fingerprint"))),
+        ("source_fingerprint", c("source_fingerprint").isNotNull() & (~(F.lit(folders) & quarantine) | ~is_hash("source_fingerprint"))),
+        ("folder in quarantine", quarantine & c("is_dir") & F.lit(not folders)),
+        ("not a folder", quarantine & ~c("is_dir") & F.lit(folders)),
+        ("number of files", c("files").isNull() & c("is_dir") & ((quarantine & F.lit(folders)) | move)),
+        ("hash and keep", quarantine & ~given.isin(0, 3)),
+        ("no hash", quarantine & (given == 0) & F.lit(kind in ("dedupe", "dedupe-dirs"))),
+        ("not a hash", whole & ~(is_hash("hash") & is_hash("keep_hash"))),
+        ("other hash", whole & (c("hash") != c("keep_hash"))),
+        ("keeps itself", (whole | move) & F.coalesce(keep == key, F.lit(False))),
+        ("keep nested", whole & c("is_dir") & (keep != key) & (under(key, keep) | under(keep, key))),
+        ("target not allowed", (quarantine | remove) & c("target").isNotNull()),
+        ("hash not allowed", (remove & (given > 0)) | (move & (c("hash").isNotNull() | c("keep_hash").isNotNull()))),
+        ("no target", move & c("target").isNull()),
+        ("target outside", move & c("target").isNotNull() & (~under(target, F.lit(bare)) | (target == bare) if rules else ~under(target, F.lit(archive)) | (target == archive.rstrip("/")))),
+        ("target reserved", move & F.lit(rules) & (under(target, F.lit(archive)) | under(target, F.lit(tool)))),
+        ("folder by rule", move & F.lit(rules) & c("is_dir")),
+        ("target is itself", move & F.lit(rules) & F.coalesce(c("target") == c("path"), F.lit(False))),
+        ("target in source", move & under(target, key) & ~(F.lit(rules) & (target == key))),
+    ]
+
+
+def validate(plan: DataFrame, root: str, kind: str | None = None) -> DataFrame:
+    """``path, rule`` of each broken rule; none for a sound plan (PL08).
+
+    A plan may leave out the fields of ``OPTIONAL``. With ``kind`` (dedupe, dedupe-dirs, junk, empty-dirs, archive,
+    versions, rules) the fields that an action of such a plan must have, or must not have, are checked too.
+    """
+    for name, form in OPTIONAL.items():
+        if name not in plan.columns:
+            plan = plan.withColumn(name, F.lit(None).cast(form))
+    acts = plan.where("action <> 'skip'").withColumn("is_dir", F.coalesce("is_dir", F.endswith("path", F.lit("/"))))
+    norm = lambda x: F.rtrim(F.lower(F.col(x)), F.lit("/"))
+    dots = F.lit(False)
+    for x in ("path", "target", "keep"):
+        dots = dots | F.coalesce(F.col(x).rlike(r"[/\\]\.\.?([/\\]|$)"), F.lit(False))
+    own = [("outside", ~paths.is_under(norm("path"), F.lit(root.lower())) | (norm("path") == root.lower().rstrip("/"))), ("dots", dots), *(_field_rules(kind, root) if kind else [])]
+    out = acts.select("path", F.explode(F.filter(F.array(*(F.when(broken, name) for name, broken in own)), lambda x: x.isNotNull())).alias("rule"))
+
+    keyed = acts.select("path", "action", "is_dir", norm("path").alias("key"), norm("target").alias("to"), norm("keep").alias("kept"))
+    rule = lambda df, name: df.select("path", F.lit(name).alias("rule"))
+    named = lambda column, name: rule(acts.where(f"{column} is not null").groupBy((F.lower(column) if column != "id" else F.col(column)).alias("_v")).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1"), name)
+    sources = keyed.select(F.col("key").alias("_s")).distinct()
+    folders = keyed.where("is_dir").select(F.col("key").alias("_f"), F.col("path").alias("_by"))
+    kept = keyed.where("is_dir and kept is not null").select(F.col("kept").alias("_f"), F.col("path").alias("_by"))
+
+    def inside(column: str, holders: DataFrame, strictly: bool = False) -> DataFrame:
+        """Actions whose ``column`` is in a folder of another action (or is it, unless ``strictly``)."""
+        up = F.transform(paths.ancestors(F.concat(column, F.lit("/")), root.lower()), lambda a: F.rtrim(a, F.lit("/")))
+        some = keyed.where(F.col(column).isNotNull()).select("path", F.col(column).alias("_own"), F.explode(up).alias("_f"))
+        some = some.where("_f <> _own") if strictly else some
+        return some.join(holders, "_f").where(F.col("_by") != F.col("path")).select("path").distinct()
+
+    moves = keyed.where("action = 'move' and is_dir").select(F.col("key").alias("_f"), F.col("path").alias("_by"))
+    parts = [
+        named("id", "id twice"), named("path", "twice"), named("target", "same target"),
+        rule(keyed.where("to is not null and to <> key").join(sources, F.col("to") == F.col("_s"), "left_semi"), "target is a source"),
+        rule(keyed.where("kept is not null").join(sources, F.col("kept") == F.col("_s"), "left_semi"), "keep is a source"),
+        rule(inside("to", folders), "target inside a moved folder"),
+        rule(inside("key", moves, strictly=True), "inside a moved folder"),
+    ]
+    if kind == "dedupe-dirs":
+        parts += [rule(inside("key", kept), "inside a kept folder"), rule(inside("key", folders), "inside a removed folder"), rule(inside("kept", folders), "keep inside a removed folder")]
+    for part in parts:
         out = out.unionAll(part)
     return out
 

@@ -425,7 +425,7 @@ def plan_archive(spark, d):
 
 
 @query(FILES_SQL + "," + _SIMILAR + f""",
-r AS (SELECT *, row_number() OVER w AS r, first_value(cloud_only) OVER w AS kc, '/c/_Versionen/' || substr(path, 4) AS tg FROM sim WINDOW w AS (PARTITION BY dir_key, normal, group_ext ORDER BY mtime DESC, path_key DESC)),
+r AS (SELECT *, row_number() OVER w AS r, first_value(cloud_only) OVER w AS kc, '/c/_Archiv/Versionen/' || substr(path, 4) AS tg FROM sim WINDOW w AS (PARTITION BY dir_key, normal, group_ext ORDER BY mtime DESC, path_key DESC)),
 x AS (SELECT path, tg, CASE WHEN kc THEN 'group-incomplete' WHEN {_PROT('path')} THEN 'protected' WHEN cloud_only THEN 'cloud-only' WHEN is_link THEN 'link' WHEN {_AGE} < 300 THEN 'too-recent' WHEN length(tg) > 260 THEN 'path-too-long' END AS reason FROM r WHERE r > 1)
 SELECT path, CASE WHEN reason IS NULL THEN 'move' ELSE 'skip' END AS action, CASE WHEN reason IS NULL THEN tg END AS target, coalesce(reason, 'older-version') AS reason FROM x""")
 def plan_versions(spark, d):
@@ -435,7 +435,6 @@ def plan_versions(spark, d):
 ORACLE["plan_limits"] = FILES_SQL + f", v AS ({ORACLE['plan_versions']}) SELECT count(*) AS files, coalesce(sum(f.size), 0)::BIGINT AS bytes, count(*) > 20 OR coalesce(sum(f.size), 0) > 5368709120 AS exceeds FROM v LEFT JOIN files f USING (path) WHERE v.action = 'move'"
 ORACLE["action_counts"] = f"SELECT action, reason, count(*) AS n FROM ({ORACLE['plan_versions']}) GROUP BY ALL"
 ORACLE["plan_numbered"] = f"SELECT path, target, row_number() OVER (ORDER BY path) AS id FROM ({ORACLE['plan_junk']}) WHERE action <> 'skip'"
-ORACLE["plan_violations"] = "SELECT ''::VARCHAR AS path, ''::VARCHAR AS rule WHERE false"
 ORACLE["plan_dependents"] = TREE_SQL + f""", a AS (SELECT path FROM ({ORACLE['plan_empty_dirs']}) WHERE action <> 'skip')
 SELECT x.path, y.path AS holder FROM a x JOIN a y ON starts_with(x.path, y.path) AND x.path <> y.path"""
 
@@ -455,12 +454,6 @@ def plan_numbered(spark, d):
     return planners.number(plan_junk(spark, d)).select("path", "target", "id")
 
 
-@query()
-def plan_violations(spark, d):
-    """No rule is broken by the plan of versions."""
-    return planners.validate(settle(plan_versions(spark, d)), ROOT)
-
-
 @query()
 def plan_dependents(spark, d):
     return planners.dependents(plan_empty_dirs(spark, d), ROOT)
@@ -678,9 +671,17 @@ def trailing_failures(spark, d):
     return history.trailing_failures(_runs(spark, d))
 
 
-@query(_RUNS_SQL + ", b AS (SELECT *, lag(score) OVER (PARTITION BY profile ORDER BY seq) AS p FROM runs), r AS (SELECT profile, seq, CASE WHEN status = 'failed' THEN 'failed' WHEN p - score >= 5 THEN 'score_drop' WHEN score < 60 THEN 'score_low' END AS reason FROM b) SELECT * FROM r WHERE reason IS NOT NULL")
+_OUTCOMES = """SELECT o_custkey % 20 AS profile, o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN 'root_missing' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'skipped_locked' WHEN o_orderkey % 5 = 0 THEN 'partial' ELSE 'ok' END AS status,
+  cast(floor(o_totalprice) % 101 AS bigint) AS score, CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 21 - 10 END AS score_delta, CASE WHEN o_orderkey % 8 = 0 THEN 2 ELSE 0 END AS plans, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS failed_plans,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 7 END AS review FROM {orders}"""
+
+
+@query(f"WITH runs AS ({_OUTCOMES.format(orders='orders')})" + """, b AS (SELECT *, lag(status) OVER w AS ps, coalesce(lag(review) OVER w, 0) AS pr, status IN ('ok', 'partial') AS ended FROM runs WINDOW w AS (PARTITION BY profile ORDER BY seq)),
+r AS (SELECT profile, seq, array_to_string(list_filter([CASE WHEN status IN ('root_missing', 'failed') THEN status END, CASE WHEN status = 'skipped_locked' AND ps = status THEN 'skipped_again' END, CASE WHEN ended AND score_delta <= -5 THEN 'score_drop' END,
+  CASE WHEN ended AND score < 60 THEN 'score_low' END, CASE WHEN ended AND plans > 0 THEN 'plans_ready' END, CASE WHEN ended AND failed_plans > 0 THEN 'plans_failed' END, CASE WHEN ended AND coalesce(review, 0) > pr THEN 'new_review' END], lambda x: x IS NOT NULL), ',') AS reasons FROM b)
+SELECT * FROM r WHERE reasons <> ''""")
 def notifications(spark, d):
-    return history.notifications(_runs(spark, d))
+    return history.notifications(spark.sql(_OUTCOMES, orders=bindings.table(spark, d, "orders")))
 
 
 # ---------------------------------------------------------------- journal

@@ -167,7 +167,7 @@ def test_second_plan_is_empty(spark, sf_dir):
 def test_validate_finds_what_is_wrong(spark):
     rows = [("/c/a/x", "move", "/c/b", "r"), ("/d/x", "move", "/c/B", "r"), ("/c/../x", "move", "/c/a/x", "r"), ("/c/a/", "move", "/c/q/", "r")]
     plan = spark.createDataFrame(rows, "path string, action string, target string, reason string")
-    assert {r.rule for r in planners.validate(plan, "/c/").collect()} == {"outside", "dots", "same target", "target is a source", "inside a moved folder"}
+    assert {r.rule for r in planners.validate(plan, "/c/").collect()} == {"outside", "dots", "same target", "target is a source", "inside a moved folder", "target inside a moved folder"}
 
 
 def test_checks(spark):
