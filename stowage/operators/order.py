@@ -25,8 +25,8 @@ def numbered(rows: DataFrame, *by: Column, name: str = "place") -> DataFrame:
 
 
 def duplicate_groups(groups: DataFrame) -> DataFrame:
-    """Groups of equal files with ``group_no``: most wasted bytes first, then larger files, then the hash."""
-    return numbered(groups, F.desc("wasted"), F.desc("size"), F.asc("full_hash"), name="group_no")
+    """Groups of equal files with ``group_no``: most wasted bytes first, then the first path."""
+    return numbered(groups, F.desc("wasted"), F.asc("first_path"), name="group_no")
 
 
 def structure_order(issues: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+import stowage.queries_reports  # noqa: F401
 from stowage.queries import ORACLE, QUERIES
 
 
