@@ -118,10 +118,10 @@ def normalize_name(stem: Column) -> Column:
 
 
 def copy_name_score(name: Column, extra: list[str] | None = None) -> Column:
-    """2 for each strong word, 1 for a weak word, 1 for a number in parentheses at the end, 2 for each of the user's words."""
+    """2 for each strong word, 1 for each weak word, 1 for a number in parentheses at the end, 2 for each of the user's words."""
     words = F.split(F.lower(name), r"[^\p{L}\p{N}]+")
     strong = F.size(F.filter(words, lambda w: w.isin("kopie", "copy", "backup", "sicherung"))) * 2
-    weak = F.when(F.arrays_overlap(words, F.array(F.lit("alt"), F.lit("old"), F.lit("bak"))), 1).otherwise(0)
+    weak = F.size(F.filter(words, lambda w: w.isin("alt", "old", "bak")))
     score = strong + weak + F.when(F.trim(name).rlike(r"\([0-9]+\)$"), 1).otherwise(0)
     for word in extra or ():
         score = score + F.when(F.contains(F.lower(name), F.lit(word.lower())), 2).otherwise(0)

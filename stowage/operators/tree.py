@@ -69,7 +69,7 @@ def structure_issues(files: DataFrame, dirs: DataFrame, root: str, max_depth: in
     return facts.select("dir_key", F.explode(issues).alias("issue"))
 
 
-def _content(files: DataFrame) -> DataFrame:
+def content(files: DataFrame) -> DataFrame:
     """Files that count for comparing folders."""
     return files.where(~F.col("name").rlike(names.JUNK_NAMES) & (F.lower("name") != "desktop.ini"))
 
@@ -83,7 +83,7 @@ def fingerprints(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
     are not complete, or hold cloud files, links or files without a hash, have
     none.
     """
-    some = _content(files)
+    some = content(files)
     bad = F.col("cloud_only") | F.col("is_link") | ((F.col("size") > 0) & F.col("full_hash").isNull())
     rows = to_ancestors(some.select("dir_key", "path_key", "size", "full_hash", bad.alias("bad")), root)
     line = F.concat_ws("|", F.expr("substr(path_key, length(ancestor) + 1)"), F.col("size").cast("string"), F.when(F.col("size") == 0, "0").otherwise(F.col("full_hash")))
@@ -127,7 +127,7 @@ def partial_pairs(files: DataFrame, exact: DataFrame, least: float = 0.8, most:
     than ``most`` folders hold say nothing about a pair and make none (part of
     the operator's definition).
     """
-    some = _content(files).where("size > 0 and full_hash is not null and not is_link and not cloud_only")
+    some = content(files).where("size > 0 and full_hash is not null and not is_link and not cloud_only")
     held = some.groupBy("dir_key", "size", "full_hash").agg(F.count("*").alias("n"))
     few = held.groupBy("size", "full_hash").agg(F.count("*").alias("folders")).where((F.col("folders") > 1) & (F.col("folders") <= most)).select("size", "full_hash")
     bytes_ = held.groupBy("dir_key").agg(F.sum(F.col("n") * F.col("size")).alias("bytes"))
@@ -150,7 +150,7 @@ def partial_tree_pairs(files: DataFrame, exact: DataFrame, root: str, least: flo
     A pair whose parents are such a pair too is left out. Contents of more than
     ``most`` files say nothing about a pair.
     """
-    some = _content(files).where("size > 0")
+    some = content(files).where("size > 0")
     key = ["size", "full_hash"]
     up = F.filter(F.reverse(paths.ancestors(F.col("dir_key"), root)), lambda x: x != root)
     own = some.groupBy("dir_key").agg(F.sum("size").alias("size"))

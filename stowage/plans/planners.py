@@ -58,23 +58,73 @@ def plan_dedupe(files: DataFrame, keep: str = "oldest", prefix: str = "", protec
     return _plan(rows, reason, "quarantine", F.concat(F.lit(".quarantine"), "path"), F.lit("exact-duplicate"))
 
 
-def plan_dedupe_dirs(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
-    """Equal folders: of each topmost group one stays (lowest score of copy words, newest time, shorter, smaller key).
-
-    Only folders whose parent has no equal are acted on, so nothing inside a
-    folder that goes or stays is planned twice.
+def _all_linked(files: DataFrame, pairs: DataFrame, root: str) -> DataFrame:
+    """``dir_key`` of the folders in ``pairs`` (``dir_key, keep``) all of whose files are further names of the files at
+    the same place in ``keep`` (JN15): taking them away would free nothing."""
+    names_ = files.select("path_key", F.when(F.col("file_index").isNotNull(), F.col("volume_serial")).alias("_v"), F.when(F.col("volume_serial").isNotNull(), F.col("file_index")).alias("_i"))
+    below = trees.to_ancestors(trees.content(files).select("dir_key", "path_key"), root).select("path_key", F.col("ancestor").alias("dir_key")).join(pairs, "dir_key")
+    twin = F.concat("keep", F.expr("substr(path_key, length(dir_key) + 1)"))
+    both = below.withColumn("_t", twin).join(names_, "path_key").join(names_.select(F.col("path_key").alias("_t"), F.col("_v").alias("_tv"), F.col("_i").alias("_ti")), "_t", "left")
+    same = F.coalesce((F.col("_v") == F.col("_tv")) & (F.col("_i") == F.col("_ti")), F.lit(False))
+    return both.groupBy("dir_key").agg(F.bool_and(same).alias("_linked")).where("_linked")
+
+
+def plan_dedupe_dirs(
+    files: DataFrame, dirs: DataFrame, root: str, keep: str = "newest", prefix: str = "", protect: list[str] = (), copy_words: list[str] = (), min_bytes: int = 0
+) -> DataFrame:
+    """Of equal folders one stays, the others go to quarantine (``path, action, target, reason, keep``).
+
+    Groups are taken from the highest trees down, since a choice binds those below: a folder inside one that goes is not
+    looked at, one inside a folder that stays is locked (it stays, and is first choice to be kept). The rest of the
+    choice: lowest score of copy words, oldest or newest file, shorter key, key; with ``path`` only folders below
+    ``prefix`` may stay. Skips: protected (something in the folder is), group-incomplete (none is left to compare with,
+    or none may stay), path-too-long, hardlink. The archive takes no part.
+
+    One step for each height, at most as many as a path has levels; a step sees only its own groups.
     """
-    groups = settle(trees.folder_groups(trees.fingerprints(files, dirs, root)))
-    tops = groups.join(groups.select(F.col("dir_key").alias("_p")), F.regexp_extract("dir_key", "^(.*/)[^/]+/$", 1) == F.col("_p"), "left_anti")
-    stats = trees.subtree_stats(files, dirs, root).select("dir_key", "newest")
-    score = names.copy_name_score(paths.name_of(F.col("dir_key")))
-    ranked = tops.join(stats, "dir_key").withColumn("r", F.struct(score.alias("s"), (-F.col("newest")).alias("t"), F.length("dir_key").alias("l"), "dir_key"))
-    best = ranked.groupBy("fingerprint").agg(F.min("r.s").alias("_s"), F.min("r").alias("k"), F.count("*").alias("n")).where("n > 1")
-    rows = ranked.join(best, "fingerprint").where(F.col("dir_key") != F.col("k.dir_key"))
-    rows = settle(rows.select("dir_key", "k"))
-    inside = rows.where(F.startswith(F.col("k.dir_key"), F.col("dir_key")) | F.startswith(F.col("dir_key"), F.col("k.dir_key")))
-    rows = rows.join(inside.select("dir_key"), "dir_key", "left_anti")
-    return rows.select(F.col("dir_key").alias("path"), F.lit("quarantine").alias("action"), F.concat(F.lit(".quarantine"), "dir_key").alias("target"), F.lit("duplicate-folder").alias("reason"))
+    own = files.groupBy("dir_key").agg(F.bool_or(protected(F.col("path"), protect)).alias("_p"), F.max(F.length("path")).alias("_l"), F.max("mtime").alias("_m"))
+    own = own.join(trees.content(files).select("dir_key", paths.depth(F.col("dir_key")).alias("_d")).distinct(), "dir_key", "left")
+    every = dirs.select("dir_key").join(own, "dir_key", "left").withColumn("_p", F.coalesce("_p", F.lit(False)) | protected(F.col("dir_key"), protect))
+    below = trees.to_ancestors(every, root).groupBy(F.col("ancestor").alias("dir_key")).agg(F.bool_or("_p").alias("prot"), F.max("_l").alias("longest"), F.max("_m").alias("newest"), F.max("_d").alias("deepest"))
+    groups = trees.folder_groups(trees.fingerprints(files, dirs, root)).where((F.col("bytes") >= min_bytes) & ~F.startswith("dir_key", F.lit(root + ARCHIVE.lower())))
+    score = names.copy_name_score(paths.name_of(F.col("dir_key")), list(copy_words))
+    order = F.struct(score.alias("s"), (-F.col("newest") if keep == "newest" else F.col("newest")).alias("t"), F.length("dir_key").alias("l"), F.col("dir_key").alias("k"))
+    allowed = paths.is_under(F.col("dir_key"), F.lit(prefix)) if keep == "path" else F.lit(True)
+    members = settle(groups.join(below, "dir_key").select("dir_key", "fingerprint", "prot", "longest", (F.col("deepest") - paths.depth(F.col("dir_key"))).alias("height"), order.alias("o"), allowed.alias("may")))
+    no, done, levels = F.lit(False), None, []
+    for (height,) in members.select("height").distinct().orderBy(F.desc("height")).collect():
+        some = members.where(F.col("height") == height)
+        if done is None:
+            some = some.withColumn("locked", no)
+        else:
+            up = some.select("dir_key", F.explode(paths.ancestors(F.col("dir_key"), root)).alias("above")).join(done, "above")
+            bound = up.groupBy("dir_key").agg(F.bool_or(F.col("state") == "remove").alias("gone"), F.bool_or(F.col("state") == "keep").alias("locked"))
+            some = some.join(bound, "dir_key", "left").where(~F.coalesce("gone", no)).withColumn("locked", F.coalesce("locked", no))
+        free = ~F.col("prot")
+        best = some.groupBy("fingerprint").agg(F.count_if(free).alias("n"), F.count_if("prot").alias("np"), F.min(F.when(free & F.col("may"), F.struct(~F.col("locked"), "o"))).alias("b"))
+        rows = some.join(best, "fingerprint").withColumn("keep", F.when(F.col("n") > 1, F.col("b.o.k")))
+        move = free & F.col("keep").isNotNull() & (F.col("dir_key") != F.col("keep")) & ~F.col("locked")
+        linked = _all_linked(files, rows.where(move).select("dir_key", "keep"), root)
+        state = (
+            F.when(F.col("prot"), "protected").when((F.col("n") < 2) & (F.col("np") > 0), "group-incomplete").when((F.col("n") > 1) & F.col("keep").isNull(), "group-incomplete")
+            .when(move & (F.col("longest") + len(".quarantine") > MAX_PATH), "path-too-long").when(move & F.coalesce("_linked", no), "hardlink").when(move, "remove")
+        )
+        named = (F.col("o.s") > F.col("b.o.s")) & F.lit(keep != "path")
+        level = settle(rows.join(linked, "dir_key", "left").withColumn("state", state).where("state is not null").select("dir_key", "keep", "state", named.alias("named")))
+        levels.append(level)
+        gone = level.where("state = 'remove'")
+        now = gone.select(F.col("dir_key").alias("above"), "state").unionAll(gone.select("keep", F.lit("keep")).distinct())
+        done = now if done is None else done.unionAll(now)
+    if not levels:
+        return members.select(F.col("dir_key").alias("path"), *(F.lit(None).cast("string").alias(c) for c in ("action", "target", "reason", "keep")))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionAll(level)
+    goes = F.col("state") == "remove"
+    return out.select(
+        F.col("dir_key").alias("path"), F.when(goes, "quarantine").otherwise("skip").alias("action"), F.when(goes, F.concat(F.lit(".quarantine"), "dir_key")).alias("target"),
+        F.when(goes, F.concat(F.lit("exact-duplicate-dir"), F.when(F.col("named"), ":copy-name").otherwise(""))).otherwise(F.col("state")).alias("reason"), F.when(goes, F.col("keep")).alias("keep"),
+    )
 
 
 def plan_junk(files: DataFrame, now: int, protect: list[str] = (), active: list[junk.Category] | None = None) -> DataFrame:

@@ -193,7 +193,7 @@ def path_keys(spark, d):
 
 
 @query(FILES_SQL + """ SELECT path_key, (2 * len(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w IN ('kopie', 'copy', 'backup', 'sicherung')))
-  + CASE WHEN list_has_any(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), ['alt', 'old', 'bak']) THEN 1 ELSE 0 END + CASE WHEN regexp_matches(trim(name), '\\([0-9]+\\)$') THEN 1 ELSE 0 END)::BIGINT AS score FROM files""")
+  + len(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w IN ('alt', 'old', 'bak'))) + CASE WHEN regexp_matches(trim(name), '\\([0-9]+\\)$') THEN 1 ELSE 0 END)::BIGINT AS score FROM files""")
 def copy_name_score(spark, d):
     return _files(spark, d).select("path_key", names.copy_name_score(F.col("name")).alias("score"))
 
@@ -370,13 +370,37 @@ def partial_tree_pairs(spark, d):
     return tree.partial_tree_pairs(f, tree.folder_groups(tree.fingerprints(f, _dirs(spark, d), ROOT)), ROOT, least=0.2)
 
 
-@query(TREE_SQL + "," + _PRINTS + r""",
-t AS (SELECT e.*, (2 * len(list_filter(string_split_regex(regexp_extract(e.dir_key, '([^/]+)/*$', 1), '[^\p{L}\p{N}]+'), lambda w: w IN ('kopie', 'copy', 'backup', 'sicherung')))) AS s, st.newest FROM eq e JOIN st USING (dir_key)
-  WHERE folders > 1 AND NOT EXISTS (SELECT 1 FROM eq p WHERE p.folders > 1 AND p.dir_key = regexp_extract(e.dir_key, '^(.*/)[^/]+/$', 1))),
-r AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY s, newest DESC, length(dir_key), dir_key) AS r, count(*) OVER (PARTITION BY print) AS n FROM t)
-SELECT dir_key AS path, 'quarantine' AS action, '.quarantine' || dir_key AS target, 'duplicate-folder' AS reason FROM r WHERE r > 1 AND n > 1""")
+def _dedupe_dirs_sql(order: str, allowed: str, highest: int = 5) -> str:
+    """Groups from the highest trees down; what a level removes or keeps counts for those below."""
+    score = r"""(2 * len(list_filter(string_split_regex(lower(nm), '[^\p{L}\p{N}]+'), lambda w: w IN ('kopie', 'copy', 'backup', 'sicherung'))) + len(list_filter(string_split_regex(lower(nm), '[^\p{L}\p{N}]+'), lambda w: w IN ('alt', 'old', 'bak')))
+  + CASE WHEN regexp_matches(trim(nm), '\([0-9]+\)$') THEN 1 ELSE 0 END)"""
+    out = TREE_SQL + "," + _PRINTS + rf""",
+hc AS (SELECT DISTINCT dir_key FROM ct),
+hg AS (SELECT e.dir_key, max(length(hc.dir_key) - length(replace(hc.dir_key, '/', ''))) - any_value(length(e.dir_key) - length(replace(e.dir_key, '/', ''))) AS height FROM eq e JOIN hc ON starts_with(hc.dir_key, e.dir_key) WHERE folders > 1 GROUP BY 1),
+pp AS (SELECT e.dir_key, coalesce(bool_or({_PROT('f.path')}), false) OR {_PROT('e.dir_key')} AS prot FROM eq e LEFT JOIN files f ON starts_with(f.path_key, e.dir_key) GROUP BY 1),
+m0 AS (SELECT e.*, height, newest, prot, regexp_extract(e.dir_key, '([^/]+)/*$', 1) AS nm FROM eq e JOIN hg USING (dir_key) JOIN st USING (dir_key) JOIN pp USING (dir_key) WHERE folders > 1 AND NOT starts_with(e.dir_key, '/c/_archiv/')),
+mem AS (SELECT *, {score} AS sc FROM m0),
+rm{highest + 1} AS (SELECT '' AS dir_key WHERE false), kp{highest + 1} AS (SELECT '' AS dir_key WHERE false)"""
+    for h in range(highest, -1, -1):
+        out += f""",
+a{h} AS (SELECT *, EXISTS (SELECT 1 FROM kp{h + 1} k WHERE starts_with(mem.dir_key, k.dir_key)) AS locked, {allowed} AS allowed FROM mem WHERE height = {h} AND NOT EXISTS (SELECT 1 FROM rm{h + 1} r WHERE starts_with(mem.dir_key, r.dir_key))),
+b{h} AS (SELECT *, count(*) FILTER (NOT prot) OVER (PARTITION BY print) AS n, count(*) FILTER (prot) OVER (PARTITION BY print) AS np, row_number() OVER (PARTITION BY print ORDER BY (prot OR NOT allowed)::INT, (NOT locked)::INT, {order}, length(dir_key), dir_key) AS r FROM a{h}),
+c{h} AS (SELECT *, max(CASE WHEN r = 1 AND NOT prot AND allowed THEN dir_key END) OVER (PARTITION BY print) AS keep, max(CASE WHEN r = 1 THEN sc END) OVER (PARTITION BY print) AS ksc FROM b{h}),
+s{h} AS (SELECT dir_key, keep, sc > ksc AS named, CASE WHEN prot THEN 'protected' WHEN n < 2 THEN CASE WHEN np > 0 THEN 'group-incomplete' END WHEN keep IS NULL THEN 'group-incomplete' WHEN dir_key = keep OR locked THEN NULL ELSE 'remove' END AS st FROM c{h}),
+rm{h} AS (SELECT dir_key FROM rm{h + 1} UNION ALL SELECT dir_key FROM s{h} WHERE st = 'remove'), kp{h} AS (SELECT dir_key FROM kp{h + 1} UNION ALL SELECT DISTINCT keep FROM s{h} WHERE st = 'remove')"""
+    return out + ", every AS (" + " UNION ALL ".join(f"SELECT * FROM s{h}" for h in range(highest + 1)) + """)
+SELECT dir_key AS path, CASE st WHEN 'remove' THEN 'quarantine' ELSE 'skip' END AS action, CASE st WHEN 'remove' THEN '.quarantine' || dir_key END AS target, CASE st WHEN 'remove' THEN 'exact-duplicate-dir' || CASE WHEN named AND NAMED THEN ':copy-name' ELSE '' END ELSE st END AS reason,
+  CASE st WHEN 'remove' THEN keep END AS keep FROM every WHERE st IS NOT NULL"""
+
+
+@query(_dedupe_dirs_sql("sc, newest DESC", "true").replace("AND NAMED", ""))
 def plan_dedupe_dirs(spark, d):
-    return planners.plan_dedupe_dirs(_files(spark, d), _dirs(spark, d), ROOT)
+    return planners.plan_dedupe_dirs(_files(spark, d), _dirs(spark, d), ROOT, "newest", protect=PROTECT)
+
+
+@query(_dedupe_dirs_sql("sc, newest", "starts_with(mem.dir_key, '/c/kopie/')").replace("AND NAMED", "AND false"))
+def plan_dedupe_dirs_path(spark, d):
+    return planners.plan_dedupe_dirs(_files(spark, d), _dirs(spark, d), ROOT, "path", prefix="/c/kopie", protect=PROTECT)
 
 
 @query(TREE_SQL + r""",
