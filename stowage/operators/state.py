@@ -50,3 +50,10 @@ def cache_state(files: DataFrame, cache: DataFrame, fingerprint: str, version: i
     same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")) & (F.col("extractor_version") == version)
     state = F.when(F.col("_size").isNull(), "new").when(~same, "reextract").when(F.col("defs_fingerprint") != fingerprint, "reassign").otherwise("valid")
     return out.select("path_key", state.alias("state"))
+
+
+def cache_store(cache: DataFrame, records: DataFrame) -> DataFrame:
+    """The content cache after a block of records (SNK07): of each ``path_key`` the record that was classified last, in full."""
+    both = cache.unionByName(records)
+    last = F.max_by(F.struct(*both.columns), F.struct("classified_at", "extractor_version"))
+    return both.groupBy("path_key").agg(last.alias("r")).select("r.*")
