@@ -31,6 +31,12 @@ def protected(path: Column, prefixes: list[str], markers: list[str] = ("/.git/",
     return out
 
 
+def _guarded(rows: DataFrame, prefixes: list[str]) -> Column:
+    """Protected by its path, or by ``protection`` where the files went through ``protect.protection`` (projects, system, app data)."""
+    out = protected(F.col("path"), prefixes)
+    return out | F.col("protection").isNotNull() if "protection" in rows.columns else out
+
+
 def _plan(rows: DataFrame, reason: Column, action: str, target: Column, why: Column) -> DataFrame:
     return rows.select(
         "path",
@@ -45,7 +51,8 @@ def plan_dedupe(files: DataFrame, keep: str = "oldest", prefix: str = "", protec
 
     The one kept is an aggregate of the group, so a group is no window.
     """
-    some = local(files).join(exact_dups(files).select(*KEY), KEY).withColumn("_protected", protected(F.col("path"), protect))
+    some = local(files).join(exact_dups(files).select(*KEY), KEY)
+    some = some.withColumn("_protected", _guarded(some, protect))
     order = {"oldest": F.col("mtime"), "newest": -F.col("mtime"), "path": F.when(F.startswith("path_key", F.lit(prefix)), 0).otherwise(1)}[keep]
     open_ = some.where(~F.col("_protected"))
     best = open_.groupBy(*KEY).agg(F.count("*").alias("_n"), F.min(F.struct(order.alias("o"), F.length("path_key").alias("l"), "path_key", "volume_serial", "file_index")).alias("k"))
@@ -82,7 +89,7 @@ def plan_dedupe_dirs(
 
     One step for each height, at most as many as a path has levels; a step sees only its own groups.
     """
-    own = files.groupBy("dir_key").agg(F.bool_or(protected(F.col("path"), protect)).alias("_p"), F.max(F.length("path")).alias("_l"), F.max("mtime").alias("_m"))
+    own = files.groupBy("dir_key").agg(F.bool_or(_guarded(files, protect)).alias("_p"), F.max(F.length("path")).alias("_l"), F.max("mtime").alias("_m"))
     own = own.join(trees.content(files).select("dir_key", paths.depth(F.col("dir_key")).alias("_d")).distinct(), "dir_key", "left")
     every = dirs.select("dir_key").join(own, "dir_key", "left").withColumn("_p", F.coalesce("_p", F.lit(False)) | protected(F.col("dir_key"), protect))
     below = trees.to_ancestors(every, root).groupBy(F.col("ancestor").alias("dir_key")).agg(F.bool_or("_p").alias("prot"), F.max("_l").alias("longest"), F.max("_m").alias("newest"), F.max("_d").alias("deepest"))
@@ -135,7 +142,7 @@ def plan_junk(files: DataFrame, now: int, protect: list[str] = (), active: list[
     active = junk.categories() if active is None else active
     rows = files.withColumn("_c", junk.match(F.col("name"), F.col("dir_key"), active)).where("_c is not null")
     reason = (
-        F.when(protected(F.col("path"), protect), "protected")
+        F.when(_guarded(rows, protect), "protected")
         .when(F.col("cloud_only"), "cloud-only")
         .when(F.col("is_link"), "link")
         .when(junk.too_recent(F.col("_c"), F.col("mtime"), now, active), "too-recent")

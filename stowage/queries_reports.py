@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import checks, formats, names, paths
-from .operators import health, order, review, template, tree
-from .plans import planners
-from .queries import _DUPS, _HEALTH, _PARTS, _STATS, _VALUE, ORACLE, _dirs, _files, _metrics, _template, exact_dups, plan_empty_dirs, plan_versions, problems, query, structure_issues
+from .operators import content, health, order, review, template, tree
+from .plans import planners, protect
+from .queries import _DUPS, _HEALTH, _PARTS, _STATS, _VALUE, ORACLE, PROTECT, _dirs, _files, _metrics, _template, exact_dups, plan_empty_dirs, plan_versions, problems, query, structure_issues
 from .sources import bindings, readers
 from .sources.bindings import FILES_SQL, ROOT, TREE_SQL
 from .sources.listing import excluded_file
@@ -232,3 +232,78 @@ SELECT doc_id, n >= 50 OR n // greatest(1, least(coalesce(pages, 1), 30)) >= 20
 def layers_usable(spark, d):
     pages = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 50)
     return bindings.table(spark, d, "documents").select("doc_id", checks.layer_usable(F.col("text"), pages).alias("usable"))
+
+
+# ---------------------------------------------------------------- classified content
+_CACHE = """SELECT path_key, CASE WHEN file_id % 10 = 9 THEN size + 1 ELSE size END AS size, mtime, CASE file_id % 8 WHEN 1 THEN 'unsupported' WHEN 2 THEN 'too_large' WHEN 3 THEN 'unreadable' ELSE 'ok' END AS status,
+  CASE WHEN file_id % 8 = 3 THEN CASE WHEN file_id % 16 = 3 THEN 'password' ELSE 'broken' END END AS why, CASE file_id % 5 WHEN 0 THEN 'foto' WHEN 1 THEN 'rechnung' WHEN 2 THEN 'vertrag' END AS category,
+  (file_id % 10) / 10 + 0.05 AS confidence, CASE file_id % 7 WHEN 0 THEN 'llm' ELSE 'rules' END AS source, CASE file_id % 4 WHEN 0 THEN 'layer' WHEN 1 THEN 'office' WHEN 2 THEN 'ocr' ELSE 'none' END AS text_source, file_id FROM {files} WHERE file_id % 6 > 0"""
+_CONTENT = FILES_SQL + f""",
+ca AS ({_CACHE.format(files='files')}),
+fd AS (SELECT f.path, f.size, CASE WHEN f.cloud_only THEN 'cloud' WHEN coalesce(ca.size = f.size AND ca.mtime = f.mtime, false) THEN 'known' ELSE 'new' END AS state, ca.* EXCLUDE (path_key, size, mtime, file_id), f.file_id
+  FROM files f LEFT JOIN ca USING (path_key) WHERE NOT f.is_link),
+kn AS (SELECT *, source = 'llm' OR file_id % 21 = 5 AS bymodel, status = 'ok' AND category IS NOT NULL AND confidence < 0.8 AS rev FROM fd WHERE state = 'known')"""
+
+
+def _content(spark, d):
+    made = spark.sql(_CACHE, files=_files(spark, d))
+    k = F.col("file_id")
+    exif = F.map_concat(
+        F.when(k % 2 == 0, F.create_map(F.lit("exif.country"), F.concat(F.lit("L"), (k % 17).cast("string")))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(k % 4 == 0, F.create_map(F.lit("exif.city"), F.concat(F.lit("S"), (k % 3).cast("string")))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(k % 3 == 0, F.create_map(F.lit("exif.camera"), F.concat(F.lit("K"), (k % 13).cast("string")))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    sources = F.when(k % 21 == 5, F.create_map(F.lit("doc.date"), F.lit("llm"))).otherwise(F.create_map(F.lit("doc.date"), F.lit("pattern")))
+    cache = made.withColumns({"fields": exif, "field_sources": sources, "category2": F.lit(None).cast("string"), "confidence2": F.lit(None).cast("double")}).drop("file_id")
+    return content.records(_files(spark, d), cache), cache
+
+
+_COUNTS = """count(*) FILTER (status = 'unsupported') AS unsupported, count(*) FILTER (status = 'too_large') AS too_large, count(*) FILTER (status = 'unreadable') AS unreadable, count(*) FILTER (category IS NULL) AS uncategorized,
+  count(*) FILTER (text_source IN ('layer', 'office')) AS text, count(*) FILTER (text_source = 'ocr') AS ocr, count(*) FILTER (text_source = 'none' AND (file_id % 2 = 0 OR file_id % 3 = 0)) AS meta, count(*) FILTER (bymodel) AS llm, count(*) FILTER (rev) AS review"""
+
+
+@query(_CONTENT + f" SELECT (SELECT count(*) FROM fd) AS files, count(*) AS classified, (SELECT count(*) FROM fd WHERE state = 'cloud') AS cloud_only, (SELECT count(*) FROM fd WHERE state = 'new') AS not_classified, {_COUNTS} FROM kn")
+def content_totals(spark, d):
+    return content.totals(_content(spark, d)[0])
+
+
+@query(_CONTENT + f", al AS (SELECT *, source = 'llm' OR file_id % 21 = 5 AS bymodel, status = 'ok' AND category IS NOT NULL AND confidence < 0.8 AS rev FROM ca) SELECT count(*) AS files, count(*) AS classified, 0::BIGINT AS cloud_only, 0::BIGINT AS not_classified, {_COUNTS} FROM al")
+def classify_summary(spark, d):
+    return content.totals(content.of_records(_content(spark, d)[1]))
+
+
+@query(_CONTENT + " SELECT category, count(*) AS files, sum(size)::BIGINT AS size, round(count(*) / (SELECT count(*) FROM kn), 6) AS share, count(*) FILTER (source = 'llm') AS llm FROM kn WHERE category IS NOT NULL GROUP BY 1")
+def content_categories(spark, d):
+    return content.by_category(_content(spark, d)[0])
+
+
+@query(_CONTENT + " SELECT why, count(*) AS files FROM kn WHERE status = 'unreadable' GROUP BY 1")
+def content_unreadable(spark, d):
+    return content.unreadable(_content(spark, d)[0])
+
+
+@query(_CONTENT + """, la AS (SELECT 'place' AS kind, 'L' || (file_id % 17) || CASE WHEN file_id % 4 = 0 THEN ' S' || (file_id % 3) ELSE '' END AS label FROM kn WHERE category = 'foto' AND file_id % 2 = 0
+  UNION ALL SELECT 'camera', 'K' || (file_id % 13) FROM kn WHERE category = 'foto' AND file_id % 3 = 0)
+SELECT kind, label, count(*) AS files FROM la GROUP BY kind, label QUALIFY row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, label) <= 10""")
+def content_places(spark, d):
+    return content.places_and_cameras(_content(spark, d)[0])
+
+
+@query(_CONTENT + " SELECT path, category, round(confidence, 2)::DOUBLE AS confidence, NULL::VARCHAR AS category2, NULL::DOUBLE AS confidence2 FROM kn WHERE rev")
+def content_review(spark, d):
+    return content.review_list(_content(spark, d)[0]).withColumn("confidence", F.round(F.col("confidence").cast("double"), 2))
+
+
+# ---------------------------------------------------------------- protection
+_MARKED = FILES_SQL + r""",
+f2 AS (SELECT *, CASE WHEN file_id % 199 = 7 THEN 'package.json' WHEN file_id % 211 = 3 THEN 'App.SLN' WHEN file_id % 97 = 1 THEN 'cargo.toml.bak' ELSE name END AS nm FROM files),
+mk AS (SELECT DISTINCT dir_key FROM f2 WHERE NOT is_link AND regexp_matches(nm, '(?i)^(cargo\.toml|package\.json|.*\.(sln|csproj))$'))"""
+
+
+@query(_MARKED + r"""SELECT path_key, CASE WHEN starts_with(path_key, '/c/src0/') THEN 'system' WHEN starts_with(path_key, '/c/src7/') THEN 'user-path' WHEN starts_with(path_key, '/c/src4/en/') THEN 'appdata'
+  WHEN EXISTS (SELECT 1 FROM mk WHERE starts_with(f2.dir_key, mk.dir_key)) THEN 'project-marker' END AS protection FROM f2""")
+def protection(spark, d):
+    k = F.col("file_id")
+    named = F.when(k % 199 == 7, "package.json").when(k % 211 == 3, "App.SLN").when(k % 97 == 1, "cargo.toml.bak").otherwise(F.col("name"))
+    files = _files(spark, d).withColumn("name", named)
+    return protect.protection(files, ROOT, user=PROTECT, system=["/c/src0"], appdata=["/c/src4/en"]).select("path_key", "protection")

@@ -59,6 +59,17 @@ def test_folders_that_cannot_go(spark):
     assert plan(spark, {"/c/a/1": ("h", 5, 1)}) == set()
 
 
+def test_projects_are_protected(spark):
+    from stowage.plans import protect
+
+    files, dirs = inventory(spark, {"/c/p/Package.json": ("h", 1, 1), "/c/p/sub/a.tmp": ("g", 1, 2), "/c/q/a.tmp": ("g", 2, 3), "/c/q/.git/x.tmp": ("g", 3, 4), "/c/r/my.csproj.txt": ("k", 1, 5), "/c/r/b.tmp": ("l", 1, 6)})
+    guarded = protect.protection(files, "/c/", user=["/c/nothing"])
+    assert {(r.name, r.protection) for r in guarded.collect()} == {("Package.json", "project-marker"), ("a.tmp", "project-marker"), ("a.tmp", None), ("x.tmp", "name"), ("my.csproj.txt", None), ("b.tmp", None)}
+    got = {(r.path, r.reason) for r in planners.plan_junk(guarded, 10**15).collect()}
+    assert got == {("/c/p/sub/a.tmp", "protected"), ("/c/q/a.tmp", "junk:temp"), ("/c/q/.git/x.tmp", "protected"), ("/c/r/b.tmp", "junk:temp")}
+    assert {(r.path, r.reason) for r in planners.plan_dedupe(guarded).collect()} == {("/c/p/sub/a.tmp", "protected"), ("/c/q/a.tmp", "group-incomplete"), ("/c/q/.git/x.tmp", "protected")}
+
+
 def test_health(spark):
     day = 864_000_000_000
     files, dirs = inventory(spark, {"/c/a/Bericht v1.doc": ("h", 0, 1), "/c/a/bericht v2.doc": ("g", 999 * day, 2), "/c/_Archiv/x v1.doc": ("k", 0, 3), "/c/_Archiv/x v2.doc": ("l", 0, 4), "/c/a/cloud.tmp": ("m", 999 * day, 5)})
