@@ -96,25 +96,32 @@ _COPIES = r"((\s?-\s?|\s)(kopie|copy)(\s?\([0-9]+\))?|\s?\([0-9]+\))+$"
 _TOKEN = r"(^|[\s-])(v[0-9]+|version\s*[0-9]+|rev\s*[0-9]+|final|endgültig|neu|new|alt|old)($|[\s-])"
 
 
-def _until_stable(text: Column, again: Column, step) -> Column:
-    """``step`` applied until it changes nothing: each useful step takes a character at least, and most texts need no second one."""
-    return F.when(again, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), text, lambda s, _: step(s))).otherwise(text)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _until_stable(text: Column, pattern: str, step) -> Column:
+    """``step`` applied until it changes nothing: texts without the pattern need none, each useful step takes a character at least."""
+    loop = lambda t: F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), t, lambda s, _: F.when(s.rlike(pattern), step(s)).otherwise(s))
+    return _let(text, lambda t: F.when(t.rlike(pattern), loop(t)).otherwise(t))
 
 
 def normalize_name(stem: Column) -> Column:
     """The form that copies and versions of a name have in common."""
     dates = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, rf"^{_DATE}([\s-]+|$)", ""), rf"(^|[\s-]+){_DATE}$", ""))
-    original = F.lower(F.trim(stem))
-    # runs of white space are one space in the end, so they can be so from the start
-    out = dates(F.regexp_replace(F.replace(original, F.lit("_"), F.lit(" ")), r"\s+", " "))
-    out = F.regexp_replace(out, "^(copy of|kopie von) ", "")
-    out = F.trim(F.regexp_replace(out, _COPIES, ""))
-    # versions share separators, and one that goes can leave the parts of another side by side
-    drop = lambda s: F.trim(F.regexp_replace(s, _TOKEN, " "))
-    once = F.when(out.rlike(_TOKEN), drop(out)).otherwise(out)
-    out = _until_stable(once, once.rlike(_TOKEN), drop)
-    out = F.trim(F.regexp_replace(dates(out), r"[\s-]+", " "))
-    return F.when(out == "", original).otherwise(out)
+
+    def normal(original: Column) -> Column:
+        # runs of white space are one space in the end, so they can be so from the start
+        out = dates(F.regexp_replace(F.replace(original, F.lit("_"), F.lit(" ")), r"\s+", " "))
+        out = F.regexp_replace(out, "^(copy of|kopie von) ", "")
+        out = F.trim(F.regexp_replace(out, _COPIES, ""))
+        # versions share separators, and one that goes can leave the parts of another side by side
+        out = _until_stable(out, _TOKEN, lambda s: F.trim(F.regexp_replace(s, _TOKEN, " ")))
+        out = F.trim(F.regexp_replace(dates(out), r"[\s-]+", " "))
+        return _let(out, lambda o: F.when(o == "", original).otherwise(o))
+
+    return _let(F.lower(F.trim(stem)), normal)
 
 
 def copy_name_score(name: Column, extra: list[str] | None = None) -> Column:
@@ -144,7 +151,7 @@ def tidy_name(name: Column, copies: bool = True, umlauts: bool = True, spaces: s
         has = n.rlike(r"(?s)^.+\.[^.]*$")
         stem, ext = F.when(has, F.regexp_extract(n, r"(?s)^(.+)\.[^.]*$", 1)).otherwise(n), F.regexp_extract(n, r"(?s)^.+(\.[^.]*)$", 1)
         if copies:
-            bare = _until_stable(stem, stem.rlike(_COPY_END), lambda s: F.rtrim(F.regexp_replace(s, _COPY_END, "")))
+            bare = _until_stable(stem, _COPY_END, lambda s: F.rtrim(F.regexp_replace(s, _COPY_END, "")))
             stem = F.when(bare == "", stem).otherwise(bare)
         if umlauts:
             for a, b in _UMLAUTS.items():
