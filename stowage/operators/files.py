@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
+from ..scratch import settle
 
 
 def counted(files: DataFrame) -> DataFrame:
@@ -111,6 +112,8 @@ def similar_groups(files: DataFrame) -> DataFrame:
     """
     stem, ext = names.split_stem(F.col("name"))
     some = files.where(~F.col("is_link")).select("path_key", "dir_key", "size", "mtime", "full_hash", "cloud_only", "is_link", "path", ext.alias("group_ext"), names.normalize_name(stem).alias("normal"))
+    # three uses: the normal forms are worked out once
+    some = settle(some)
     groups = some.groupBy("dir_key", "normal", "group_ext").agg(F.count("*").alias("members")).where("members > 1")
     same = some.where("full_hash is not null").groupBy("dir_key", "normal", "group_ext", "full_hash", "size").agg(F.count("*").alias("_same"))
     keys = ["dir_key", "normal", "group_ext"]
