@@ -107,3 +107,16 @@ def test_history_is_appended(spark, tmp_path):
 @pytest.mark.parametrize(("name", "score"), [("old alt", 2), ("Kopie von x (2)", 3), ("plan", 0)])
 def test_words_of_copies(spark, name, score):
     assert spark.range(1).select(names.copy_name_score(F.lit(name)).alias("s")).first().s == score
+
+
+def test_review_order(spark):
+    from stowage.operators import review
+
+    rows = spark.createDataFrame([("/c/b", "move", "/c/y", "r", 5, 3), ("/c/A", "quarantine", None, "s", 5, 1), ("/c/d/", "remove-dir", None, "a", 0, 2)], "path string, action string, target string, reason string, size long, mtime long")
+    got = {c: [r.path for r in review.ordered(rows, c).collect()] for c in ("action", "source", "target", "size", "reason", "age")}
+    assert got == {
+        "action": ["/c/A", "/c/b", "/c/d/"], "source": ["/c/A", "/c/b", "/c/d/"], "target": ["/c/A", "/c/d/", "/c/b"],
+        "size": ["/c/d/", "/c/A", "/c/b"], "reason": ["/c/d/", "/c/b", "/c/A"], "age": ["/c/A", "/c/d/", "/c/b"],
+    }
+    assert [r.path for r in review.ordered(rows, "age", ascending=False).collect()] == ["/c/b", "/c/d/", "/c/A"]
+    assert [r.path for r in review.ordered(rows, "target", ascending=False).collect()] == ["/c/b", "/c/A", "/c/d/"]
