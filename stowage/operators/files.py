@@ -108,10 +108,10 @@ def problems(files: DataFrame, dirs: DataFrame, hosts: list[str]) -> DataFrame:
 def similar_groups(files: DataFrame) -> DataFrame:
     """Members of groups of two and more files of one folder whose names have one normal form.
 
-    ``exact_duplicate``: another member has the same content.
+    ``exact_duplicate``: another member has the same content. ``row`` tells files apart, also those with one path.
     """
     stem, ext = names.split_stem(F.col("name"))
-    some = files.where(~F.col("is_link")).select("path_key", "dir_key", "size", "mtime", "full_hash", "cloud_only", "is_link", "path", ext.alias("group_ext"), names.normalize_name(stem).alias("normal"))
+    some = files.where(~F.col("is_link")).select("path_key", "dir_key", "size", "mtime", "full_hash", "cloud_only", "is_link", "path", ext.alias("group_ext"), names.normalize_name(stem).alias("normal"), F.monotonically_increasing_id().alias("row"))
     # three uses: the normal forms are worked out once
     some = settle(some)
     groups = some.groupBy("dir_key", "normal", "group_ext").agg(F.count("*").alias("members")).where("members > 1")
