@@ -248,7 +248,7 @@ def _occupied(files: DataFrame, dirs: DataFrame | None, wanted: DataFrame) -> Da
 
 def _free(rows: DataFrame, taken: DataFrame) -> DataFrame:
     """``rows`` with ``n``: in the order of their keys, the numbers of their base that nothing has."""
-    place = Window.partitionBy("base").orderBy("path_key")
+    place = Window.partitionBy("base").orderBy("path_key", "row")
     # the k-th free number is k and as many as are taken below it: those with less than k free ones before them
     told = taken.select("base", "n").distinct().select("base", (F.col("n") - F.row_number().over(Window.partitionBy("base").orderBy("n")) + 1).alias("v"))
     marks = rows.withColumn("v", F.row_number().over(place)).withColumn("mover", F.lit(1)).unionByName(told.withColumn("mover", F.lit(0)), allowMissingColumns=True)
@@ -278,11 +278,12 @@ def plan_rules(files: DataFrame, rules: list[Rule], now: int, root: str, dirs: D
         .when(F.col("_wanted").isNull(), "missing-field")
         .when(F.length("_wanted") > MAX_PATH, "path-too-long")
     )
-    found = settle(found.select("path", "path_key", "rule", "size", "full_hash", F.col("_wanted").alias("wanted"), F.lower("_wanted").alias("base"), reason.alias("reason")))
+    # several files may have one path: ``row`` tells them apart
+    found = settle(found.select("path", "path_key", "rule", "size", "full_hash", F.col("_wanted").alias("wanted"), F.lower("_wanted").alias("base"), reason.alias("reason"), F.monotonically_increasing_id().alias("row")))
     taken = settle(_occupied(files, dirs, found.where("reason is null")))
     rows = found.where("reason is null")
     # the first number at which a file stops: its own, one of an equal file, one of a folder
-    own = taken.where("not folder").select("base", F.col("key").alias("path_key"), F.col("n").alias("n_own"))
+    own = taken.where("not folder").groupBy("base", F.col("key").alias("path_key")).agg(F.min("n").alias("n_own"))
     equal = taken.where("size is not null and full_hash is not null").groupBy("base", "size", "full_hash").agg(F.min("n").alias("n_equal"))
     folder = taken.where("folder").groupBy("base").agg(F.min("n").alias("n_folder"))
     ranked = Window.partitionBy("base").orderBy("n")
@@ -291,8 +292,8 @@ def plan_rules(files: DataFrame, rules: list[Rule], now: int, root: str, dirs: D
     rows = rows.join(own, ["base", "path_key"], "left").join(equal, ["base", "size", "full_hash"], "left").join(folder, "base", "left").join(first_free, "base", "left")
     rows = rows.withColumn("stop", F.least("n_own", "n_equal", "n_folder")).withColumn("surely", F.col("stop") < F.coalesce("first_free", F.lit(1)))
     rows = settle(rows.withColumn("surely", F.coalesce("surely", F.lit(False))))
-    able = _free(rows.where("not surely"), taken).select("path_key", (F.coalesce(F.col("n") < F.col("stop"), F.lit(True))).alias("moves"))
-    rows = settle(rows.join(able, "path_key", "left").withColumn("moves", F.coalesce("moves", F.lit(False))))
+    able = _free(rows.where("not surely"), taken).select("row", (F.coalesce(F.col("n") < F.col("stop"), F.lit(True))).alias("moves"))
+    rows = settle(rows.join(able, "row", "left").withColumn("moves", F.coalesce("moves", F.lit(False))))
     moved = _free(rows.where("moves"), taken)
     final = numbered(F.col("wanted"), F.col("n"))
     why = F.when(F.col("n") > MAX_NUMBER, "invalid-target").when(F.length(final) > MAX_PATH, "path-too-long")

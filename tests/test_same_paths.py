@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from stowage.plans import rules
 from stowage.queries import ORACLE, QUERIES
 from test_queries import plain
 
@@ -36,3 +37,17 @@ def test_same_paths(spark, duck_same, same_paths, name):
     columns = sorted(frame.columns)
     want = duck_same.sql(ORACLE[name]).select(*(f'"{c}"' for c in columns)).fetchall()
     assert plain(frame.select(columns).collect()) == plain(want)
+
+
+@pytest.fixture(scope="module")
+def pictures(spark):
+    """A plan for two files with one path to move, and two with one path that are where they should be."""
+    rows = [("/c/a/x.jpg", "h1"), ("/c/a/x.jpg", "h2"), ("/c/b/y.jpg", "h3"), ("/c/b/y.jpg", "h4")]
+    files = spark.createDataFrame([(p, p, p[:5], p[5:], "jpg", 1, h) for p, h in rows], "path string, path_key string, dir_key string, name string, ext string, size long, full_hash string")
+    files = files.selectExpr("*", "0L AS mtime", "false AS cloud_only", "false AS is_link", "CAST(NULL AS string) AS category", "CAST(NULL AS double) AS confidence", "CAST(NULL AS map<string,string>) AS fields")
+    return rules.plan_rules(files, rules.parse('[[rule]]\nname = "p"\next = "jpg"\ntarget = "b/{stem}.{ext}"'), 0, "/c/")
+
+
+def test_rules_same_path(pictures):
+    got = sorted((r.path, r.target, r.reason) for r in pictures.collect())
+    assert got == [("/c/a/x.jpg", "/c/b/x (2).jpg", "rule:p"), ("/c/a/x.jpg", "/c/b/x.jpg", "rule:p"), ("/c/b/y.jpg", None, "already-there"), ("/c/b/y.jpg", None, "already-there")]
