@@ -51,3 +51,7 @@ def pictures(spark):
 def test_rules_same_path(pictures):
     got = sorted((r.path, r.target, r.reason) for r in pictures.collect())
     assert got == [("/c/a/x.jpg", "/c/b/x (2).jpg", "rule:p"), ("/c/a/x.jpg", "/c/b/x.jpg", "rule:p"), ("/c/b/y.jpg", None, "already-there"), ("/c/b/y.jpg", None, "already-there")]
+
+
+def test_rules_stats_same_path(pictures):
+    assert [tuple(r) for r in rules.stats(pictures).collect()] == [("p", 2, 2, "/c/a/x.jpg|/c/a/x.jpg")]
