@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.paths import is_under
 
 
-def merge_latest(*parts: DataFrame) -> DataFrame:
-    """The row of the greatest generation of each path key; later parts win ties."""
+def merge_latest(*parts: DataFrame, first: str | None = None) -> DataFrame:
+    """The row of the greatest generation of each path key; later parts win ties, within a part the smallest ``first`` (a number, such as an id)."""
     every = parts[0].withColumn("_part", F.lit(0))
     for i, part in enumerate(parts[1:], 1):
         every = every.unionByName(part.withColumn("_part", F.lit(i)))
     names = [c for c in parts[0].columns if c != "path_key"]
-    row = F.struct("generation", "_part", *(c for c in names if c != "generation"))
+    row = F.struct("generation", "_part", *([(-F.col(first)).alias("_first")] if first else []), *(c for c in names if c != "generation"))
     return every.groupBy("path_key").agg(F.max(row).alias("r")).select("path_key", *(F.col(f"r.{c}").alias(c) for c in names))
 
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from stowage.operators import state
 from stowage.plans import rules
 from stowage.queries import ORACLE, QUERIES
 from test_queries import plain
@@ -55,3 +56,10 @@ def test_rules_same_path(pictures):
 
 def test_rules_stats_same_path(pictures):
     assert [tuple(r) for r in rules.stats(pictures).collect()] == [("p", 2, 2, "/c/a/x.jpg|/c/a/x.jpg")]
+
+
+def test_merge_latest_ties(spark):
+    """Of rows of one path and generation, that with the smallest id stays, in a later part if there is one."""
+    part = lambda *rows: spark.createDataFrame(rows, "path_key string, generation long, size long, id long")
+    got = state.merge_latest(part(("/a", 1, 9, 5), ("/a", 1, 2, 3), ("/b", 1, 1, 1)), part(("/b", 1, 8, 7), ("/b", 1, 4, 6)), first="id")
+    assert sorted((r.path_key, r.size) for r in got.collect()) == [("/a", 2), ("/b", 4)]
