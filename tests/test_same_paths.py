@@ -40,6 +40,17 @@ def test_same_paths(spark, duck_same, same_paths, name):
     assert plain(frame.select(columns).collect()) == plain(want)
 
 
+def test_rules_stats_one_folder(spark, sf_dir, tmp_path):
+    """The counts and examples are those of the SQL where all files lie in a few folders and many have one path."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT * REPLACE ('src3' AS source, 'de' AS lang) FROM '{sf_dir}/documents.parquet') TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    frame = QUERIES["rules_stats"](spark, str(tmp_path))
+    want = con.sql(ORACLE["rules_stats"]).select(*(f'"{c}"' for c in frame.columns)).fetchall()
+    assert plain(frame.collect()) == plain(want)
+
+
 @pytest.fixture(scope="module")
 def pictures(spark):
     """A plan for two files with one path to move, and two with one path that are where they should be."""
